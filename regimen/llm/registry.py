@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, lines, overlap
+from regimen.llm import bpe, lines, neardup, overlap
 from regimen.llm.base import table
 
 
@@ -73,5 +73,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_lines": op6_lines, "op10_overlap": op10_overlap}
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates on three-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op6_lines": op6_lines, "op10_overlap": op10_overlap}
 ORACLES = {"op6_lines": OP6_SQL, "op10_overlap": OP10_SQL}
