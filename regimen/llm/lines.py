@@ -58,7 +58,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, d
     """docs with text cut to the lines that stay, and n_lines, n_dropped (bigint). Extra columns stay; columns of these names are replaced."""
     maps = written(keep_bitmaps(docs, min_docs, min_chars, doc_id, text), "keep-bitmaps")
     own = docs.drop("n_lines", "n_dropped", "_id", "_text", "keep").withColumns({"_id": F.col(doc_id), "_text": F.xxhash64(text)})
-    maps = as_small(maps, maps.count(), 128).withColumnsRenamed({"_id": "_mid", "_text": "_mtext"})
+    maps = maps.withColumnsRenamed({"_id": "_mid", "_text": "_mtext"}).hint("shuffle_hash")  # grows with docs: one plan at every size
     joined = own.join(maps, own["_id"].eqNullSafe(maps["_mid"]) & (own["_text"] == maps["_mtext"]), "left")
     lines = _lines(text)
     word = lambda i: F.coalesce(F.get("keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("bigint"))
