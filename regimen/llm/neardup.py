@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimen.llm.base import as_small, written
+from regimen.llm.base import written
 
 #: Words remembered by a Python worker; a full memory is emptied.
 CACHE_ENTRIES = 400_000
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         wanted = pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct()
         wanted = written(wanted, "wanted")
         texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-        texts = texts.join(as_small(wanted, wanted.count(), 32), F.col("_id") == F.col("_want"), "left_semi")
+        texts = texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_want"), "left_semi")
         sets = written(shingle_sets(texts, size), "sets")
         first, second = (sets.select(F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         joined = pairs.join(second, "b").join(first, (pairs["a"] == first["a"]) & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part))
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 
     links = confirmed(members.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     joined = components(links)
-    placed = written(members.join(as_small(joined, joined.count(), 32), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    placed = written(members.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = written(placed.join(split, "key"), "mixed")
     largest = mixed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         final = joined
     else:
         final = components(links.union(more))
-    rep = nodes.join(as_small(final, final.count(), 32), "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
+    rep = nodes.join(final, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     rep = written(rep, "classes")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     judged = sketched.join(rep, ["set_a", "set_b"], "left").select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce(own, "_id")).alias("component_id"))
@@ -214,4 +214,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **params) -> DataFrame:
     """The rows of docs that stay: of each group of near-duplicates the document with the least id."""
     gone = written(near_duplicates(docs, doc_id=doc_id, **params).where("not kept").select(F.col("_id").alias("_gone")), "near-duplicates")
-    return docs.join(as_small(gone, gone.count(), 32), docs[doc_id] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[doc_id] == gone["_gone"], "left_anti")

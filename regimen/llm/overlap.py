@@ -58,8 +58,7 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 13, k: in
     hits = written(hits.groupBy("_id", "_text").agg(F.collect_list(F.struct("item", "iw", "offs")).alias("hits")), "candidates")
 
     texts = docs.select(F.col(doc_id).alias("_tid"), F.xxhash64(text).alias("_ttext"), F.col(text).alias("_body"))
-    weight = hits.agg(F.coalesce(F.sum(F.aggregate("hits", F.lit(64), lambda n, h: n + 16 * F.size(h["iw"]) + 4 * F.size(h["offs"]))), F.lit(0)).cast("bigint")).first()[0]
-    near = texts.join(as_small(hits, weight, 1), F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_ttext") == F.col("_text")))
+    near = texts.join(hits.hint("shuffle_hash"), F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_ttext") == F.col("_text")))
     near = near.select("_id", "_text", words_of("_body").alias("w"), "hits")
 
     def starts(h: Column) -> Column:
@@ -78,8 +77,7 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 13, k: in
     covered = F.array_distinct(F.flatten(F.transform("seen", lambda h: F.flatten(F.transform(h["starts"], lambda s: F.sequence(s, s + h["size"] - 1))))))
     judged = near.select("_id", "_text", F.size(covered).cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("seen", lambda h: h["item"].cast("string")))).alias("items"))
     judged = written(judged.where("n_hit > 0").dropDuplicates(["_id", "_text"]), "overlaps").withColumnsRenamed({"_id": "_hid", "_text": "_htext"})
-    rows = judged.agg(F.coalesce(F.sum(F.lit(64) + 24 * F.size("items")), F.lit(0)).cast("bigint")).first()[0]
-    base = parts.select("_id", "_text", "n_words").join(as_small(judged, rows, 1), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_text") == F.col("_htext")), "left")
+    base = parts.select("_id", "_text", "n_words").join(judged.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_text") == F.col("_htext")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return base.select("_id", "_text", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share[1] * n_hit >= share[0] * F.col("n_words"))).alias("contaminated"))
 
@@ -87,4 +85,4 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 13, k: in
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
     bad = written(benchmark_overlap(docs, items, doc_id=doc_id, text=text, **params).where("contaminated").select("_id", "_text").distinct(), "contaminated")
-    return docs.join(as_small(bad, bad.count(), 32), docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["_text"]), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["_text"]), "left_anti")

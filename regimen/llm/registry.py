@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, lines, neardup, overlap
-from regimen.llm.base import table
+from regimen.llm import bpe, lines, neardup, overlap, quality
+from regimen.llm.base import id_hash, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for quality; learns from labels outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, usable=quality.learnable())
+    return quality.classify(docs, model, 0.3).select("doc_id", (id_hash() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop the lines that ten documents share."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,5 +86,5 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op6_lines": op6_lines, "op10_overlap": op10_overlap}
+QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op5_quality": op5_quality, "op6_lines": op6_lines, "op10_overlap": op10_overlap}
 ORACLES = {"op6_lines": OP6_SQL, "op10_overlap": OP10_SQL}
