@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, lines, neardup, overlap, quality
+from regimen.llm import bpe, hostgraph, lines, neardup, overlap, quality
 from regimen.llm.base import id_hash, table
 
 
@@ -48,6 +48,53 @@ FROM keyed LEFT JOIN common ON line_key = common_key
 GROUP BY doc_id
 """
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's url by rules, and by the host graph where no rule fits."""
+    return hostgraph.judge_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+def _op9_sql() -> str:
+    """The rules and the rounds of both ranks, unrolled."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in rules) + " END"
+    link = hostgraph.LINK.replace("'", "''")
+    d = hostgraph.DAMPING
+    rounds = "".join(
+        f""", r{k} AS (
+    SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+        SELECT host, good * {1 - d} AS trust, bad * {1 - d} AS distrust FROM seed
+        UNION ALL SELECT dst, trust * forth * {d}, 0.0 FROM weight JOIN r{k - 1} ON src = host
+        UNION ALL SELECT src, 0.0, distrust * back * {d} FROM weight JOIN r{k - 1} ON dst = host) GROUP BY host)"""
+        for k in range(1, hostgraph.ROUNDS + 1)
+    )
+    return f"""
+WITH page AS (
+    SELECT page_id, {lower.format("regexp_extract(coalesce(url, ''), '" + hostgraph.URL + "', 1)")} AS host, regexp_extract(coalesce(url, ''), '{hostgraph.URL}', 2) AS path, html FROM pages
+), ruled AS (
+    SELECT *, {rule} AS fit FROM page
+), seed AS (
+    SELECT host, count(*) FILTER (WHERE fit LIKE 'allow %')::DOUBLE AS good, count(*) FILTER (WHERE fit LIKE 'block %')::DOUBLE AS bad FROM ruled WHERE host <> '' GROUP BY host
+), link AS (
+    SELECT host AS src, dst, count(*) AS n FROM (SELECT DISTINCT page_id, host, {lower.format("unnest(regexp_extract_all(coalesce(html, ''), '" + link + "', 1))")} AS dst FROM page) WHERE host <> '' AND host <> dst GROUP BY ALL
+), above AS (
+    SELECT host AS src, k, array_to_string(string_split(host, '.')[k:], '.') AS dst FROM (SELECT DISTINCT host, unnest(range(2, len(string_split(host, '.')) + 1)) AS k FROM page WHERE host <> '')
+), parent AS (
+    SELECT src, arg_min(dst, k) AS dst, 1 AS n FROM above WHERE dst IN (SELECT host FROM page) GROUP BY src
+), edge AS (
+    SELECT src, dst, sum(n) AS n FROM (SELECT * FROM link UNION ALL SELECT * FROM parent) GROUP BY ALL
+), weight AS (
+    SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM edge
+), r0 AS (SELECT host, good AS trust, bad AS distrust FROM seed){rounds}
+SELECT page_id, ruled.host AS host, path, substr(fit, 7) AS rule,
+       coalesce(substr(fit, 1, 5), CASE WHEN distrust > {hostgraph.RATIO} * trust AND distrust >= {hostgraph.LEAST} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN r{hostgraph.ROUNDS} AS last ON ruled.host = last.host
+"""
+
+
 def op10_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside benchmark passages."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -86,5 +133,5 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op5_quality": op5_quality, "op6_lines": op6_lines, "op10_overlap": op10_overlap}
-ORACLES = {"op6_lines": OP6_SQL, "op10_overlap": OP10_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op5_quality": op5_quality, "op6_lines": op6_lines, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
+ORACLES = {"op6_lines": OP6_SQL, "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
