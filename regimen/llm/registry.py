@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, hostgraph, lines, neardup, overlap, quality
+from regimen.llm import bpe, hostgraph, licenses, lines, neardup, overlap, quality
 from regimen.llm.base import id_hash, table
 
 
@@ -48,6 +48,47 @@ FROM keyed LEFT JOIN common ON line_key = common_key
 GROUP BY doc_id
 """
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(named).select(F.col("_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _op7_sql() -> str:
+    index = licenses.postings(licenses.TEMPLATES, licenses.PHRASES)
+    values = ", ".join(f"({p.template}, '{p.label}', {p.place}, '{p.word}', {p.key}, {p.phrase})" for p in index)
+    return rf"""
+WITH posting(template, label, place, word, key, phrase) AS (VALUES {values}), doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), hit AS (
+    SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM doc) WHERE word IN (SELECT word FROM posting)
+), weighed AS (
+    SELECT p.*, ln(((SELECT count(*) FROM doc) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf
+    FROM posting p LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS n FROM hit GROUP BY word) USING (word)
+), rare AS (
+    SELECT template, word FROM (SELECT DISTINCT template, word, idf FROM weighed) QUALIFY row_number() OVER (PARTITION BY template ORDER BY idf DESC, word) <= {licenses.INDEXED}
+), total AS (
+    SELECT template, sum(idf) AS weight, count(*) FILTER (WHERE key) AS n_key FROM weighed GROUP BY template
+), lined AS (
+    SELECT doc_id, template, label, phrase, pos - place AS spot, sum(idf) AS placed, count(*) FILTER (WHERE key) AS keys,
+           count(DISTINCT CASE WHEN (template, word) IN (SELECT (template, word) FROM rare) THEN word END) AS agreeing
+    FROM hit JOIN weighed USING (word) GROUP BY ALL
+), good AS (
+    SELECT *, least(1.0, round(placed / weight, 6)) AS share FROM lined JOIN total USING (template)
+    WHERE keys = n_key AND (phrase OR (agreeing >= {licenses.AGREEING} AND least(1.0, round(placed / weight, 6)) >= {licenses.COVERAGE}))
+), judged AS (
+    SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(spot) FILTER (WHERE phrase) AS first_word, max(spot) FILTER (WHERE phrase) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+    FROM good GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM doc LEFT JOIN judged USING (doc_id)
+"""
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -133,5 +174,5 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op5_quality": op5_quality, "op6_lines": op6_lines, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
-ORACLES = {"op6_lines": OP6_SQL, "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
+ORACLES = {"op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
