@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, hostgraph, licenses, lines, neardup, overlap, quality
+from regimen.llm import bpe, hostgraph, licenses, lines, neardup, overlap, quality, rules
 from regimen.llm.base import id_hash, table
 
 
@@ -19,6 +19,54 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict by distribution divergence."""
+    judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op4_sql() -> str:
+    n_classes, words = len(rules.CLASSES), rules.WORDS
+    only = lambda kept: f"length(regexp_replace(t, '{kept}', '', 'g'))"
+    common = ", ".join(f"len([x for x in w if x = '{word}']) AS w{i}" for i, word in enumerate(words))
+    classes = ", ".join(f"c{i}" for i in range(n_classes))
+    own = {i: "(" + " OR ".join(f"lang = '{name}'" for name, ws in rules.COMMON.items() if word in ws) + ")" for i, word in enumerate(words)}
+    shares = ", ".join([f"sum(c{i}) / greatest(sum({' + '.join(f'c{k}' for k in range(n_classes))}), 1) AS qc{i}" for i in range(n_classes)] + [f"CASE WHEN {own[i]} THEN sum(w{i}) / greatest(sum(n_words), 1) ELSE 0 END AS qw{i}" for i in range(len(words))])
+    term = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END"
+    by_class = " + ".join(term(f"(c{i} / greatest(n_chars, 1))", f"qc{i}") for i in range(n_classes))
+    mine = lambda i: f"(CASE WHEN {own[i]} THEN w{i} ELSE 0 END)"
+    rest = f"((n_words - ({' + '.join(mine(i) for i in range(len(words)))})) / greatest(n_words, 1))"
+    by_word = " + ".join([term(f"({mine(i)} / greatest(n_words, 1))", f"qw{i}") for i in range(len(words))] + [term(rest, "(1 - (" + " + ".join(f"qw{i}" for i in range(len(words))) + "))")])
+    return rf"""
+WITH doc AS (
+    SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS n
+    FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc))
+), again AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY doc_id
+), lined AS (
+    SELECT doc_id, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM doc
+), counted AS (
+    SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {only('[^#*$%&|<>]+')}::BIGINT AS n_symbols,
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, length(t) AS n_chars,
+           {only('[^a-z]+')} AS c0, {only('[^A-Z]+')} AS c1, {only('[^0-9]+')} AS c2, length(t) - length(array_to_string(w, '')) AS c3, {only('[^#*$%&|<>]+')} AS c4, {only('[\x00-\x7F]+')} AS c5,
+           greatest(n_chars - c0 - c1 - c2 - c3 - c4 - c5, 0) AS c6, {common}
+    FROM doc JOIN lined USING (doc_id) LEFT JOIN again USING (doc_id)
+), judged AS (
+    SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), reference AS (
+    SELECT lang, {shares} FROM judged WHERE lang IN ({', '.join(f"'{name}'" for name in rules.COMMON)}) AND NOT base_failed GROUP BY lang
+), near AS (
+    SELECT doc_id, min(sqrt(greatest(({by_class}) / 2, 0))) AS class_distance, min(sqrt(greatest(({by_word}) / 2, 0))) AS word_distance
+    FROM (SELECT * EXCLUDE (lang) FROM judged), reference GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {rules.LEAST_WORDS} AND n_chars >= {rules.LEAST_CHARS} AND (coalesce(class_distance > {rules.MOST_CLASSES}, false) OR coalesce(word_distance > {rules.MOST_WORDS}, false))) AS kept
+FROM judged LEFT JOIN near USING (doc_id)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for quality; learns from labels outside the held-out fifth."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -174,5 +222,5 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
-ORACLES = {"op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
+ORACLES = {"op4_rules": _op4_sql(), "op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
