@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, hostgraph, licenses, lines, neardup, overlap, quality, rules
+from regimen.llm import bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, rules
 from regimen.llm.base import id_hash, table
 
 
@@ -216,11 +216,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every document; learns outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, usable=langid.learnable())
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (id_hash() % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates on three-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
+QUERIES = {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
 ORACLES = {"op4_rules": _op4_sql(), "op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
