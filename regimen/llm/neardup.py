@@ -4,8 +4,9 @@
    one bin, the least hash of a bin is its value, empty bins take the value of a bin found by their own probe sequence (optimal
    densification). Rows of bins make bands, and each band is a bucket key. Texts with equal sets are one node from here on.
 2. Every bucket gives a star: edges from its least node to each other one. The edges are confirmed on the full shingle sets.
-3. Links between nodes that miss the star: where a bucket still holds several components, the nodes outside its largest one
-   are paired with the bucket's nodes of other components, and confirmed too. Pairs within a component are never made.
+3. Links that miss the stars: where a bucket still holds several components, the nodes outside its largest one are strays. Strays
+   meet nodes of other components over their rarest shingles (an exact prefix and position bound), and such pairs are confirmed
+   too. Pairs within a component are never made.
 4. Components by alternating large and small stars.
 
 A pair with the least similarity shares no bucket with probability (1 - similarity ** rows) ** bands: 7e-9 for 0.85 with 32 bands of 5.
@@ -165,6 +166,27 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
+def crossing_pairs(nodes: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of a stray node and a node of another component that may be similar enough; none that is gets lost.
+
+    nodes: node, component, stray (true or null); sets: _id, n, shingles. The sets are ordered from rare to frequent shingles.
+    Sizes n and m need an overlap of c = part * (n + m) / (part + whole), so similar sets have their first common shingle within
+    the first n - c + 1 and m - c + 1 places; what an edit brings in is rare and stands before that.
+    """
+    each = sets.select(F.col("_id").alias("node"), "n", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
+    shortest = F.floor(F.col("n") - (F.col("n") * part + whole - 1) / whole + 1).cast("int") + 1
+    heads = written(ranked.select("node", "n", F.slice(F.col("ranked.shingle"), 1, F.greatest(F.least(shortest, F.size("ranked")), F.lit(1))).alias("head")).join(nodes, "node"), "heads")
+    heads = heads.select("node", "n", "component", "stray", F.posexplode("head").alias("place", "shingle"))
+    left = heads.where("stray").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"))
+    right = heads.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"))
+    spare = lambda n, place: (F.col(n) - F.col(place)) * (part + whole) >= (F.col("n_a") + F.col("n_b")) * part
+    fits = (left["shingle"] == right["shingle"]) & (F.col("c_a") != F.col("c_b")) & spare("n_a", "p_a") & spare("n_b", "p_b") & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
+    pairs = left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(pairs.distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, n_shingles, component_id (least document id reachable over links), kept, for each row of docs.
 
@@ -178,32 +200,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     shared = dealt.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
     members = written(dealt.join(shared, "key"), "buckets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct()
-        wanted = written(wanted, "wanted")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The full shingle sets of the nodes in the column _want."""
         texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-        texts = texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_want"), "left_semi")
-        sets = written(shingle_sets(texts, size), "sets")
+        wanted = written(wanted.distinct(), "wanted")
+        return written(shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_want"), "left_semi"), size), "sets")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar enough."""
         first, second = (sets.select(F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         joined = pairs.join(second, "b").join(first, (pairs["a"] == first["a"]) & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part))
         same = F.size(F.array_intersect("s_a", "s_b"))
         return written(joined.where(same * whole >= (F.col("n_a") + F.col("n_b") - same) * part).select(pairs["a"], "b").distinct(), "confirmed")
 
-    links = confirmed(members.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    stars = written(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = confirmed(stars, sets_of(stars.select(F.col("a").alias("_want")).union(stars.select("b"))))
     joined = components(links)
-    placed = written(members.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    placed = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = written(placed.join(split, "key"), "mixed")
     largest = mixed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    strays = mixed.join(largest, "key").where("component <> largest").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    others = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    crossing = strays.join(others, (strays["key"] == others["key"]) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part))
-    more = confirmed(crossing.select("a", "b").join(links, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        final = joined
-    else:
-        final = components(links.union(more))
+    strays = mixed.join(largest, "key").where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
+    others = written(mixed.select("node", "component").distinct().join(strays, "node", "left"), "others")
+    sets = sets_of(others.select(F.col("node").alias("_want")))
+    more = confirmed(crossing_pairs(others, sets, part, whole), sets)
+    final = joined if more.isEmpty() else components(links.union(more))
     rep = nodes.join(final, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     rep = written(rep, "classes")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
