@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, rules
+from regimen.llm import bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, repeats, rules
 from regimen.llm.base import id_hash, table
 
 
@@ -137,6 +137,13 @@ FROM doc LEFT JOIN judged USING (doc_id)
 """
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte inside a 200-byte string that starts elsewhere too."""
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -229,5 +236,5 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
+QUERIES = {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op8_repeats": op8_repeats, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
 ORACLES = {"op4_rules": _op4_sql(), "op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
