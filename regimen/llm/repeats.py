@@ -232,7 +232,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", row: str = "_row") -> Da
 
 def without_repeats(docs: DataFrame, text: str = "text", output: str = "kept") -> DataFrame:
     """docs with n_bytes, spans (array of start and stop of the maximal removed byte ranges) and output (binary: the bytes that stay)."""
-    numbered = docs.drop("n_bytes", "spans", output).withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    docs = docs.drop("n_bytes", "spans", output)
+    numbered = docs.withColumn("_row", F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != text]))
     # rows that agree in all columns can't be told apart; their number makes their text repeat
     copies = numbered.groupBy("_row", F.xxhash64(text).alias("_text")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = written(repeated_spans(numbered, text), "spans")
