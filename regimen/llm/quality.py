@@ -57,14 +57,18 @@ class Rules:
     intercept: float
 
     def score(self, stats: str = "_stats") -> Column:
-        """The chance of label 1 as a column expression."""
-        total = F.lit(self.intercept)
-        for rule, weight in zip(self.rules, self.weights, strict=True):
-            total = total + F.when(holds(rule, stats), weight).otherwise(0.0)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        """The chance of label 1 as a column expression. The rules are a lambda over the statistics, so that these are computed once, also where a filter on the score is pushed below them."""
 
+        def chance(values: Column) -> Column:
+            total = F.lit(self.intercept)
+            for rule, weight in zip(self.rules, self.weights, strict=True):
+                total = total + F.when(holds(rule, values), weight).otherwise(0.0)
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
-def holds(rule: tuple[tuple[int, bool, float], ...], stats: str = "_stats") -> Column:
+        return F.get(F.transform(F.array(F.col(stats)), chance), F.lit(0))
+
+
+def holds(rule: tuple[tuple[int, bool, float], ...], stats: str | Column = "_stats") -> Column:
     """Whether all conditions of a rule hold."""
     found = F.lit(True)
     for place, over, bound in rule:
