@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from regimen.llm.base import written
 from regimen.llm.lines import SPACE
 
-#: Least words and least characters for a verdict by distance, and the largest distances (0 to 1) that pass.
-LEAST_WORDS, LEAST_CHARS, MOST_CLASSES, MOST_WORDS = 50, 300, 0.30, 0.55
+#: Least words and least characters for a verdict by distance, and the largest distances (0 to 1) that pass. Clean labelled documents
+#: of sf0.1 reach 0.2791 for words; a text without any common word stands at 0.2846 there, as those are about 15 % of all words.
+LEAST_WORDS, LEAST_CHARS, MOST_CLASSES, MOST_WORDS = 50, 300, 0.30, 0.28
 
 # Frequent function words of the reference languages.
 COMMON = {

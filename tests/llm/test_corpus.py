@@ -188,6 +188,15 @@ def test_rules_keep_clean_documents(spark):
     assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.99
 
 
+def test_rules_reject_prose_without_common_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    random = np.random.default_rng(4)
+    words = ["".join(random.choice(list("etaoinshrdlu"), random.integers(3, 9))) + "x" for _ in range(300)]
+    junk = spark.createDataFrame([(-1, "en", " ".join(words).capitalize() + ".")], docs.schema)
+    [r] = rules.judge(docs.union(junk)).where("_id = -1").collect()
+    assert not r.base_failed and r.class_distance <= rules.MOST_CLASSES and not r.kept
+
+
 # 5 Quality
 
 
