@@ -2,8 +2,10 @@
 
 Trust is a personalised PageRank along links from hosts whose pages the rules allow; distrust is one against the links from hosts
 whose pages they block (who links to a blocked host is suspect). Seeds weigh by their numbers of such pages. Links are absolute
-and protocol-relative references in a page's html, plus each host's link to the nearest parent host that has pages. Edges are summed
-per pair of hosts before any rank is computed, so a host with a third of all pages is a few rows from then on.
+and protocol-relative references in a page's html, plus each host's link to the nearest parent host that has pages, which weighs as
+much as an average host has pages. All weights are in proportion to the pages, and the two ranks are only compared with each other, so
+that the same pages ten times over get the same verdicts. Edges are summed per pair of hosts before any rank is computed, so a host
+with a third of all pages is a few rows from then on.
 
 Defined results: a null url or one without :// has empty host and path, no rule and verdict allow; null html has no links; repeated
 pages count as often as they occur and are judged alike; extra columns of pages are left aside.
@@ -19,8 +21,9 @@ from regimen.llm.lines import ascii_lower
 
 #: A hot host's pages are dealt to so many tasks when they get its verdict.
 SALTS = 32
-#: A host is blocked if its distrust is at least LEAST and over RATIO times its trust (a millionth more, against rounding).
-DAMPING, ROUNDS, RATIO, LEAST = 0.85, 8, 2.000001, 0.5000001
+#: A host is blocked if its distrust is over RATIO times its trust (a millionth more, against rounding). LEAST is a further, absolute
+#: bound that the registered SQL names; at 0 it decides nothing.
+DAMPING, ROUNDS, RATIO, LEAST = 0.85, 8, 2.000001, 0.0
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/\"'?#\s<>]+)"
 
@@ -43,14 +46,15 @@ def rule_of(rules: list[tuple[str, str, str]], host: str = "host", path: str = "
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst, n: links between different hosts with their counts (a page counts once for each host it links to)."""
+    """src, dst, n: links between different hosts with their counts (a page counts once for each host it links to, a parent as an average host's pages)."""
     linked = F.transform(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1)), lambda h: ascii_lower(h))
     links = pages.select(host_of(url).alias("src"), F.explode(F.array_distinct(linked)).alias("dst")).where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.select(host_of(url).alias("src")).where("src <> ''").distinct()
+    hosts = pages.select(host_of(url).alias("src")).where("src <> ''").groupBy("src").agg(F.count(F.lit(1)).alias("own"))
+    average = hosts.agg(F.avg("own").alias("n"))
     parts = F.split("src", r"\.")
     up = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, k, F.size(parts)), ".").alias("dst")))
     above = hosts.where(F.size(parts) > 1).select("src", F.inline(up)).join(hosts.select(F.col("src").alias("dst")), "dst")
-    parents = above.groupBy("src").agg(F.min_by("dst", "k").alias("dst")).select("src", "dst", F.lit(1).cast("bigint").alias("n"))
+    parents = above.groupBy("src").agg(F.min_by("dst", "k").alias("dst")).crossJoin(F.broadcast(average)).select("src", "dst", "n")
     return links.union(parents).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
@@ -73,7 +77,7 @@ def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = RATIO, least: float = LEAST, page_id: str = "page_id", url: str = "url", html: str = "html", **params) -> DataFrame:
-    """page_id, host, path, rule, verdict: the rule's verdict, else block where the host's distrust is least at least and over ratio times its trust, else allow."""
+    """page_id, host, path, rule, verdict: the rule's verdict, else block where the host's distrust is over ratio times its trust (and least at least, if one is given), else allow."""
     scores = host_scores(pages, rules, url, html, **params)
     blocked = scores.where((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") >= least)).select(F.col("host").alias("_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     own = pages.select(page_id, host_of(url).alias("host"), path_of(url).alias("path")).withColumn("_rule", rule_of(rules))

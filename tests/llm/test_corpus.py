@@ -310,6 +310,22 @@ def test_urls_spread_over_links(spark):
     assert hostgraph.judge_pages(spark.createDataFrame([], "page_id bigint, url string, html string"), rules_).collect() == []
 
 
+def test_urls_do_not_depend_on_repeats(spark):
+    rules_ = [("block", "bad.test", "/"), ("allow", "good.test", "/"), ("block", "few.test", "/no/")]
+    pages = [(1, "http://few.test/no/1", ""), (2, "http://few.test/a", ""), (3, "http://bad.test/x", ""), (4, "http://near.test/", "<a href=http://bad.test/x>")]
+    pages += [(10 + i, f"http://sub.near.test/{i}", "<a href=http://good.test/>" if i < 3 else "") for i in range(8)]
+    pages += [(20 + i, f"http://up.test/{i}", "") for i in range(2)] + [(30, "http://good.test/a", "<a href=http://x.up.test/>"), (31, "http://x.up.test/", "<a href=http://bad.test/x>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    once = {r.page_id: r.verdict for r in hostgraph.judge_pages(df, rules_).collect()}
+    assert once[2] == once[4] == "block" and once[30] == "allow"
+    ranks = {r.host: (r.trust, r.distrust) for r in hostgraph.host_scores(df, rules_).collect()}
+    for times in (10, 100):
+        more = df.crossJoin(spark.range(times).select())
+        assert {(r.page_id, r.verdict) for r in hostgraph.judge_pages(more, rules_).collect()} == set(once.items())
+        for r in hostgraph.host_scores(more, rules_).collect():
+            assert (r.trust, r.distrust) == pytest.approx([times * x for x in ranks[r.host]])
+
+
 # 10 Benchmark
 
 
