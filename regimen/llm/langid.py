@@ -9,6 +9,7 @@ Forward-backward is exact for texts of any length: texts are cut into blocks who
 and all blocks of a batch advance together.
 
 Defined results: a null text or one without letters is `und` with score 0; so is every text if there is nothing to learn from.
+Every value of lang is learned; more than MOST_LANGUAGES of them raise a ValueError.
 Repeated rows get equal results. Extra columns stay; columns named as an output are replaced.
 """
 
@@ -25,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimen.llm.base import id_hash
+from regimen.llm.base import as_small, id_hash, written
 
 #: Of each language about so many documents are fitted on, and of each document so many segments of so many words, spread over it.
 DOCUMENTS, SEGMENTS, SEGMENT_WORDS = 150, 4, 24
+#: The fit holds sample and weights of all languages on the driver; more of them than this are an error, none is left out.
+MOST_LANGUAGES = 256
 #: Buckets for n-grams, most lexicon entries, steps and rate of the fit, weight of the squared weights.
 BUCKETS, LEXICON, STEPS, RATE, DECAY = 1 << 15, 4000, 60, 0.15, 1e-4
 #: Words in a block, words that advance together, words remembered by a Python worker (a full memory is emptied).
@@ -135,11 +138,14 @@ def segments(docs: DataFrame, usable: Column | None, lang: str, text: str, doc_i
     """(language, words) of evenly spread segments of about DOCUMENTS documents of each language, chosen by a hash of id and language."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.where(usable) if usable is not None else known
-    there = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(64).collect()}
+    counted = written(known.groupBy(F.col(lang).alias("_name")).agg(F.count(F.lit(1)).alias("_n")), "languages")
+    many = counted.count()
+    if many > MOST_LANGUAGES:
+        raise ValueError(f"{many} languages to learn, {MOST_LANGUAGES} at most: merge or filter values of {lang}")
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("langid")), F.lit(1_000_000))
-    bound = F.lit(0)
-    for name, n in there.items():
-        bound = F.when(F.col(lang) == name, min(1_000_000, int(1_000_000 * DOCUMENTS / n))).otherwise(bound)
+    bound = F.least(F.lit(1_000_000), F.floor(F.lit(1_000_000.0 * DOCUMENTS) / F.col("_n")))
+    drawn = known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw"))
+    drawn = drawn.join(as_small(counted, many, 128), F.col("_lang") == F.col("_name")).where(F.col("_draw") < bound).select("_lang", "_text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +162,7 @@ def segments(docs: DataFrame, usable: Column | None, lang: str, text: str, doc_i
                         found.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.list_(pa.string()))], ["lang", "words"])
 
-    rows = known.where(draw < bound).select(lang, text).mapInArrow(cut, "lang string, words array<string>").collect()
+    rows = drawn.mapInArrow(cut, "lang string, words array<string>").collect()
     return sorted((r["lang"], list(r["words"])) for r in rows)
 
 

@@ -116,6 +116,17 @@ def test_langid_odd_and_code_switched(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(odd.where("false"))).collect()} == {"und"}
 
 
+def test_langid_learns_every_language(spark, monkeypatch):
+    rows = [(100 * k + i, f"l{k:02d}", " ".join(f"{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}{c}" for c in "uvwxyz")) for k in range(70) for i in range(2 if k else 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    found = langid.segments(docs, None, "lang", "text", "doc_id")
+    assert {name for name, _ in found} == {name for _, name, _ in rows}
+    assert 100 < sum(name == "l00" for name, _ in found) < 200 and all(sum(n == name for n, _ in found) == 2 for _, name, _ in rows[400:])
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 69)
+    with pytest.raises(ValueError, match="70 languages"):
+        langid.segments(docs, None, "lang", "text", "doc_id")
+
+
 # 3 Near duplicates
 
 
