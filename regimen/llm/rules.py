@@ -1,15 +1,17 @@
 """Quality rules: base counts of a text, and how far its histograms are from those of known languages. DataFrame functions only.
 
 Each text gives a histogram over character classes and one over common words of some languages (and the rest). The reference of a
-language sums the histograms of all documents of that language which pass the base rules. A text is rejected if its least
-Jensen-Shannon distance to a reference is over a bound, for characters or for words; texts under a least length pass.
+language sums the histograms of all documents of that language which pass the base rules; only languages in COMMON have one for words.
+A text is rejected if its least Jensen-Shannon distance to a reference is over a bound, for characters or for words; texts under a
+least length pass. A text is compared with the references of the languages in COMMON and of its own language, one without a language
+with all; words only count where its language, or else the nearest for characters, is in COMMON.
 
 Three-word windows that repeat in a text are found by sorting the windows' hashes within the row, with the position in the low
 bits, so that one long text costs n log n and no shuffle. Two unequal windows of a text of n words take each other's place with
 probability under n^3 / 2^64.
 
-Defined results: null text counts as one without words; repeated rows are judged alike; a language without documents has no
-reference, and without any reference nothing is rejected beyond the base rules; extra columns stay.
+Defined results: null text counts as one without words; repeated rows are judged alike; a language without documents that pass the
+base rules has no reference, and its documents aren't rejected beyond the base rules; extra columns stay.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimen.llm.base import written
+from regimen.llm.base import as_small, written
 from regimen.llm.lines import SPACE
 
 #: Least words and least characters for a verdict by distance, and the largest distances (0 to 1) that pass. Clean labelled documents
@@ -84,20 +86,30 @@ def references(found: DataFrame, lang: str = "lang") -> dict[str, tuple[list[flo
     return out
 
 
-def distance(counts: list[Column], total: Column, shares: list[float]) -> Column:
+def further_references(found: DataFrame, lang: str = "lang") -> DataFrame:
+    """_of, _own: shares of character classes in all documents of each language outside COMMON that pass the base rules."""
+    rows = found.where(F.col(lang).isNotNull() & ~F.col(lang).isin(list(COMMON)) & ~base_failed())
+    sums = rows.groupBy(F.col(lang).alias("_of")).agg(F.array(*[F.sum(F.get("_classes", F.lit(i))).cast("double") for i in range(len(CLASSES))]).alias("_sums"))
+    total = F.greatest(F.aggregate("_sums", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+    return sums.select("_of", F.transform("_sums", lambda x: x / total).alias("_own"))
+
+
+def distance(counts: list[Column], total: Column, shares: list[float] | list[Column]) -> Column:
     """Jensen-Shannon distance (root of the divergence to base 2) of a histogram to a reference."""
     zero, divergence = F.lit(0.0), F.lit(0.0)
     for count, q in zip(counts, shares, strict=True):
         p = count / total
         m = (p + q) / 2
         divergence = divergence + F.when(count > 0, p * F.log2(p / m)).otherwise(zero)
-        if q > 0:
+        if isinstance(q, Column):
+            divergence = divergence + F.when(q > 0, q * F.log2(q / m)).otherwise(zero)
+        elif q > 0:
             divergence = divergence + q * F.log2(F.lit(q) / m)
     return F.sqrt(F.greatest(divergence / 2, zero))
 
 
 def judge(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance (least over the languages; null without a reference), kept."""
+    """_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance (least over the references; null without one to compare with), kept."""
     found = written(features(docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")), "_text").drop("_text"), "quality-counts")
     known = references(found, "_lang")
     classes = [F.get("_classes", F.lit(i)) for i in range(len(CLASSES))]
@@ -108,7 +120,20 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
         common = [F.get("_common", F.lit(i)) for i, _ in own]
         by_word.append(distance([*common, F.col("_words") - sum(common[1:], common[0])], F.greatest(F.col("_words"), F.lit(1)), [*(word_shares[i] for i, _ in own), word_shares[-1]]))
     least = lambda each: F.lit(None).cast("double") if not each else F.least(*each) if len(each) > 1 else each[0]
-    judged = found.withColumns({"class_distance": least(by_class), "word_distance": least(by_word), "base_failed": base_failed()})
+    others = written(further_references(found, "_lang"), "references")
+    many = others.count()
+    unnamed, fixed = F.col("_lang").isNull(), F.col("_lang").isin(list(known))
+    compared, by_words, class_distance = unnamed | fixed, unnamed | fixed, least(by_class)
+    if many:
+        every = others.agg(F.collect_list("_own").alias("_every"))  # one row with all references
+        to = lambda shares: distance(classes, F.greatest(F.col("_chars"), F.lit(1)), [F.get(shares, F.lit(i)) for i in range(len(CLASSES))])
+        further = F.when(unnamed, F.array_min(F.transform("_every", to))).when(F.col("_own").isNotNull(), to(F.col("_own")))
+        joined = found.join(as_small(others, many, 128), F.col("_lang") == F.col("_of"), "left").crossJoin(F.broadcast(every))
+        # written, as Spark would compute each distance again where it is compared
+        found = written(joined.withColumns({"_fixed": class_distance, "_further": further}).drop("_of", "_own", "_every"), "quality-distances")
+        compared, class_distance = unnamed | fixed | F.col("_further").isNotNull(), F.least("_fixed", "_further")
+        by_words = fixed | (unnamed & F.coalesce(F.col("_fixed") <= F.col("_further"), F.lit(True)))
+    judged = found.withColumns({"class_distance": F.when(compared, class_distance), "word_distance": F.when(by_words, least(by_word)), "base_failed": base_failed()})
     long = (F.col("_words") >= LEAST_WORDS) & (F.col("_chars") >= LEAST_CHARS)
     far = long & (F.coalesce(F.col("class_distance") > MOST_CLASSES, F.lit(False)) | F.coalesce(F.col("word_distance") > MOST_WORDS, F.lit(False)))
     named = {"_words": "n_words", "_word_chars": "word_chars", "_symbols": "n_symbols", "_dup_lines": "n_dup_lines", "_repeat_words": "n_repeat_words"}

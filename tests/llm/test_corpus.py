@@ -208,6 +208,20 @@ def test_rules_reject_prose_without_common_words(spark):
     assert not r.base_failed and r.class_distance <= rules.MOST_CLASSES and not r.kept
 
 
+def test_rules_of_further_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    random = np.random.default_rng(6)
+    prose = lambda letters: " ".join("".join(random.choice(list(letters), random.integers(2, 9))) for _ in range(200)) + "."
+    russian, greek = "абвгдежзиклмнопрсту", "αβγδεζηθικλμνξοπρστ"
+    own = [(-i, "ru", prose(russian)) for i in range(1, 41)] + [(-50, None, prose(russian)), (-51, "el", prose(greek)), (-52, None, prose("zqxwkjv"))]
+    own += [(-60, "ru", prose("0123456789")), (-61, None, prose("#*$%&|<>")), (-62, "en", prose(russian)), (-63, "xx", "too short")]
+    got = {r._id: r for r in rules.judge(docs.union(spark.createDataFrame(own, docs.schema))).collect()}
+    assert all(got[i].kept for i in [*range(-40, 0), -50, -51])
+    assert not any(got[i].base_failed or got[i].kept for i in (-52, -60, -61, -62)) and got[-63].base_failed and got[-63].class_distance is None
+    alone = {r._id: r.kept for r in rules.judge(docs).collect()}
+    assert alone == {i: got[i].kept for i in alone}
+
+
 # 5 Quality
 
 
