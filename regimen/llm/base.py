@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many bytes, counted before.
 BROADCAST_BYTES = 8 << 20
+#: A key is joined on its own if it has more than one row in HEAVY, and more than LEAST_HEAVY.
+HEAVY, LEAST_HEAVY = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,21 @@ def as_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of rows with keys: a row per key with its number n of rows, a table that is cheap to read. on: columns without nulls.
+
+    A key may hold a third of all rows. At most HEAVY keys can have more than a HEAVY-th of all rows; these are broadcast and their
+    rows stay where they are, and the rest is shuffled by key.
+    """
+    total, most = keys.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    bound = max(total // HEAVY, LEAST_HEAVY)
+    if most <= bound:
+        return rows.join(keys.drop(n).hint("shuffle_hash"), on)
+    heavy = F.broadcast(keys.where(F.col(n) > bound).drop(n))
+    rest = rows.join(heavy.select(on), on, "left_anti").join(keys.where(F.col(n) <= bound).drop(n).hint("shuffle_hash"), on)
+    return rows.join(heavy, on).unionByName(rest)
+
+
 def id_hash(column: str = "doc_id") -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -1,18 +1,20 @@
-"""Exact repeats of at least SPAN bytes, by suffix sorting with sampled names, dealt over buckets of content-defined anchors.
+"""Exact repeats of at least SPAN bytes, by naming and sorting sampled places that stand alike in equal strings.
 
 A window is SPAN bytes from one place. Its anchor is the place of the least hash of KEY bytes in it, so equal windows have equal anchors
-at equal offsets, and a window can only repeat within the bucket of its anchor. Windows that share an anchor's place are one
-context (the bytes that they cover).
+at equal offsets: the anchors are a cover in which the difference of two equal windows' anchors is that of the windows. Windows
+that share an anchor's place are one context (the bytes that they cover).
 
-1. Anchors of all documents with a hash of each context. An anchor met once ends here; if all contexts of a bucket are equal, all
+1. Anchors of all documents with a hash of each context. An anchor met once ends here; if all contexts of an anchor are equal, all
    their windows repeat; an equal context met twice repeats too. No bytes are moved for these.
-2. The different contexts of the other buckets, once each, are suffix-sorted as far as SPAN bytes: the cover samples each eighth place
-   counted from the anchor (equal windows agree on it, so one residue is a difference cover here); sampled tuples are
-   sorted and named, names are paired, sorted and named again until they span 128 bytes; the windows at all other places are merged
-   by (leading bytes, names, last bytes), and neighbours in this order are compared.
-3. Buckets of more than BUCKET contexts (a passage in many documents has such at its edges) are dealt by a 128-bit hash of each window instead.
+2. Of the other contexts, one of each kind, every STEP-th place counted from the anchor is sampled and named by the CORE bytes from
+   there. A window begins up to EDGE bytes before a sampled place, so it is the name, its leading bytes and the bytes after the core.
+3. Places whose name is met once end here. Where all places of a name have equal bytes around, all their windows repeat. Of the rest, one
+   of each kind is taken apart into its windows, which are merged by (name, leading bytes, last bytes), and neighbours compared.
 4. Spans are united per document.
 
+The rows are linear in the contexts at every size: at most a row per sampled place in 2 and STEP rows per different place in 3. A key,
+name or window with a third of all rows is joined on its own (join_counted). Names have 128 bits.
+
 Defined results: text is UTF-8 bytes, null is empty; matches never cross documents, overlaps count; rows with equal id and text are
 different places, so both lose their repeats; extra columns stay.
 """
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimen.llm.base import written
+from regimen.llm.base import join_counted, written
 from regimen.llm.neardup import mix
 
-SPAN, KEY = 200, 40
-#: Windows of a document taken at a time; different contexts of a bucket that are sorted together; bytes of contexts sorted at a time.
-CHUNK, BUCKET, TOGETHER = 1 << 20, 400, 4 << 20
+SPAN, KEY = 200, 64
+#: Windows of a document, and bytes of contexts, taken at a time; distance of the sampled places.
+CHUNK, STEP = 1 << 20, 8
+EDGE = STEP - 1
+CORE = SPAN - EDGE
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -88,57 +92,26 @@ def anchors(raw: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def repeated_windows(texts: list[np.ndarray], counts: np.ndarray, away: np.ndarray) -> list[np.ndarray]:
-    """For each context, which of its windows equal a window of another context or another one of its own. counts: windows of a context, away: place of its anchor."""
-    lead = (-away) % 8  # the anchor stands at a multiple of 8
-    size = lead + np.array([len(t) for t in texts])
-    start = np.concatenate([[0], np.cumsum(size + (-size) % 8)])
-    buffer = np.zeros(start[-1] + 256, np.uint8)
-    for t, s, pad in zip(texts, start, lead, strict=False):
-        buffer[s + pad : s + pad + len(t)] = t
-    words = buffer.view(">u8").astype(np.uint64)
-
-    def named(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-        key = a if b is None else (a << np.uint64(32)) | b
-        return np.unique(key, return_inverse=True)[1].astype(np.uint64)
-
-    def pairs(names: np.ndarray, apart: int) -> np.ndarray:
-        return named(names, np.concatenate([names[apart:], np.zeros(apart, np.uint64)]))
-
-    name = named(words)
-    for apart in (1, 2, 4):
-        name = pairs(name, apart)
-    name64, name128 = name, pairs(name, 8)
-
-    def eight(at: np.ndarray) -> np.ndarray:
-        """The eight bytes from any place as a number."""
-        shift = (at % 8 * 8).astype(np.uint64)
-        low = np.where(shift > 0, words[at // 8 + 1] >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return (words[at // 8] << shift) | low
-
-    window = np.repeat(start[:-1] + lead, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    sample = (window + 7) // 8
-    residue = (window % 8).astype(np.uint64)  # equal windows stand alike to their anchors
-    middle, first, last = (name128[sample] << np.uint64(35)) | (name64[sample + 16] << np.uint64(3)) | residue, eight(window), eight(window + SPAN - 8)
-    order = np.lexsort((last, first, middle))
-    equal = (middle[order[1:]] == middle[order[:-1]]) & (first[order[1:]] == first[order[:-1]]) & (last[order[1:]] == last[order[:-1]])
-    again = np.zeros(len(window), bool)
-    again[order[1:][equal]] = True
-    again[order[:-1][equal]] = True
-    return np.split(again, np.cumsum(counts)[:-1])
-
-
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and one past the last place of each run of true values."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-_SPANS = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_text", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-
-
-def _span_batch(rows: list, texts: list, starts: list, stops: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (rows, texts, starts, stops)], ["_row", "_text", "start", "stop"])
+def block_rows(buffer: np.ndarray, base: np.ndarray, many: np.ndarray, away: np.ndarray, rolling: tuple[Rolling, Rolling]) -> tuple[np.ndarray, ...]:
+    """The sampled places of contexts that lie in buffer from base on, with EDGE bytes of anything before and after: (context, place less base, low, high, one, two, left, right) of each.
+
+    A window that begins i bytes before a sampled place p is known by i, the name of the CORE bytes from p on, the i bytes before
+    them and the EDGE - i bytes after them. low and high bound i; left and right hold the bytes that some window of the place covers.
+    """
+    least_, most = (away - many + 1) // STEP, away // STEP
+    per = most - least_ + 1
+    owner = np.repeat(np.arange(len(base)), per)
+    k = np.repeat(least_, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    low = np.maximum(away[owner] - many[owner] + 1 - STEP * k, 0)
+    high = np.minimum(away[owner] - STEP * k, EDGE)
+    inside = away[owner] - STEP * k
+    place = base[owner] + inside
+    one, two = (r.ranges(r.sums(buffer), place, place + CORE) for r in rolling)
+    left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    for j in range(EDGE):
+        left = (left << 8) | buffer[place - EDGE + j]
+        right = (right << 8) | buffer[place + CORE + j]
+    return owner, inside, low, high, one.view(np.int64), two.view(np.int64), left & ((1 << 8 * high) - 1), right & ~((1 << 8 * low) - 1)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", row: str = "_row") -> DataFrame:
@@ -156,78 +129,59 @@ def repeated_spans(docs: DataFrame, text: str = "text", row: str = "_row") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ids] + [pa.array(np.concatenate([c[i] for c in cols])).cast(k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["_row", "_text", "bucket", "context", "first", "many", "away"])
 
     every = written(source.mapInArrow(scan, "_row bigint, _text bigint, bucket bigint, context bigint, first bigint, many int, away int"), "anchors")
-    seen = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    again = written(every.join(seen.select("bucket", (F.col("low") != F.col("high")).alias("mixed")), "bucket"), "repeated-anchors")
+    seen = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1")
+    again = written(join_counted(every, written(seen, "repeated-keys"), ["bucket"]), "repeated-anchors")
     mixed = again.where("mixed")
     kinds = written(mixed.groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("_row", "_text", "first", "many", "away"), F.struct("_row", "_text", "first")).alias("at")), "contexts")
-    whole = again.where("not mixed").select("_row", "_text", "first", "many").union(mixed.join(kinds.where("n > 1").select("bucket", "context"), ["bucket", "context"]).select("_row", "_text", "first", "many"))
-    whole = whole.select("_row", "_text", F.col("first").alias("start"), (F.col("first") + F.col("many") + SPAN - 1).alias("stop"))
+    copies = join_counted(mixed, kinds.where("n > 1").select("bucket", "context", "n"), ["bucket", "context"])
+    spanned = lambda df: df.select("_row", "_text", F.col("first").alias("start"), (F.col("first") + F.col("many") + SPAN - 1).alias("stop"))
+    whole = spanned(again.where("not mixed")).union(spanned(copies))
 
-    size = kinds.groupBy("bucket").agg((F.count(F.lit(1)) > BUCKET).alias("hot"))
-    wanted = kinds.join(size, "bucket").select("at._row", "at._text", F.struct("bucket", "at.first", "at.many", "at.away", "hot", (F.col("n") > 1).alias("done")).alias("c"))
+    wanted = kinds.select("at._row", "at._text", F.struct("at.first", "at.many", "at.away", (F.col("n") > 1).alias("done")).alias("c"))
     wanted = written(wanted.groupBy("_row", "_text").agg(F.collect_list("c").alias("cs")), "wanted-contexts").withColumnsRenamed({"_row": "_wrow", "_text": "_wtext"}).hint("shuffle_hash")
     texts = source.join(wanted, (F.col("_row") == F.col("_wrow")) & (F.col("_text") == F.col("_wtext"))).select("_row", "_text", "t", "cs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out: list[tuple] = []
-                for r, h, t, cs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
-                    raw = t.as_buffer()
-                    out += [(r, h, c["bucket"], c["first"], c["many"], c["away"], c["hot"], c["done"], raw[c["first"] : c["first"] + c["many"] + SPAN - 1].to_pybytes()) for c in cs]
-                names = ["_row", "_text", "bucket", "first", "many", "away", "hot", "done", "bytes"]
-                kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds_)], names)
-
-    contexts = written(texts.mapInArrow(cut, "_row bigint, _text bigint, bucket bigint, first bigint, many int, away int, hot boolean, done boolean, bytes binary"), "context-bytes")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        weight = 0
+        rolling, held, pieces, weight = (Rolling(2), Rolling(3)), [], [np.zeros(EDGE, np.uint8)], EDGE
 
         def flush() -> pa.RecordBatch:
-            flags = repeated_windows([np.frombuffer(h[6], np.uint8) for h in held], np.array([h[4] for h in held]), np.array([h[5] for h in held]))
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for (_, r, h, first, _, _, _, done), flag in zip(held, flags, strict=True):
-                if not done and flag.any():
-                    for a, b in zip(*_runs(flag), strict=True):
-                        for column, value in zip(out, (r, h, first + a, first + b + SPAN - 1), strict=True):
-                            column.append(value)
-            return _span_batch(*out)
+            row_, text_, first, many, away, done, base = (np.array([h[i] for h in held]) for i in range(7))
+            owner, inside, low, high, one, two, left, right = block_rows(np.concatenate([*pieces, np.zeros(EDGE, np.uint8)]), base, many, away, rolling)
+            columns = [row_[owner], text_[owner], first[owner] + inside, one, two, (low << 59) | (high << 56) | left, right, done[owner]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_row", "_text", "place", "one", "two", "left", "right", "done"])
 
         for batch in batches:
-            for item in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if held and weight > TOGETHER and item[0] != held[-1][0]:
-                    yield flush()
-                    held, weight = [], 0
-                held.append(item)
-                weight += len(item[6])
+            for r, h, t, cs in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
+                r, h, raw = r.as_py(), h.as_py(), np.frombuffer(t.as_buffer(), np.uint8)
+                for first, many, away, done in zip(*(cs.values.field(i).to_pylist() for i in range(4)), strict=True):
+                    pieces.append(raw[first : first + many + SPAN - 1])
+                    held.append((r, h, first, many, away, done, weight))
+                    weight += len(pieces[-1])
+                    if weight > CHUNK:
+                        yield flush()
+                        held, pieces, weight = [], [np.zeros(EDGE, np.uint8)], EDGE
         if held:
             yield flush()
 
-    columns = ["bucket", "_row", "_text", "first", "many", "away", "bytes", "done"]
-    sorted_spans = contexts.where("not hot").select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, _SPANS)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(2), Rolling(3)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows_, texts_, starts, a, b = [], [], [], [], []
-                for r, h, first, many, raw in zip(*(batch.slice(at, 256).column(i).to_pylist() for i in range(5)), strict=True):
-                    piece, place = np.frombuffer(raw, np.uint8), np.arange(many)
-                    a.append(one.ranges(one.sums(piece), place, place + SPAN))
-                    b.append(two.ranges(two.sums(piece), place, place + SPAN))
-                    rows_.append(np.full(many, r))
-                    texts_.append(np.full(many, h))
-                    starts.append(first + place)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (rows_, texts_, starts, a, b)], ["_row", "_text", "start", "one", "two"])
-
-    each = contexts.where("hot").select("_row", "_text", "first", "many", "bytes").mapInArrow(windows, "_row bigint, _text bigint, start bigint, one bigint, two bigint")
-    each = written(each, "windows")
-    twice = each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    dealt = each.join(twice, ["one", "two"]).select("_row", "_text", "start", (F.col("start") + SPAN).alias("stop"))
-    return whole.union(sorted_spans).union(dealt)
+    blocks = written(texts.mapInArrow(cut, "_row bigint, _text bigint, place bigint, one bigint, two bigint, left bigint, right bigint, done boolean"), "blocks")
+    name, kind = ["one", "two"], ["one", "two", "left", "right"]
+    differ = (F.min("left") != F.max("left")) | (F.min("right") != F.max("right"))
+    names = written(blocks.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), differ.alias("differ")).where("n > 1"), "block-names")
+    shared = written(join_counted(blocks, names, name), "shared-blocks")
+    low, high = F.expr("cast(left >> 59 as int)"), F.expr("cast(left >> 56 & 7 as int)")
+    covered = lambda df: df.where("not done").select("_row", "_text", (F.col("place") - high).alias("start"), (F.col("place") - low + SPAN).alias("stop"))
+
+    # equal blocks repeat as a whole; of different blocks with one name, one of each kind is compared window by window
+    different = shared.where("differ").drop("differ")
+    alike = written(different.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("_row", "_text", "place", "done"), F.struct("_row", "_text", "place")).alias("at")), "block-kinds")
+    twins = covered(join_counted(different, alike.where("n > 1").select(*kind, "n"), kind))
+    each = alike.select("one", "two", "left", "right", "at._row", "at._text", "at.place", (F.col("at.done") | (F.col("n") > 1)).alias("done"), F.explode(F.sequence(low, high)).alias("i"))
+    outside = F.expr(f"shiftleft(cast(i as bigint), 56) | shiftleft(left & (shiftleft(1L, 8 * i) - 1), 8 * ({EDGE} - i)) | shiftright(right, 8 * i)")
+    each = written(each.select("one", "two", outside.alias("outside"), "_row", "_text", "place", "i", "done"), "windows")
+    window = [*name, "outside"]
+    twice = written(each.groupBy(*window).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-windows")
+    dealt = join_counted(each.where("not done"), twice, window).select("_row", "_text", (F.col("place") - F.col("i")).alias("start"), (F.col("place") - F.col("i") + SPAN).alias("stop"))
+    return whole.union(covered(shared.where("not differ"))).union(twins).union(dealt)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", output: str = "kept") -> DataFrame:

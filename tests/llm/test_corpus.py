@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, registry, repeats, rules
+from regimen.llm import base, bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, registry, repeats, rules
 from tests.llm.conftest import LONG, ODD
 
 
@@ -295,9 +295,7 @@ def brute_spans(texts: list[bytes], span: int) -> list[list[list[int]]]:
     return out
 
 
-@pytest.mark.parametrize("bucket", [400, 1])
-def test_repeats_equal_brute_force(spark, sf, monkeypatch, bucket):
-    monkeypatch.setattr(repeats, "BUCKET", bucket)
+def test_repeats_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     want = dict(zip(texts, brute_spans(list(texts.values()), 200), strict=True))
@@ -324,6 +322,25 @@ def test_repeats_at_edges_and_odd(spark, odd):
     assert repeats.without_repeats(odd.limit(0)).collect() == []
 
 
+def test_repeats_in_families_of_near_copies(spark, monkeypatch):
+    """Many contexts of one anchor that differ at any distance, with heavy keys joined on their own."""
+    monkeypatch.setattr(base, "HEAVY", 3)
+    monkeypatch.setattr(base, "LEAST_HEAVY", 5)
+    monkeypatch.setattr(repeats, "CHUNK", 2048)
+    random = np.random.default_rng(8)
+    stem = bytes(random.choice(list(b"abcdefgh"), 900)).decode()
+    texts = []
+    for i in range(120):
+        t = list(stem)
+        for at in random.choice(900, random.integers(0, 6), replace=False):
+            t[at] = "XYZ"[random.integers(0, 3)]
+        texts.append("".join(t)[int(random.integers(0, 300)) : 900 - int(random.integers(0, 300))] if i % 4 else stem[100:330] + str(i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    want = brute_spans([t.encode() for t in texts], 200)
+    assert sum(map(len, want)) > 100
+    assert [[[s.start, s.stop] for s in r.spans] for r in repeats.without_repeats(docs).orderBy("doc_id").collect()] == want
+
+
 # 9 URLs
 
 
