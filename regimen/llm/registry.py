@@ -195,7 +195,7 @@ def op10_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside benchmark passages."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = overlap.benchmark_overlap(docs, items, window=13)
-    return found.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 OP10_SQL = r"""
@@ -205,12 +205,19 @@ WITH item AS (
 ), doc AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
     FROM documents
+), item_word AS (
+    SELECT item_id, w, least(len(w), 13) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM item
 ), item_window AS (
-    SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
-    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+    SELECT DISTINCT item_id, size, win FROM (
+        SELECT item_id, size, i, len(w) AS n, string_agg(word, ' ') OVER (PARTITION BY item_id, w ORDER BY i ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS win FROM item_word)
+    WHERE i <= n - size + 1
+), doc_word AS (
+    SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc
 ), doc_window AS (
-    SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
-    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM item_window))
+    SELECT doc_id, i, size, win FROM (
+        SELECT doc_id, n, i, size, string_agg(word, ' ') OVER (PARTITION BY doc_id, size ORDER BY i ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS win
+        FROM doc_word, (SELECT DISTINCT size FROM item_window))
+    WHERE i <= n - size + 1
 ), hit AS (
     SELECT doc_id, item_id, i, size FROM doc_window JOIN item_window USING (size, win)
 ), covered AS (

@@ -17,7 +17,7 @@ def odd_dir(spark, tmp_path_factory) -> str:
     rows = [(i, t, "en" if i % 2 else None, "src0", len(t or "")) for i, t in ODD]
     rows += [(100 + i, f"shared line\nsome words of document {i} stand here and there, of it and to it\n  SHARED line  \nlast", "en", "src1", 80) for i in range(12)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
-    items = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "One, two!"), (3, None), (4, "..."), (2, "One, two!"), (10, "lazy dog and runs")]
+    items = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "One, two!"), (3, None), (4, "..."), (2, "One, two!"), (10, "lazy dog and runs"), (None, "jumps over")]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(100, 112)] + [(None, 1, 0), (4, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(1, "http://A.Example.org/es/x", "<a href='//evil.example.net/a'>"), (2, None, None), (3, "no scheme", ""), (4, "http://evil.example.net", "<a href=\"http://A.example.ORG/x\">"), (5, "http://x.com/de/1", ""), (6, "http://x.com/de/2", ""), (7, "http://x.com/de/3", ""), (8, "http://x.com/de/4", ""), (9, "http://x.com/it/5", None), (10, "http://sub.x.com?q=://y", ""), (11, "http://org/", ""), (11, "http://org/", ""), (12, "a://b\nc/d#e", "")]

@@ -375,13 +375,35 @@ def test_overlap_odd(spark, odd, odd_dir):
     items = spark.read.parquet(f"{odd_dir}/benchmark.parquet")
     by = {r._id: r for r in overlap.benchmark_overlap(odd, items).collect() if r._id is not None}
     assert by[12].n_hit == 13 and by[12].items == ["1", "2"] and by[12].contaminated and not by[1].contaminated
-    assert by[11].n_hit == 2 and by[4].items == ["10"]
+    assert by[11].n_hit == 2 and by[4].items == ["10"] and by[4].n_items == 2 and by[4].n_hit == 40 * 60 * 6
+    assert {r._id for r in overlap.without_contaminated(odd, items.where("item_id is null")).select(F.col("doc_id").alias("_id")).collect()} & {4, 5, 6} == set()
     clean = overlap.without_contaminated(odd, items)
     assert clean.columns == odd.columns and clean.where("doc_id = 12").isEmpty() and clean.where("doc_id = 1").count() == 1
     assert overlap.benchmark_overlap(odd, items.limit(0)).where("n_hit > 0").isEmpty()
     assert overlap.benchmark_overlap(odd.limit(0), items).collect() == []
 
 
+def test_overlap_is_linear_and_joins_heavy_keys(spark, monkeypatch):
+    import time
+
+    took = {}
+    for n in (9000, 72000):
+        docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs far away from here " * (n // 15))], "doc_id int, text string")
+        items = spark.createDataFrame([(1, "lazy dog and runs"), (2, "dog and runs far away from here the quick brown fox jumps over the lazy dog and"), (3, "dog and runs far away from here the quick brown fox jumps under")], "item_id int, text string")
+        began = time.time()
+        [r] = overlap.benchmark_overlap(docs, items).collect()
+        took[n] = time.time() - began
+        assert r.items == ["1", "2"] and r.n_hit == n - 7 - 4
+    assert took[72000] < 8 * took[9000] + 10
+    docs = spark.createDataFrame([(i, f"own{i} word{i} " + "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * (i % 3)) for i in range(60)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "thirteen fourteen"), (3, "word7")], "item_id int, text string")
+    want = sorted(map(str, overlap.benchmark_overlap(docs, items).collect()))
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(base, "HEAVY", 2)
+    monkeypatch.setattr(base, "LEAST_HEAVY", 3)
+    assert sorted(map(str, overlap.benchmark_overlap(docs, items).collect())) == want
+
+
 # Pipeline
 
 
