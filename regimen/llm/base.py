@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many bytes, counted before.
 BROADCAST_BYTES = 8 << 20
-#: A key is joined on its own if it has more than one row in HEAVY, and more than LEAST_HEAVY.
-HEAVY, LEAST_HEAVY = 1000, 1000
+#: A key is joined on its own if it has more than one row in HEAVY, and more than LEAST_HEAVY (LEAST_SALTED where its rows are dealt).
+HEAVY, LEAST_HEAVY, LEAST_SALTED = 1000, 1000, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,27 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n")
     return rows.join(heavy, on).unionByName(rest)
 
 
+def join_met(rows: DataFrame, wanted: DataFrame, on: list[str], n: int, row_bytes: int) -> DataFrame:
+    """Inner join of rows with wanted, whose n counted rows are broadcast if they are small; else both are shuffled, and keys that many rows share are joined on their own."""
+    if n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(wanted), on)
+    often = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(wanted.select(on).distinct(), on, "left_semi")
+    return written(join_counted(rows, written(often, "met-keys"), on, "_n"), "met").join(wanted, on)
+
+
+def join_salted(rows: DataFrame, large: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join of rows with large: a row per key that may be too wide to broadcast. Rows of a key with many rows are dealt by the hash of by, and only that key's row of large is repeated, at most HEAVY repetitions in all."""
+    often = written(rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total, most = often.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    bound = max(total // HEAVY, LEAST_SALTED)
+    if most <= bound:
+        return rows.join(large, on)
+    heavy = F.broadcast(often.where(F.col("_n") > bound).select(on, F.ceil(F.col("_n") / bound).alias("_parts")))
+    dealt = rows.join(heavy, on, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0))).drop("_parts")
+    copied = large.join(heavy, on, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [on, "_deal"]).drop("_deal")
+
+
 def id_hash(column: str = "doc_id") -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimen.llm.base import as_small, written
+from regimen.llm.base import join_met, written
 
 # ASCII white space and letters.
 SPACE = " \t\n\x0b\f\r"
@@ -47,7 +47,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id
     one = Window.partitionBy("h", "g", "_id", "_text").orderBy("pos")
     firsts = lines.repartitionByRange(F.col("h"), F.col("g"), F.col("_id"), F.col("_text")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
     common = written(firsts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h", "g"), "common-lines")
-    gone = lines.join(as_small(common, common.count(), 64), ["h", "g"]).select("_id", "_text", F.expr("pos div 64").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
+    gone = join_met(lines, common, ["h", "g"], common.count(), 64).select("_id", "_text", F.expr("pos div 64").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
     words = gone.groupBy("_id", "_text", "word").agg(F.bitwise_not(F.bit_or("bit")).alias("bits"))
     sparse = words.groupBy("_id", "_text").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
     dense = F.flatten(F.transform("w", lambda w, k: F.concat(F.array_repeat(F.lit(-1).cast("bigint"), (w["word"] - F.when(k > 0, F.get("w", k - 1)["word"]).otherwise(-1) - 1).cast("int")), F.array(w["bits"]))))

@@ -11,8 +11,11 @@
 
 A pair with the least similarity shares no bucket with probability (1 - similarity ** rows) ** bands: 7e-9 for 0.85 with 32 bands of 5.
 
+Buckets, hubs, stars and groups of copies with a large share of all rows are joined on their own or dealt (join_counted, join_salted).
+
 Defined results: a text without words (null, empty, white space) has an empty set and stays alone; rows with one document id are
-one document; a row without id is linked with nothing and has no component; no table size or group size is capped.
+one document; ids may be of any type that has an order, and the least one names a component; a row without id is linked with
+nothing and has no component; no table size or group size is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimen.llm.base import written
+from regimen.llm.base import join_counted, join_salted, written
 
 #: Words remembered by a Python worker; a full memory is emptied.
 CACHE_ENTRIES = 400_000
@@ -119,8 +122,8 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, tex
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(counts, np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists], ["_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    source = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return source.mapInArrow(run, "_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    source = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -136,21 +139,21 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), lists], ["_id", "n", "shingles"])
 
-    return docs.mapInArrow(run, "_id bigint, n bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, shingles array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (least node reachable) for the nodes of links (a, b bigint): large and small stars in turn until nothing changes."""
+    """node, component (least node reachable) for the nodes of links (a, b of one type that has an order): large and small stars in turn until nothing changes."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         """Edges (v, u) have v > u. Joins each node's larger (large) or smaller (small) neighbours to the least node among itself and its neighbours."""
         if large:
             both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-            least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-            moved = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+            least = both.groupBy("v").agg(F.min("u").alias("m"), F.count_if(F.col("u") > F.col("v")).alias("n")).where("n > 0").select("v", F.least("v", "m").alias("m"), "n")
+            moved = join_counted(both.where("u > v"), written(least, "least"), ["v"]).select(F.col("u").alias("v"), F.col("m").alias("u"))
         else:
-            least = edges.groupBy("v").agg(F.min("u").alias("m"))
-            moved = edges.join(least, "v").select("v", "m", "u")
+            least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+            moved = join_counted(edges, written(least, "least"), ["v"]).select("v", "m", "u")
             moved = moved.select("v", F.col("m").alias("u")).union(moved.select(F.col("u").alias("v"), F.col("m").alias("u")))
         return moved.where("v <> u").distinct()
 
@@ -158,7 +161,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "links")
     before = state(edges)
     while before[0]:
-        edges = written(star(star(edges, True), False), "stars")
+        edges = written(star(written(star(edges, True), "large-stars"), False), "stars")
         now = state(edges)
         if now == before:
             break
@@ -195,41 +198,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     part, whole = similarity
     sketched = written(sketches(docs, size, bands, rows, doc_id, text), "sketches")
     full = sketched.where("n_shingles > 0 and _id is not null")
-    nodes = written(full.groupBy("set_a", "set_b").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(full.groupBy("set_a", "set_b").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     dealt = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
-    members = written(dealt.join(shared, "key"), "buckets")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = written(join_counted(dealt, written(shared, "shared-keys"), ["key"], "m"), "buckets")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The full shingle sets of the nodes in the column _want."""
-        texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+        texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
         wanted = written(wanted.distinct(), "wanted")
         return written(shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_want"), "left_semi"), size), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
         first, second = (sets.select(F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-        joined = pairs.join(second, "b").join(first, (pairs["a"] == first["a"]) & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part))
+        # a hub is in the pairs of all members of its buckets: those pairs are dealt, and its set is repeated
+        joined = join_salted(pairs.join(second, "b"), first, "a", "b").where(F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
         same = F.size(F.array_intersect("s_a", "s_b"))
-        return written(joined.where(same * whole >= (F.col("n_a") + F.col("n_b") - same) * part).select(pairs["a"], "b").distinct(), "confirmed")
+        return written(joined.where(same * whole >= (F.col("n_a") + F.col("n_b") - same) * part).select("a", "b").distinct(), "confirmed")
 
     stars = written(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = confirmed(stars, sets_of(stars.select(F.col("a").alias("_want")).union(stars.select("b"))))
     joined = components(links)
     placed = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    mixed = written(placed.join(split, "key"), "mixed")
-    largest = mixed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    strays = mixed.join(largest, "key").where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
+    sizes = placed.groupBy("key", "component").count()
+    split = sizes.groupBy("key").agg(F.sum("count").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("parts > 1").drop("parts")
+    mixed = written(join_counted(placed, written(split, "split-keys"), ["key"], "m"), "mixed")
+    strays = mixed.where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
     others = written(mixed.select("node", "component").distinct().join(strays, "node", "left"), "others")
     sets = sets_of(others.select(F.col("node").alias("_want")))
     more = confirmed(crossing_pairs(others, sets, part, whole), sets)
     final = joined if more.isEmpty() else components(links.union(more))
-    rep = nodes.join(final, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
-    rep = written(rep, "classes")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    judged = sketched.join(rep, ["set_a", "set_b"], "left").select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce(own, "_id")).alias("component_id"))
-    return judged.withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)))
+    rep = written(nodes.join(final, "node", "left").select("set_a", "set_b", "copies", F.coalesce("component", "node").alias("component_id")), "classes")
+    own = join_counted(full.select("_id", "n_shingles", "set_a", "set_b"), rep, ["set_a", "set_b"], "copies").select("_id", "n_shingles", "component_id")
+    alone = sketched.where("n_shingles = 0 or _id is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    return own.unionByName(alone).withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **params) -> DataFrame:

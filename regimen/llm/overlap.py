@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimen.llm.base import BROADCAST_BYTES, join_counted, written
+from regimen.llm.base import join_met, written
 from regimen.llm.lines import ascii_lower
 
 #: All ASCII that is no digit and no small letter divides words.
@@ -61,15 +61,6 @@ def _windows(words: Column, at: Column) -> Column:
     return F.flatten(F.transform(F.array(words), cut))
 
 
-def _met(rows: DataFrame, wanted: DataFrame, on: str, n: int, row_bytes: int) -> DataFrame:
-    """rows joined with wanted, whose n counted rows are broadcast if they are small; else by shuffling, where a key of many rows (a passage in a third of all documents) is joined on its own."""
-    if n * row_bytes <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(wanted), on)
-    often = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).join(wanted.select(on).distinct(), on, "left_semi")
-    rows = written(join_counted(rows, written(often, "met-keys"), [on], "_n"), "met")
-    return rows.join(wanted, on)
-
-
 def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 5, share: tuple[int, int] = (1, 20), doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """A row per document: _id, _text (hash of the text), n_words, n_hit (words inside a shared window), n_items (items found), items (their ids, as sorted strings), contaminated (n_hit is at least share of the words)."""
     per = window - k + 1
@@ -83,19 +74,19 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 13, k: in
     # places where a window may begin: around a shared print, or where an item's longest word stands right
     prints = pieces.where(F.size("iw") >= window).select(F.explode(winnowed("iw", k, per)).alias("kept")).select(*_prints("kept", "ipos")).select("print").distinct()
     found = parts.select("_id", "_text", F.explode("kept").alias("kept")).select("_id", "_text", *_prints("kept", "pos"))
-    found = _met(found, prints, "print", n_windows, 16).select("_id", "_text", F.struct((F.col("pos") - per + 1).alias("first"), F.col("pos").alias("last"), F.lit(window).alias("size")).alias("at"))
+    found = join_met(found, prints, ["print"], n_windows, 16).select("_id", "_text", F.struct((F.col("pos") - per + 1).alias("first"), F.col("pos").alias("last"), F.lit(window).alias("size")).alias("at"))
     if n_short:
         longest = F.array_max(F.transform("iw", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("back"), w.alias("word"))))
         short = pieces.where(F.size("iw") < window).select(longest.alias("a"), F.size("iw").alias("size")).select(F.col("a.word").alias("word"), (-F.col("a.back")).alias("ipos"), "size").distinct()
         every = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(words_of(text)).alias("pos", "word"))
         start = F.col("pos") - F.col("ipos")
-        found = found.unionByName(_met(every, short, "word", n_short, 256).select("_id", "_text", F.struct(start.alias("first"), start.alias("last"), "size").alias("at")))
+        found = found.unionByName(join_met(every, short, ["word"], n_short, 256).select("_id", "_text", F.struct(start.alias("first"), start.alias("last"), "size").alias("at")))
     found = written(found.groupBy("_id", "_text").agg(F.collect_set("at").alias("at")), "candidates")
 
     texts = docs.select(F.col(doc_id).alias("_tid"), F.xxhash64(text).alias("_ttext"), F.col(text).alias("_body"))
     near = texts.join(found.hint("shuffle_hash"), F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_ttext") == F.col("_text")))
     own = written(near.select("_id", "_text", F.inline(_windows(words_of("_body"), F.col("at")))), "windows")
-    hits = _met(own, theirs, "window", n_windows, 256)
+    hits = join_met(own, theirs, ["window"], n_windows, 256)
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
     names = F.collect_set(F.struct("item"))
     judged = hits.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "size")).alias("spans"), names.alias("names"))

@@ -154,12 +154,16 @@ def test_neardup_equals_brute_force(spark, sf):
     assert got == want
 
 
-def test_neardup_families(spark):
-    """A base with many near copies, some linked only to each other; links that miss a star must be found too."""
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_neardup_families(spark, monkeypatch, heavy):
+    """A base with many near copies, some linked only to each other; links that miss a star must be found too. Also with heavy keys joined on their own, and with ids that are texts."""
+    monkeypatch.setattr(base, "HEAVY", heavy)
+    for least in ("LEAST_HEAVY", "LEAST_SALTED"):
+        monkeypatch.setattr(base, least, 1000 if heavy == 1000 else 4)
     random = np.random.default_rng(3)
-    texts, base = {}, [f"w{i}" for i in range(120)]
+    texts, stem = {}, [f"w{i}" for i in range(120)]
     for i in range(90):
-        words = list(base)
+        words = list(stem)
         for at in random.choice(120, random.integers(1, 14), replace=False):
             words[at] = f"x{random.integers(0, 400)}" if random.random() < 0.8 else ""
         texts[i] = " ".join(w for w in words if w)
@@ -167,8 +171,11 @@ def test_neardup_families(spark):
             words[int(random.integers(0, 120))] = "again"
             texts[1000 + i] = " ".join(w for w in words if w)
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string").repartition(5)
+    df = df if heavy == 1000 else df.union(df.where("doc_id < 30").selectExpr("doc_id + 2000", "text")).select(F.format_string("d%05d", "doc_id").alias("doc_id"), "text")
+    all_texts = texts | ({} if heavy == 1000 else {i + 2000: texts[i] for i in range(30)})
     got = {r._id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, (85, 100), 32, 5).collect()}
-    assert got == brute_components(texts, 3, 85)
+    name = (lambda i: i) if heavy == 1000 else (lambda i: f"d{i:05d}")
+    assert got == {name(i): (n, name(c)) for i, (n, c) in brute_components(all_texts, 3, 85).items()}
 
 
 def test_neardup_odd(spark, odd):
@@ -262,6 +269,14 @@ def test_lines_bitmaps_of_long_documents(spark):
         assert r.n_dropped == 15 and r.text == "\n".join(x for x in dict(rows)[r.doc_id].split("\n") if x != "common")
 
 
+def test_lines_with_many_common_lines(spark, odd, monkeypatch):
+    want = sorted(map(str, lines.drop_common_lines(odd).collect()))
+    monkeypatch.setattr(base, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(base, "HEAVY", 2)
+    monkeypatch.setattr(base, "LEAST_HEAVY", 3)
+    assert sorted(map(str, lines.drop_common_lines(odd).collect())) == want
+
+
 # 7 Licenses
 
 
@@ -398,7 +413,7 @@ def test_overlap_is_linear_and_joins_heavy_keys(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"own{i} word{i} " + "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * (i % 3)) for i in range(60)], "doc_id int, text string")
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "thirteen fourteen"), (3, "word7")], "item_id int, text string")
     want = sorted(map(str, overlap.benchmark_overlap(docs, items).collect()))
-    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(base, "BROADCAST_BYTES", 1)
     monkeypatch.setattr(base, "HEAVY", 2)
     monkeypatch.setattr(base, "LEAST_HEAVY", 3)
     assert sorted(map(str, overlap.benchmark_overlap(docs, items).collect())) == want
