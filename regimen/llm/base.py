@@ -40,13 +40,18 @@ def as_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
-    """Inner join of rows with keys: a row per key with its number n of rows, a table that is cheap to read. on: columns without nulls.
+def key_sizes(keys: DataFrame, n: str = "n") -> tuple[int, int]:
+    """All rows of the keys, and those of the most frequent one."""
+    return tuple(keys.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first())
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n", sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Inner join of rows with keys: a row per key with its number n of rows, a table that is cheap to read. on: columns without nulls. sizes: key_sizes, if known.
 
     A key may hold a third of all rows. At most HEAVY keys can have more than a HEAVY-th of all rows; these are broadcast and their
     rows stay where they are, and the rest is shuffled by key.
     """
-    total, most = keys.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    total, most = sizes or key_sizes(keys, n)
     bound = max(total // HEAVY, LEAST_HEAVY)
     if most <= bound:
         return rows.join(keys.drop(n).hint("shuffle_hash"), on)
@@ -66,7 +71,7 @@ def join_met(rows: DataFrame, wanted: DataFrame, on: list[str], n: int, row_byte
 def join_salted(rows: DataFrame, large: DataFrame, on: str, by: str) -> DataFrame:
     """Inner join of rows with large: a row per key that may be too wide to broadcast. Rows of a key with many rows are dealt by the hash of by, and only that key's row of large is repeated, at most HEAVY repetitions in all."""
     often = written(rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
-    total, most = often.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    total, most = key_sizes(often, "_n")
     bound = max(total // HEAVY, LEAST_SALTED)
     if most <= bound:
         return rows.join(large, on)

@@ -1,11 +1,11 @@
 """URL filter: prefix rules, then trust and distrust that spread over the graph of hosts. DataFrame functions only.
 
 Trust is a personalised PageRank along links from hosts whose pages the rules allow; distrust is one against the links from hosts
-whose pages they block (who links to a blocked host is suspect). Seeds weigh by their numbers of such pages. Links are absolute
-and protocol-relative references in a page's html, plus each host's link to the nearest parent host that has pages, which weighs as
-much as an average host has pages. All weights are in proportion to the pages, and the two ranks are only compared with each other, so
-that the same pages ten times over get the same verdicts. Edges are summed per pair of hosts before any rank is computed, so a host
-with a third of all pages is a few rows from then on.
+whose pages they block (who links to a blocked host is suspect). A host is a seed by the share of its pages that a rule allows or
+blocks, so all seeds are between 0 and 1 whatever a host's size, and the same pages ten times over give the same ranks. Links are
+absolute and protocol-relative references in a page's html, plus each host's link to the nearest parent host that has pages,
+which weighs as much as an average host has pages. Edges are summed per pair of hosts before any rank is computed, and a host with a
+large share of all edges is joined on its own. Ranks are iterated to a tolerance, with no number of rounds given.
 
 Defined results: a null url or one without :// has empty host and path, no rule and verdict allow; null html has no links; repeated
 pages count as often as they occur and are judged alike; extra columns of pages are left aside.
@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimen.llm.base import written
+from regimen.llm.base import join_counted, key_sizes, written
 from regimen.llm.lines import ascii_lower
 
 #: A hot host's pages are dealt to so many tasks when they get its verdict.
 SALTS = 32
-#: A host is blocked if its distrust is over RATIO times its trust (a millionth more, against rounding). LEAST is a further, absolute
-#: bound that the registered SQL names; at 0 it decides nothing.
-DAMPING, ROUNDS, RATIO, LEAST = 0.85, 8, 2.000001, 0.0
+#: A host is blocked if its distrust is about twice its trust (just under 2, which sums of thirds and halves meet by rounding), and LEAST
+#: at least; a host whose pages are all blocked has 1 - DAMPING = 0.15 of its own.
+DAMPING, RATIO, LEAST, TOLERANCE = 0.85, 1.99, 0.011, 1e-4
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/\"'?#\s<>]+)"
 
@@ -58,27 +58,45 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.union(parents).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust of every host that has pages or links."""
-    judged = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).where("host <> ''").withColumn("verdict", rule_of(rules)["verdict"])
-    seeds = written(judged.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("verdict") == "block").cast("double").alias("bad")), "seeds")
-    edges = host_edges(pages, url, html)
-    edges = written(edges, "host-edges")
+def host_flows(edges: DataFrame, hosts: DataFrame) -> DataFrame:
+    """kind, src, dst, weight: trust flows along an edge in proportion to the links out of src, distrust against it in proportion to those into dst. Each host also has an edge to itself with its own share (base) and no weight."""
     out, into = edges.groupBy("src").agg(F.sum("n").alias("n_out")), edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
-    edges = written(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("forth"), (F.col("n") / F.col("n_in")).alias("back")), "host-weights")
-    ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
-        forth = edges.join(ranks, edges["src"] == ranks["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("trust"), F.lit(0.0).alias("distrust"))
-        back = edges.join(ranks, edges["dst"] == ranks["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust"))
-        own = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
-        flow = forth.union(back).select("host", (F.col("trust") * damping).alias("trust"), (F.col("distrust") * damping).alias("distrust"))
-        ranks = written(own.union(flow).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
-    return ranks
+    both = edges.join(out, "src").join(into, "dst")
+    forth = both.select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("n_out")).alias("weight"))
+    back = both.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("n_in")).alias("weight"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("host")).union(hosts.select("host")).distinct().join(hosts, "host", "left")
+    kinds = F.array(F.struct(F.lit("trust").alias("kind"), F.coalesce("good", F.lit(0.0)).alias("base")), F.struct(F.lit("distrust").alias("kind"), F.coalesce("bad", F.lit(0.0)).alias("base")))
+    own = nodes.select("host", F.inline(kinds)).select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("weight"), "base")
+    return forth.union(back).withColumn("base", F.lit(None).cast("double")).unionByName(own)
+
+
+def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", damping: float = DAMPING, tolerance: float = TOLERANCE, least: float = LEAST, more: int = 0) -> DataFrame:
+    """host, trust, distrust of every host that has pages or links.
+
+    Both start at (1 - damping) of a host's own share and only grow from round to round, so that no verdict can swing. Rounds end when no
+    rank grows by more than tolerance times itself (times least, if it is smaller); more: rounds after that.
+    """
+    judged = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).where("host <> ''").withColumn("verdict", rule_of(rules)["verdict"])
+    share = lambda verdict: (F.count_if(F.col("verdict") == verdict) / F.count(F.lit(1))).alias({"allow": "good", "block": "bad"}[verdict])
+    hosts = written(judged.groupBy("host").agg(share("allow"), share("block")), "seeds")
+    edges = written(host_edges(pages, url, html), "host-edges")
+    flows = written(host_flows(edges, hosts), "host-flows")
+    many = written(flows.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("n")), "flow-counts")
+    ranks = flows.where("base is not null").select("kind", F.col("src").alias("host"), (F.col("base") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
+    sizes, left = key_sizes(many), 1 + more
+    while left > 0:
+        known = many.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
+        moved = join_counted(flows, known, ["kind", "src"], sizes=sizes)
+        value = F.when(F.col("base").isNotNull(), F.col("base") * (1 - damping)).otherwise(F.col("rank") * F.col("weight") * damping)
+        ranks = written(moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(value).alias("rank"), F.sum(F.when(F.col("base").isNotNull(), F.col("rank"))).alias("before")), "ranks")
+        grown = ranks.agg(F.max((F.col("rank") - F.col("before")) / F.greatest("rank", F.lit(least)))).first()[0]
+        left -= grown is None or grown <= tolerance
+    return ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = RATIO, least: float = LEAST, page_id: str = "page_id", url: str = "url", html: str = "html", **params) -> DataFrame:
-    """page_id, host, path, rule, verdict: the rule's verdict, else block where the host's distrust is over ratio times its trust (and least at least, if one is given), else allow."""
-    scores = host_scores(pages, rules, url, html, **params)
+    """page_id, host, path, rule, verdict: the rule's verdict, else block where the host's distrust is at least least and over ratio times its trust, else allow."""
+    scores = host_scores(pages, rules, url, html, least=least, **params)
     blocked = scores.where((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") >= least)).select(F.col("host").alias("_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     own = pages.select(page_id, host_of(url).alias("host"), path_of(url).alias("path")).withColumn("_rule", rule_of(rules))
     own = own.withColumn("_at", F.pmod(F.xxhash64(page_id), F.lit(SALTS)).cast("int"))

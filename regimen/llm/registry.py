@@ -153,41 +153,46 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    """The rules and the rounds of both ranks, unrolled."""
+    """The rules, and both ranks as one recursion that ends at the tolerance."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = sorted(URL_RULES, key=lambda r: -len(r[1]) - len(r[2]))
     rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in rules) + " END"
     link = hostgraph.LINK.replace("'", "''")
     d = hostgraph.DAMPING
-    rounds = "".join(
-        f""", r{k} AS (
-    SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-        SELECT host, good * {1 - d} AS trust, bad * {1 - d} AS distrust FROM seed
-        UNION ALL SELECT dst, trust * forth * {d}, 0.0 FROM weight JOIN r{k - 1} ON src = host
-        UNION ALL SELECT src, 0.0, distrust * back * {d} FROM weight JOIN r{k - 1} ON dst = host) GROUP BY host)"""
-        for k in range(1, hostgraph.ROUNDS + 1)
-    )
     return f"""
-WITH page AS (
+WITH RECURSIVE page AS (
     SELECT page_id, {lower.format("regexp_extract(coalesce(url, ''), '" + hostgraph.URL + "', 1)")} AS host, regexp_extract(coalesce(url, ''), '{hostgraph.URL}', 2) AS path, html FROM pages
 ), ruled AS (
     SELECT *, {rule} AS fit FROM page
 ), seed AS (
-    SELECT host, count(*) FILTER (WHERE fit LIKE 'allow %')::DOUBLE AS good, count(*) FILTER (WHERE fit LIKE 'block %')::DOUBLE AS bad FROM ruled WHERE host <> '' GROUP BY host
+    SELECT host, count(*) FILTER (WHERE fit LIKE 'allow %') / count(*) AS good, count(*) FILTER (WHERE fit LIKE 'block %') / count(*) AS bad, count(*) AS own FROM ruled WHERE host <> '' GROUP BY host
 ), link AS (
     SELECT host AS src, dst, count(*) AS n FROM (SELECT DISTINCT page_id, host, {lower.format("unnest(regexp_extract_all(coalesce(html, ''), '" + link + "', 1))")} AS dst FROM page) WHERE host <> '' AND host <> dst GROUP BY ALL
 ), above AS (
     SELECT host AS src, k, array_to_string(string_split(host, '.')[k:], '.') AS dst FROM (SELECT DISTINCT host, unnest(range(2, len(string_split(host, '.')) + 1)) AS k FROM page WHERE host <> '')
 ), parent AS (
-    SELECT src, arg_min(dst, k) AS dst, 1 AS n FROM above WHERE dst IN (SELECT host FROM page) GROUP BY src
+    SELECT src, arg_min(dst, k) AS dst, (SELECT avg(own) FROM seed) AS n FROM above WHERE dst IN (SELECT host FROM page) GROUP BY src
 ), edge AS (
     SELECT src, dst, sum(n) AS n FROM (SELECT * FROM link UNION ALL SELECT * FROM parent) GROUP BY ALL
 ), weight AS (
     SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM edge
-), r0 AS (SELECT host, good AS trust, bad AS distrust FROM seed){rounds}
+), node AS (
+    SELECT host, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM (SELECT src AS host FROM edge UNION SELECT dst FROM edge UNION SELECT host FROM seed) LEFT JOIN seed USING (host)
+), flow AS (
+    SELECT 'trust' AS kind, src, dst, forth AS weight, NULL::DOUBLE AS base FROM weight UNION ALL SELECT 'distrust', dst, src, back, NULL FROM weight
+    UNION ALL SELECT 'trust', host, host, 0, good FROM node UNION ALL SELECT 'distrust', host, host, 0, bad FROM node
+), rank(kind, host, round, value, grown) AS (
+    SELECT kind, src, 0, base * {1 - d}, 1.0::DOUBLE FROM flow WHERE base IS NOT NULL
+    UNION ALL
+    SELECT kind, host, round, value, max((value - before) / greatest(value, {hostgraph.LEAST})) OVER () FROM (
+        SELECT f.kind AS kind, dst AS host, max(round) + 1 AS round, sum(CASE WHEN base IS NULL THEN value * weight * {d} ELSE base * {1 - d} END) AS value, sum(CASE WHEN base IS NOT NULL THEN value END) AS before
+        FROM rank r JOIN flow f ON r.kind = f.kind AND r.host = f.src WHERE r.grown > {hostgraph.TOLERANCE} GROUP BY ALL)
+), last AS (
+    SELECT host, sum(value) FILTER (WHERE kind = 'trust') AS trust, sum(value) FILTER (WHERE kind = 'distrust') AS distrust FROM rank WHERE round = (SELECT max(round) FROM rank) GROUP BY host
+)
 SELECT page_id, ruled.host AS host, path, substr(fit, 7) AS rule,
        coalesce(substr(fit, 1, 5), CASE WHEN distrust > {hostgraph.RATIO} * trust AND distrust >= {hostgraph.LEAST} THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN r{hostgraph.ROUNDS} AS last ON ruled.host = last.host
+FROM ruled LEFT JOIN last ON ruled.host = last.host
 """
 
 
