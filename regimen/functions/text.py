@@ -67,11 +67,6 @@ def normalize_ids(items: Column) -> Column:
     return F.filter(items, lambda x: x.isNotNull() & (F.trim(x) != "") & ~F.trim(x).startswith("Error"))
 
 
-def flatten_ids(items: Column) -> Column:
-    """normalize_ids over one level of nested arrays."""
-    return normalize_ids(F.flatten(F.filter(items, lambda x: x.isNotNull())))
-
-
 def split_pipe(text: Column) -> Column:
     """Trimmed tokens between pipes, without nan and none."""
     tokens = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: F.trim(x))

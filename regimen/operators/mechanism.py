@@ -15,12 +15,15 @@ from regimen.operators.pairs import dedupe
 CATEGORIES = ["common_comorbidity", "mechanistically_synergistic", "other", "side_effect_relief"]
 RATIONALE_CHARS = 600
 
+HEADER = "Which mechanism joins the drugs of this combination to the disease?"
+FOOTER = "Answer with one JSON object of the fields category, confidence, rationale_short and needs_human_review."
+
 
 def check_categories(categories: list[str]) -> list[str]:
     """The list, if all are known categories and there is one."""
-    if not categories or (unknown := sorted(set(categories) - set(CATEGORIES))):
+    if not categories or (unknown := sorted(set(c.strip() for c in categories) - set(CATEGORIES))):
         raise ValueError(f"unknown categories {unknown if categories else 'none given'}; known are {CATEGORIES}")
-    return list(categories)
+    return [c.strip() for c in categories]
 
 
 def condition_label(columns: list[str], names: tuple[str, ...] = ("condition_id_norm_norm_label", "condition_id_norm_label")) -> Column:
@@ -57,11 +60,11 @@ def cache_key(key: Column, version: str, model: str) -> Column:
     return F.concat_ws("::", key, F.lit(version), F.lit(model))
 
 
-def request_text(df: DataFrame, drugs: str = "drug_set", condition: str = "condition_id_norm", label: str = "source_label_binary", source: str = "source_file", drug_labels: str | None = None, condition_name: str | None = None) -> DataFrame:
+def request_text(df: DataFrame, drugs: str = "drug_set", condition: str = "condition_id_norm", label: str = "source_label_binary", source: str = "source_file", header: str = HEADER, footer: str = FOOTER, drug_labels: str | None = None, condition_name: str | None = None) -> DataFrame:
     """df with request: a line per field; the optional fields have a line only where they aren't empty."""
     line = lambda name, value: F.concat(F.lit(f"- {name}: "), value)
     optional = [line(name, F.nullif(F.col(c).cast("string"), F.lit(""))) for name, c in (("drug_labels", drug_labels), ("condition_label", condition_name)) if c]
-    lines = [F.lit("Classify this example:"), line("disease_id", F.col(condition)), line("drug_ids", X.format_list(F.col(drugs))), line("source_label_binary", F.col(label).cast("string")), line("source_file", F.col(source)), *optional, F.lit("Output only a JSON object with category, confidence, rationale_short, needs_human_review.")]
+    lines = [F.lit(header), line("disease_id", F.col(condition)), line("drug_ids", X.format_list(F.col(drugs))), line("source_label_binary", F.col(label).cast("string")), line("source_file", F.col(source)), *optional, F.lit(footer)]
     return df.withColumn("request", F.concat_ws("\n", *lines))
 
 
@@ -124,9 +127,10 @@ def annotate(todo: DataFrame, classify: Callable[[list[str]], list[str]], partit
     return todo.select(key, request).repartition(partitions).mapInPandas(run, f"{key} string, payload string, error string")
 
 
-def attach(df: DataFrame, annotations: DataFrame, model: str, version: str, key: str = "example_key") -> DataFrame:
-    """Every row of df with its key's annotation (null if there is none), the model, version and a UTC time stamp."""
-    one = annotations.select(key, F.col("category").alias("mechanism_category"), F.col("confidence").alias("mechanism_confidence"), "needs_human_review", "rationale_short").dropDuplicates([key])
+def attach(df: DataFrame, annotations: DataFrame, model: str, version: str, key: str = "example_key", order: list[str] | None = None) -> DataFrame:
+    """Every row of df with its key's annotation (null if there is none), the model, version and a UTC time stamp. Of several annotations of a key the first by order counts (else the least by all columns)."""
+    own = F.struct(F.col("category").alias("mechanism_category"), F.col("confidence").alias("mechanism_confidence"), "needs_human_review", "rationale_short")
+    one = annotations.groupBy(key).agg(F.min_by(own, F.struct(*order) if order else own).alias("_one")).select(key, "_one.*")
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     return df.join(one, key, "left").withColumns({"llm_model": F.lit(model), "prompt_version": F.lit(version), "classified_at_utc": stamp})
 
@@ -137,10 +141,12 @@ def read_labeled(spark: SparkSession, path: str) -> DataFrame:
     return resolve_label(raw).withColumns({"drug_set": X.parse_list(F.col("drug_set"))["items"], "mechanism_confidence": F.col("mechanism_confidence").try_cast("double"), "needs_human_review": F.col("needs_human_review").try_cast("boolean")})
 
 
-def summarize(df: DataFrame, category: str = "mechanism_category", confidence: str = "mechanism_confidence", review: str = "needs_human_review") -> DataFrame:
-    """One row over the annotated rows: n_rows, mean, median, least and largest confidence, review_rate."""
-    own = df.where(F.col(category).isNotNull())
-    return own.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(confidence).alias("mean"), F.median(confidence).alias("median"), F.min(confidence).alias("least"), F.max(confidence).alias("largest"), F.avg(F.col(review).cast("int")).alias("review_rate"))
+def summarize(df: DataFrame, category: str = "mechanism_category", confidence: str = "mechanism_confidence", review: str = "needs_human_review", error: str = "error") -> DataFrame:
+    """One row: n_rows (annotated rows), n_failures (rows with an error, where df has such a column), and of the annotated rows mean, median, least and largest confidence and review_rate."""
+    failed = F.count_if(F.col(error).isNotNull()) if error in df.columns else F.lit(0).cast("bigint")
+    known = F.col(category).isNotNull()
+    confidence, review = F.when(known, F.col(confidence)), F.when(known, F.col(review))
+    return df.agg(F.count_if(known).alias("n_rows"), failed.alias("n_failures"), F.avg(confidence).alias("mean"), F.median(confidence).alias("median"), F.min(confidence).alias("least"), F.max(confidence).alias("largest"), F.avg(review.cast("int")).alias("review_rate"))
 
 
 def category_counts(df: DataFrame, category: str = "mechanism_category") -> DataFrame:
@@ -150,11 +156,11 @@ def category_counts(df: DataFrame, category: str = "mechanism_category") -> Data
 def _steps(keep: list[str], least: float, drop_review: bool) -> tuple[Column, Column, Column]:
     a = F.coalesce(F.col("mechanism_category").isin(check_categories(keep)), F.lit(False))
     b = a & F.coalesce(F.col("mechanism_confidence") >= least, F.lit(False))
-    return a, b, b & ~F.coalesce(F.col("needs_human_review"), F.lit(False)) if drop_review else b
+    return a, b, b & ~F.coalesce(F.col("needs_human_review"), F.lit(True)) if drop_review else b
 
 
 def refine(df: DataFrame, keep: list[str], least: float = 0.6, drop_review: bool = True) -> DataFrame:
-    """Deduplicated drug_set, condition_id_norm, label of the rows of kept categories, at least as confident, not up for review."""
+    """Deduplicated drug_set, condition_id_norm, label of the rows of kept categories, at least as confident, not up for review. A row without a review flag counts as up for review."""
     return dedupe(df.where(_steps(keep, least, drop_review)[2])).select("drug_set", "condition_id_norm", "label")
 
 

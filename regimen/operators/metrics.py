@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from regimen.sources.tables import written
+
 # The buckets of drug counts.
 BUCKETS = ["1", "2", "3-4", ">=5"]
 METRICS = ["roc_auc", "accuracy", "sensitivity", "specificity", "f1"]
 
 
 def bucket(size: Column) -> Column:
-    return F.when(size <= 1, "1").when(size == 2, "2").when(size <= 4, "3-4").otherwise(">=5")
+    """The bucket of a number of drugs; null, none or less has no bucket."""
+    return F.when(size == 1, "1").when(size == 2, "2").when(size.between(3, 4), "3-4").when(size >= 5, ">=5")
 
 
 def confusion(df: DataFrame, by: list[str] | None = None, prob: str = "prob", label: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -34,13 +37,18 @@ def rates(counts: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, by: list[str] | None = None, prob: str = "prob", label: str = "label") -> DataFrame:
     """roc_auc per group, ties counting half; null where one class is missing.
 
-    Rows are summed per distinct probability first. A group's window then has a row per distinct value; round prob beforehand
-    where that could be huge.
+    Rows are summed per distinct probability, and these are dealt by ranges: negatives are summed up within a range and shifted by those of
+    the ranges before, a row per range and group. So no task sees all probabilities of a group.
     """
     by = by or []
     points = df.groupBy(*by, F.col(prob).alias("p")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = points.withColumn("area", F.col("pos") * (below + F.col("neg") / 2))
+    ranged = written(points.repartitionByRange(*by, "p").withColumn("_range", F.spark_partition_id()), "probability-ranges")
+    before = lambda what, groups, order: F.coalesce(F.sum(what).over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = [*by, "_range"]
+    shifts = ranged.groupBy(*each).agg(F.sum("neg").alias("_n")).select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(each)], before("_n", by or [F.lit(0)], "_range").alias("_shift"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(each)]
+    placed = ranged.withColumn("_own", before("neg", each, "p")).join(shifts, same, "left").withColumn("_below", F.col("_own") + F.col("_shift"))
+    area = placed.withColumn("area", F.col("pos") * (F.col("_below") + F.col("neg") / 2))
     return area.groupBy(*by).agg(F.try_divide(F.sum("area"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
@@ -51,22 +59,23 @@ def binary_metrics(df: DataFrame, by: list[str] | None = None, prob: str = "prob
 
 
 def bucket_metrics(df: DataFrame, length: str = "length", by: list[str] | None = None, **names) -> DataFrame:
-    """binary_metrics per bucket of drug counts; every bucket is reported, an empty one with n = 0 and null metrics."""
+    """binary_metrics per bucket of drug counts; every bucket is reported, an empty one with n = 0 and null metrics. Rows without a bucket are left out."""
     groups = [*(by or []), "bucket"]
-    found = binary_metrics(df.withColumn("bucket", bucket(F.col(length))), groups, **names)
+    found = binary_metrics(df.withColumn("bucket", bucket(F.col(length))).where("bucket is not null"), groups, **names)
     every = F.explode(F.array(*[F.lit(b) for b in BUCKETS])).alias("bucket")
     frame = df.select(*by).distinct().select(*by, every) if by else df.sparkSession.range(1).select(every)
     return frame.join(found, groups, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "tn", "fp", "fn", "tp")})
 
 
 def summarize_replicates(df: DataFrame, metrics: list[str] = METRICS, by: list[str] | None = None) -> DataFrame:
-    """metric, mean, std, sem, n over the rows (replicates); null and NaN are left out, one value has std and sem 0."""
+    """metric, mean, std, sem, n over the rows (replicates); null and NaN are left out, one value has std and sem 0. Where df has n (rows that a replicate was measured on), mean_n is its mean over all replicates."""
     by = by or []
-    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select(*by, "m.*")
+    size = F.col("n") if "n" in df.columns else F.lit(None)
+    long = df.select(*by, size.cast("double").alias("_size"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select(*by, "_size", "m.*")
     good = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.col("value"))
-    out = long.groupBy(*by, "metric").agg(F.avg(good).alias("mean"), F.stddev_samp(good).alias("std"), F.count(good).alias("n"))
+    out = long.groupBy(*by, "metric").agg(F.avg(good).alias("mean"), F.stddev_samp(good).alias("std"), F.count(good).alias("n"), F.avg("_size").alias("mean_n"))
     std = F.when(F.col("n") == 1, 0.0).otherwise(F.col("std"))
-    return out.select(*by, "metric", "mean", std.alias("std"), F.try_divide(std, F.sqrt(F.nullif(F.col("n"), F.lit(0)).cast("double"))).alias("sem"), "n")
+    return out.select(*by, "metric", "mean", std.alias("std"), F.try_divide(std, F.sqrt(F.nullif(F.col("n"), F.lit(0)).cast("double"))).alias("sem"), "n", *(["mean_n"] if "n" in df.columns else []))
 
 
 def format_mean_sem(mean: Column, sem: Column) -> Column:

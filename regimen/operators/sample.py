@@ -10,6 +10,8 @@ from regimen.sources.tables import written
 
 #: The bits of monotonically_increasing_id below the partition's number.
 _ROW_BITS = 33
+#: Most rows that a sample takes with a heap in every task.
+TOP_ROWS = 10_000
 
 
 def seeded(key: str | Column, seed: int | Column) -> Column:
@@ -18,8 +20,11 @@ def seeded(key: str | Column, seed: int | Column) -> Column:
 
 
 def exact_n(df: DataFrame, n: int, seed: int, key: str = "example_key") -> DataFrame:
-    """Exactly n rows, or all if there are fewer: the first by seeded hash, ties by key. A heap per partition, no full sort."""
-    return df.withColumn("_order", seeded(key, seed)).orderBy("_order", key).limit(n).drop("_order")
+    """Exactly n rows, or all if there are fewer: the first by seeded hash, ties by key. Up to TOP_ROWS by a heap per partition; a larger n, such as a share of all rows, by positions from sorted ranges, so that no task holds n rows."""
+    ordered = df.withColumn("_order", seeded(key, seed))
+    if n <= TOP_ROWS:
+        return ordered.orderBy("_order", key).limit(n).drop("_order")
+    return index_rows(ordered, ["_order", key], "_idx").where(F.col("_idx") < n).drop("_order", "_idx")
 
 
 def index_rows(df: DataFrame, by: list[str | Column], output: str = "idx") -> DataFrame:

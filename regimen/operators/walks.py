@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimen.operators.kg import adjacency
 from regimen.operators.sample import index_rows
 from regimen.sources.tables import shared_folder, written
 
 
-def draw(seed: int, step: int, walk: str = "walk", start: str = "start") -> Column:
-    """32 hash bits for a step of a walk."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), F.col(walk).cast("string"), F.col(start))), 1, 8), 16, 10).cast("bigint")
+#: Candidates that a biased walk draws at a time; walks that accept none of them draw again.
+TRIES = 8
+
+
+def draw(seed: int, step: int, walk: str = "walk", start: str = "start", *more: Column | str) -> Column:
+    """32 hash bits for a step of a walk; more: what else tells draws apart."""
+    extra = [F.lit(m) if isinstance(m, str) else m.cast("string") for m in more]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), F.col(walk).cast("string"), F.col(start), *extra)), 1, 8), 16, 10).cast("bigint")
 
 
 def neighbour_index(edges: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def neighbour_index(edges: DataFrame) -> DataFrame:
 
 
 def random_walks(edges: DataFrame, num_walks: int = 10, length: int = 20, seed: int = 13, p: float = 1.0, q: float = 1.0) -> DataFrame:
-    """start, walk, path: num_walks walks of up to length nodes from every node. p, q are the return and in-out weights of node2vec; 1 and 1 are uniform picks by hash and stay in the JVM."""
+    """start, walk, path: num_walks walks of up to length nodes from every node. p, q are the return and in-out weights of node2vec; 1 and 1 are uniform picks by hash; others are drawn uniformly and accepted by their weight."""
     if p == 1.0 and q == 1.0:
         index = written(neighbour_index(edges), "neighbour-index")
         starts = index.select(F.col("node").alias("start"), "degree").distinct()
@@ -41,26 +44,25 @@ def random_walks(edges: DataFrame, num_walks: int = 10, length: int = 20, seed:
                 walks = written(walks, "walks")
         return walks.select("start", "walk", "path")
 
-    @F.pandas_udf("string")
-    def pick(bits: pd.Series, here: pd.Series, before: pd.Series, last: pd.Series) -> pd.Series:
-        out = []
-        for b, options, known, back in zip(bits, here, before, last, strict=True):
-            known = set() if known is None else set(known)
-            weights = [1.0 if back is None else 1 / p if x == back else 1.0 if x in known else 1 / q for x in options]
-            left = (b + 0.5) / 2**32 * sum(weights)
-            for x, w in zip(options, weights, strict=True):
-                left -= w
-                if left <= 0:
-                    break
-            out.append(x)
-        return pd.Series(out)
-
-    lists = written(adjacency(edges), "adjacency")
-    walks = lists.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk"), F.array("id").alias("path"), F.col("id").alias("at"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("array<string>").alias("before"))
+    top = max(1.0, 1 / p, 1 / q)
+    index = written(neighbour_index(edges), "neighbour-index")
+    linked = index.select(F.col("node").alias("last"), "other", F.lit(True).alias("known"))
+    walks = index.select(F.col("node").alias("start"), "degree").distinct()
+    walks = walks.select("start", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk"), F.array("start").alias("path"), F.col("start").alias("at"), F.lit(None).cast(index.schema["node"].dataType).alias("last"), "degree")
+    weight = F.when(F.col("last").isNull(), top).when(F.col("other") == F.col("last"), 1 / p).when(F.col("known"), 1.0).otherwise(1 / q)
     for step in range(1, length):
-        here = walks.join(lists.select(F.col("id").alias("at"), F.col("neighbours").alias("here")), "at")
-        moved = here.withColumn("next", pick(draw(seed, step), F.col("here"), F.col("before"), F.col("last")))
-        walks = written(moved.select("start", "walk", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at"), F.col("at").alias("last"), F.col("here").alias("before")), "walks")
+        waiting, done, tried = written(walks, "walks"), None, 0
+        while done is None or not waiting.isEmpty():
+            # candidates by hash, accepted with their share of the largest weight: no neighbour list is read
+            tries = waiting.select("start", "walk", "at", "last", "degree", F.explode(F.sequence(F.lit(tried), F.lit(tried + TRIES - 1))).alias("try"))
+            tries = tries.withColumns({"k": F.pmod(draw(seed, step, "walk", "start", F.col("try"), "k"), F.col("degree")), "luck": (draw(seed, step, "walk", "start", F.col("try"), "luck") + 0.5) / float(1 << 32)})
+            met = tries.join(index.select(F.col("node").alias("at"), "k", "other", "next_degree"), ["at", "k"]).join(linked, ["last", "other"], "left")
+            taken = met.where(F.col("luck") * top < weight).groupBy("start", "walk").agg(F.min_by(F.struct("other", "next_degree"), "try").alias("to"))
+            taken = written(taken, "taken")
+            moved = waiting.join(taken, ["start", "walk"]).select("start", "walk", F.array_append("path", F.col("to.other")).alias("path"), F.col("to.other").alias("at"), F.col("at").alias("last"), F.col("to.next_degree").alias("degree"))
+            done = moved if done is None else done.union(moved)
+            waiting, tried = written(waiting.join(taken, ["start", "walk"], "left_anti"), "waiting"), tried + TRIES
+        walks = done
     return walks.select("start", "walk", "path")
 
 

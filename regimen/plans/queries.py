@@ -11,6 +11,7 @@ from regimen.functions import text as X
 from regimen.operators import coverage, embed, encode, kg, mechanism, metrics, models, pairs, sample, split, walks
 from regimen.plans import testbed as V
 from regimen.plans.views_sql import sql
+from regimen.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,10 +171,11 @@ def top_edge_types(spark, sf_dir):
 
 
 def _start(spark, sf_dir):
-    return kg.nodes(V.edges(spark, sf_dir)).where("id like 'PART:%' and cast(substring(id, 6) as int) % 500 = 0")
+    """The parts without a category."""
+    return V.categories(spark, sf_dir).where("id like 'PART:%' and category = 'UNKNOWN'").select("id")
 
 
-_START = ", st AS (SELECT DISTINCT src AS id FROM ed WHERE src[6:]::INT % 500 = 0)"
+_START = ", st AS (SELECT id FROM cat WHERE id LIKE 'PART:%' AND category = 'UNKNOWN')"
 _HOPS = _START + ", h1 AS (SELECT DISTINCT other AS id FROM nbr JOIN st ON node = id EXCEPT SELECT id FROM st), s1 AS (SELECT id, 0 AS hop FROM st UNION ALL SELECT id, 1 FROM h1), h2 AS (SELECT DISTINCT other AS id FROM nbr JOIN h1 ON node = id EXCEPT SELECT id FROM s1)\n"
 
 
@@ -182,12 +184,12 @@ def incident_edges(spark, sf_dir):
     return kg.incident_edges(V.edges(spark, sf_dir), _start(spark, sf_dir)).select("src", "relation", "dst")
 
 
-@query(sql(["ed", "nbr"], _HOPS + "SELECT id, hop FROM s1"))
+@query(sql(["ed", "nbr", "cat"], _HOPS + "SELECT id, hop FROM s1"))
 def expand_1hop(spark, sf_dir):
     return kg.expand_nodes(V.edges(spark, sf_dir), _start(spark, sf_dir), 1)[0]
 
 
-@query(sql(["ed", "nbr"], _HOPS + "SELECT 1 AS hop, (SELECT count(*) FROM h1) AS n_new, (SELECT count(*) FROM s1) AS n_all WHERE n_new > 0 UNION ALL SELECT 2, (SELECT count(*) FROM h2), (SELECT count(*) FROM s1) + (SELECT count(*) FROM h2) WHERE (SELECT count(*) FROM h2) > 0"))
+@query(sql(["ed", "nbr", "cat"], _HOPS + "SELECT 1 AS hop, (SELECT count(*) FROM h1) AS n_new, (SELECT count(*) FROM s1) AS n_all WHERE n_new > 0 UNION ALL SELECT 2, (SELECT count(*) FROM h2), (SELECT count(*) FROM s1) + (SELECT count(*) FROM h2) WHERE (SELECT count(*) FROM h2) > 0"))
 def expand_2hop_log(spark, sf_dir):
     _, log, _ = kg.expand_nodes(V.edges(spark, sf_dir), _start(spark, sf_dir), 2)
     return spark.createDataFrame(log, "hop int, n_new bigint, n_all bigint")
@@ -198,15 +200,15 @@ def adjacency(spark, sf_dir):
     return kg.adjacency(V.edges(spark, sf_dir)).select("id", joined("neighbours"), "degree")
 
 
-@query(sql(["ed", "nbr"], _HOPS.rstrip() + ", cut AS (SELECT * FROM ed WHERE src IN (SELECT id FROM s1) OR dst IN (SELECT id FROM s1))\nSELECT DISTINCT unnest([src, dst]) AS id FROM cut"))
+@query(sql(["ed", "nbr", "cat"], _HOPS.rstrip() + ", cut AS (SELECT * FROM ed WHERE src IN (SELECT id FROM s1) OR dst IN (SELECT id FROM s1))\nSELECT DISTINCT unnest([src, dst]) AS id FROM cut"))
 def prepared_nodes(spark, sf_dir):
     return kg.prepare(V.edges(spark, sf_dir), _start(spark, sf_dir), hops=1)[1]
 
 
 def _walk_sql(steps: int, seed: int = SEED) -> str:
-    ctes = ", deg AS (SELECT node, count(*) AS degree FROM nbr GROUP BY node), nb AS (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY other) - 1 AS k FROM nbr), w0 AS (SELECT node AS start, walk, [node] AS path, node AS at_node FROM deg, (SELECT unnest(range(2)) AS walk))"
+    ctes = ", deg AS MATERIALIZED (SELECT node, count(*) AS degree FROM nbr GROUP BY node), nb AS MATERIALIZED (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY other) - 1 AS k FROM nbr), w0 AS MATERIALIZED (SELECT node AS start, walk, [node] AS path, node AS at_node FROM deg, (SELECT unnest(range(2)) AS walk))"
     for i in range(1, steps):
-        ctes += f", w{i} AS (SELECT start, walk, list_append(path, other) AS path, other AS at_node FROM w{i - 1} JOIN deg ON deg.node = at_node JOIN nb ON nb.node = at_node AND k = ('0x' || substr(md5(concat_ws(':', '{seed}', '{i}', walk::VARCHAR, start)), 1, 8))::BIGINT % degree)"
+        ctes += f", w{i} AS MATERIALIZED (SELECT start, walk, list_append(path, other) AS path, other AS at_node FROM w{i - 1} JOIN deg ON deg.node = at_node JOIN nb ON nb.node = at_node AND k = ('0x' || substr(md5(concat_ws(':', '{seed}', '{i}', walk::VARCHAR, start)), 1, 8))::BIGINT % degree)"
     return sql(["nbr"], ctes + f"\nSELECT start, walk::INT AS walk, array_to_string(path, '>') AS path FROM w{steps - 1}")
 
 
@@ -280,7 +282,7 @@ def drug_count_filter(spark, sf_dir):
 
 @query(sql(["dd"], f", o AS (SELECT key, row_number() OVER (ORDER BY {_hash()}, key) - 1 AS i, count(*) OVER () AS n FROM dd)\nSELECT key AS example_key FROM o WHERE i >= greatest(1, floor(n * 0.8)) + greatest(1, floor(n * 0.1))"))
 def take_test(spark, sf_dir):
-    rows = V.deduped(spark, sf_dir)
+    rows = written(V.deduped(spark, sf_dir), "examples")
     return split.take(rows, split.exact_split(rows, SEED), "test").select("example_key")
 
 
@@ -290,7 +292,7 @@ _VOCABS = ", dv AS (SELECT id, row_number() OVER (ORDER BY id)::INT AS idx FROM
 
 
 def _encoded(spark, sf_dir):
-    rows = V.deduped(spark, sf_dir)
+    rows = written(V.deduped(spark, sf_dir), "examples")
     return encode.encode_examples(rows, encode.drug_vocab(rows), encode.disease_vocab(rows))
 
 
@@ -336,7 +338,7 @@ def unique_examples(spark, sf_dir):
     return mechanism.unique_examples(both, ["source_rank", "row_id"]).select("example_key", "row_id", "source_file")
 
 
-@query(sql(["ex"], "SELECT key || '::v1::m' AS cache_key, 'Classify this example:' || chr(10) || '- disease_id: ' || any_value(cond) || chr(10) || '- drug_ids: [''' || array_to_string(any_value(ds), ''', ''') || ''']' || chr(10) || '- source_label_binary: 1' || chr(10) || '- source_file: indications' || chr(10) || 'Output only a JSON object with category, confidence, rationale_short, needs_human_review.' AS request FROM ex WHERE label = 1 AND key NOT IN (SELECT key FROM ex WHERE label = 0) GROUP BY key"))
+@query(sql(["ex"], "SELECT key || '::v1::m' AS cache_key, '" + mechanism.HEADER + "' || chr(10) || '- disease_id: ' || any_value(cond) || chr(10) || '- drug_ids: [''' || array_to_string(any_value(ds), ''', ''') || ''']' || chr(10) || '- source_label_binary: 1' || chr(10) || '- source_file: indications' || chr(10) || '" + mechanism.FOOTER + "' AS request FROM ex WHERE label = 1 AND key NOT IN (SELECT key FROM ex WHERE label = 0) GROUP BY key"))
 def cache_todo(spark, sf_dir):
     rows = V.examples(spark, sf_dir).withColumn("cache_key", mechanism.cache_key(F.col("example_key"), "v1", "m"))
     fresh = rows.where("label = 1").dropDuplicates(["cache_key"]).withColumnRenamed("label", "source_label_binary")
@@ -352,9 +354,9 @@ def attach_annotations(spark, sf_dir):
     return found.select("row_id", "mechanism_category", "mechanism_confidence", "llm_model")
 
 
-@query(sql(["lab"], "SELECT count(*) AS n_rows, round(avg(confidence), 6) AS mean, median(confidence) AS median, min(confidence) AS least, max(confidence) AS largest, round(avg(review::INT), 6) AS review_rate FROM lab WHERE category IS NOT NULL"))
+@query(sql(["lab"], "SELECT count(*) FILTER (WHERE category IS NOT NULL) AS n_rows, count(*) FILTER (WHERE category IS NULL) AS n_failures, round(avg(confidence), 6) AS mean, median(confidence) AS median, min(confidence) AS least, max(confidence) AS largest, round(avg(review::INT), 6) AS review_rate FROM (SELECT category, CASE WHEN category IS NOT NULL THEN confidence END AS confidence, CASE WHEN category IS NOT NULL THEN review END AS review FROM lab)"))
 def mechanism_summary(spark, sf_dir):
-    return mechanism.summarize(V.labeled(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean", "review_rate")})
+    return mechanism.summarize(V.labeled(spark, sf_dir).withColumn("error", F.when(F.col("mechanism_category").isNull(), "malformed"))).withColumns({c: F.round(c, 6) for c in ("mean", "review_rate")})
 
 
 @query(sql(["lab"], "SELECT category, count(*) AS n FROM lab WHERE trim(category) <> '' GROUP BY category"))
@@ -362,7 +364,7 @@ def category_counts(spark, sf_dir):
     return mechanism.category_counts(V.labeled(spark, sf_dir))
 
 
-_REFINED = ", fin AS (SELECT key, any_value(ds) AS ds, any_value(cond) AS cond, min(label) AS label FROM lab WHERE category IN ('mechanistically_synergistic', 'other') AND confidence >= 0.6 AND NOT review GROUP BY key)\n"
+_REFINED = ", fin AS (SELECT key, any_value(ds) AS ds, any_value(cond) AS cond, min(label) AS label FROM lab WHERE category IN ('mechanistically_synergistic', 'other') AND confidence >= 0.6 AND NOT coalesce(review, true) GROUP BY key)\n"
 
 
 @query(sql(["lab"], _REFINED + "SELECT array_to_string(ds, '|') AS drug_set, cond AS condition_id_norm, label FROM fin"))
@@ -370,7 +372,7 @@ def refined(spark, sf_dir):
     return mechanism.refine(V.labeled(spark, sf_dir), KEEP).select(joined("drug_set"), "condition_id_norm", "label")
 
 
-@query(sql(["lab"], _REFINED + "SELECT count(*) AS n_input, count(*) FILTER (WHERE category IN ('mechanistically_synergistic', 'other')) AS n_category, count(*) FILTER (WHERE category IN ('mechanistically_synergistic', 'other') AND confidence >= 0.6) AS n_confidence, count(*) FILTER (WHERE category IN ('mechanistically_synergistic', 'other') AND confidence >= 0.6 AND NOT review) AS n_review, (SELECT count(*) FROM fin) AS n_final, (SELECT count(*) FROM fin WHERE label = 1) AS n_indications, (SELECT count(*) FROM fin WHERE label = 0) AS n_contraindications FROM lab"))
+@query(sql(["lab"], _REFINED + "SELECT count(*) AS n_input, count(*) FILTER (WHERE category IN ('mechanistically_synergistic', 'other')) AS n_category, count(*) FILTER (WHERE category IN ('mechanistically_synergistic', 'other') AND confidence >= 0.6) AS n_confidence, count(*) FILTER (WHERE category IN ('mechanistically_synergistic', 'other') AND confidence >= 0.6 AND NOT coalesce(review, true)) AS n_review, (SELECT count(*) FROM fin) AS n_final, (SELECT count(*) FROM fin WHERE label = 1) AS n_indications, (SELECT count(*) FROM fin WHERE label = 0) AS n_contraindications FROM lab"))
 def refinement_report(spark, sf_dir):
     return mechanism.refinement_report(V.labeled(spark, sf_dir), KEEP)
 
@@ -384,10 +386,11 @@ def training_schema(spark, sf_dir):
 # Embeddings, features, models
 
 
-@query(sql(["emb"], "SELECT id, round(list_sum(pca), 3) AS total FROM emb WHERE split_part(id, ':', 1) IN ('CHEBI', 'UNII') AND topo IS NOT NULL AND vec_id % 2 = 0"))
+@query(sql(["emb"], "SELECT id, round(list_sum(pca), 3) AS total FROM emb WHERE split_part(id, ':', 1) IN ('CHEBI', 'UNII') AND topo IS NOT NULL AND vec_id IN (SELECT doc_id FROM labels)"))
 def embedding_filter(spark, sf_dir):
     rows = V.node_embeddings(spark, sf_dir)
-    table = embed.filter_ids(rows, ["CHEBI", "UNII"], rows.where("vec_id % 2 = 0")).where("topological_embedding is not null")
+    required = rows.join(V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    table = embed.filter_ids(rows, ["CHEBI", "UNII"], required).where("topological_embedding is not null")
     return embed.select_embedding(table, "pca").select("id", _total("vector"))
 
 
@@ -400,9 +403,9 @@ def embedding_concat(spark, sf_dir):
     return embed.select_embedding(V.node_embeddings(spark, sf_dir), "both").select("id", F.size("vector").alias("dim"), _total("vector"))
 
 
-@query(sql(["emb"], "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, min(len(pca) + len(topo))::INT AS min_dim, max(len(pca) + len(topo))::INT AS max_dim FROM (SELECT * FROM emb WHERE topo IS NOT NULL ORDER BY id LIMIT 100)"))
+@query(sql(["emb"], "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, min(len(pca) + len(topo))::INT AS min_dim, max(len(pca) + len(topo))::INT AS max_dim FROM emb WHERE topo IS NOT NULL"))
 def embedding_table(spark, sf_dir):
-    return embed.validate(embed.build_table(V.node_embeddings(spark, sf_dir), "both", max_rows=100))
+    return embed.validate(embed.build_table(V.node_embeddings(spark, sf_dir), "both"))
 
 
 @query(sql(["dd", "vec"], _VOCABS.rstrip() + ", gauss AS (SELECT id, d, ((('0x' || substr(md5(concat_ws(':', '13', 'u', d::VARCHAR, id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) AS u, ((('0x' || substr(md5(concat_ws(':', '13', 'v', d::VARCHAR, id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) AS v FROM dv, (SELECT unnest(range(64)) AS d))\nSELECT id, idx, vector IS NOT NULL AS known, CASE WHEN vector IS NOT NULL THEN round(list_sum(vector), 3) ELSE (SELECT round(sum(sqrt(-2 * ln(u)) * cos(2 * pi() * v) * 0.1), 3) FROM gauss g WHERE g.id = dv.id) END AS total FROM dv LEFT JOIN (SELECT * FROM vec WHERE id[6:] NOT IN ('3', '17')) USING (id) UNION ALL SELECT '<PAD>', 0, false, 0.0"))
@@ -471,20 +474,26 @@ def roc_auc(spark, sf_dir):
     return _rounded(metrics.roc_auc(V.predictions(spark, sf_dir), ["replicate"]))
 
 
-_BUCKET = "CASE WHEN length <= 1 THEN '1' WHEN length = 2 THEN '2' WHEN length <= 4 THEN '3-4' ELSE '>=5' END"
+_BUCKET = "CASE WHEN length = 1 THEN '1' WHEN length = 2 THEN '2' WHEN length BETWEEN 3 AND 4 THEN '3-4' WHEN length >= 5 THEN '>=5' END"
 
 
-@query(sql(["pred"], f", pr AS (SELECT *, {_BUCKET} AS bucket FROM pred WHERE length <> 2), c AS (SELECT bucket, {_COUNTS} FROM pr GROUP BY bucket)\nSELECT b AS bucket, coalesce(n, 0) AS n, coalesce(tn, 0) AS tn, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tp, 0) AS tp, {_RATES}, round(roc_auc, 6) AS roc_auc FROM (SELECT unnest(['1', '2', '3-4', '>=5']) AS b) LEFT JOIN c ON b = c.bucket LEFT JOIN {_auc('bucket').replace('FROM pred', 'FROM pr')} a ON b = a.bucket"))
+@query(sql(["pred"], f", pr AS (SELECT *, {_BUCKET} AS bucket FROM pred WHERE length > 0), c AS (SELECT bucket, {_COUNTS} FROM pr GROUP BY bucket)\nSELECT b AS bucket, coalesce(n, 0) AS n, coalesce(tn, 0) AS tn, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tp, 0) AS tp, {_RATES}, round(roc_auc, 6) AS roc_auc FROM (SELECT unnest(['1', '2', '3-4', '>=5']) AS b) LEFT JOIN c ON b = c.bucket LEFT JOIN {_auc('bucket').replace('FROM pred', 'FROM pr')} a ON b = a.bucket"))
 def bucket_metrics(spark, sf_dir):
-    return _rounded(metrics.bucket_metrics(V.predictions(spark, sf_dir).where("length <> 2")))
+    return _rounded(metrics.bucket_metrics(V.predictions(spark, sf_dir)))
 
 
-@query(sql(["pred"], _PER_REPLICATE + ", long AS (UNPIVOT (SELECT accuracy, sensitivity, specificity, f1, roc_auc FROM mm) ON accuracy, sensitivity, specificity, f1, roc_auc INTO NAME metric VALUE value)\nSELECT metric, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS std, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END / sqrt(count(value)), 6) AS sem, count(value) AS n, printf('%.4f±%.4f', avg(value), stddev_samp(value) / sqrt(count(value))) AS shown FROM long GROUP BY metric"))
+@query(sql(["pred"], _PER_REPLICATE + ", long AS (UNPIVOT (SELECT accuracy, sensitivity, specificity, f1, roc_auc FROM mm) ON accuracy, sensitivity, specificity, f1, roc_auc INTO NAME metric VALUE value)\nSELECT metric, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS std, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END / sqrt(count(value)), 6) AS sem, count(value) AS n, (SELECT avg(n) FROM mm) AS mean_n, printf('%.4f±%.4f', avg(value), stddev_samp(value) / sqrt(count(value))) AS shown FROM long GROUP BY metric"))
 def replicate_summary(spark, sf_dir):
     out = metrics.summarize_replicates(metrics.binary_metrics(V.predictions(spark, sf_dir), ["replicate"]))
     return out.withColumn("shown", metrics.format_mean_sem(F.col("mean"), F.col("sem"))).withColumns({c: F.round(c, 6) for c in ("mean", "std", "sem")})
 
 
+@query(sql(["pred"], f", c AS (SELECT replicate, {_BUCKET} AS bucket, count(*) AS n, avg(((prob >= 0.5) = (label = 1))::INT) AS accuracy FROM pred WHERE length > 0 GROUP BY ALL), f AS (SELECT b AS bucket, coalesce(n, 0) AS n, accuracy FROM (SELECT DISTINCT replicate FROM pred) r CROSS JOIN (SELECT unnest(['1', '2', '3-4', '>=5']) AS b) LEFT JOIN c ON c.replicate = r.replicate AND c.bucket = b)\nSELECT bucket, 'accuracy' AS metric, round(avg(accuracy), 6) AS mean, count(accuracy) AS n, avg(n) AS mean_n FROM f GROUP BY bucket"))
+def bucket_summary(spark, sf_dir):
+    found = metrics.bucket_metrics(V.predictions(spark, sf_dir), by=["replicate"])
+    return metrics.summarize_replicates(found, ["accuracy"], by=["bucket"]).select("bucket", "metric", F.round("mean", 6).alias("mean"), "n", "mean_n")
+
+
 @query(sql(["pred"], _PER_REPLICATE + "\nSELECT replicate, round(roc_auc, 6) AS roc_auc FROM mm WHERE roc_auc IS NOT NULL ORDER BY mm.roc_auc DESC, replicate LIMIT 1"))
 def best_run(spark, sf_dir):
     return metrics.best_run(metrics.roc_auc(V.predictions(spark, sf_dir), ["replicate"]), run="replicate").select("replicate", F.round("roc_auc", 6).alias("roc_auc"))

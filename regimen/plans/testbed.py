@@ -16,19 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, primary and secondary ids as list literals, condition_id_norm, label, source_file of each order of up to three lines."""
+    """row_id, primary and secondary ids as list literals, condition_id_norm, label, source_file of each order. Suppliers stand for drugs, so that ids and keys grow with the tables, and orders still repeat."""
     line = F.struct(*LINE_ORDER)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-    # an order of more than three lines is no example, so no list is gathered for it
-    small = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("ls")).where(F.size("ls") <= 3)
-    ids = small.select("l_orderkey", F.transform("ls", lambda x: F.concat(F.lit("DRUG:"), (x["l_partkey"] % 40).cast("string"))).alias("ids"))
+    small = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("ls"))  # an order has few lines
+    ids = small.select("l_orderkey", F.transform("ls", lambda x: F.concat(F.lit("DRUG:"), x["l_suppkey"].cast("string"))).alias("ids"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return ids.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("row_id"),
         X.format_list(F.slice("ids", 1, 1)).alias("primary_drug_id_norm"),
-        X.format_list(F.slice("ids", 2, 3)).alias("secondary_drug_id_norm"),
-        F.concat(F.lit("COND:"), (F.col("o_custkey") % 10).cast("string")).alias("condition_id_norm"),
+        X.format_list(F.slice("ids", 2, 1 << 30)).alias("secondary_drug_id_norm"),
+        F.concat(F.lit("COND:"), (F.col("o_custkey") % 25).cast("string")).alias("condition_id_norm"),
         F.when(urgent, 0).otherwise(1).alias("label"),
         F.when(urgent, "contraindications").otherwise("indications").alias("source_file"),
     )
@@ -76,16 +75,16 @@ def node_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, vector for the examples' ids: the embedding whose number is the id's (diseases after the drugs)."""
+    """id, vector: every embedding as that of the drug and of the disease with its number."""
     vectors = embed.select_embedding(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("pca_embedding")), "pca")
-    number = F.col("id").cast("int")
-    return vectors.where(number < 50).select(F.when(number < 40, F.concat(F.lit("DRUG:"), "id")).otherwise(F.concat(F.lit("COND:"), (number - 40).cast("string"))).alias("id"), "vector")
+    both = F.explode(F.array(F.concat(F.lit("DRUG:"), "id"), F.concat(F.lit("COND:"), "id")))
+    return vectors.select(both.alias("id"), "vector")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, label, prob (rounded, so there are ties), length, replicate."""
     prob = F.least(F.floor(F.col("value") / 5) / 100, F.lit(1.0))
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "purchase").cast("int").alias("label"), prob.alias("prob"), (F.col("user_id") % 6 + 1).cast("int").alias("length"), (F.col("user_id") % 5).cast("int").alias("replicate"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "purchase").cast("int").alias("label"), prob.alias("prob"), (F.col("user_id") % 7).cast("int").alias("length"), (F.col("user_id") % 5).cast("int").alias("replicate"))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +102,4 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The examples with mechanism annotations made from their row ids."""
     row = F.col("row_id")
     category = F.element_at(F.array(*[F.lit(c) for c in ("common_comorbidity", "mechanistically_synergistic", "other", "side_effect_relief")]), (row % 4 + 1).cast("int"))
-    return examples(spark, sf_dir).withColumns({"mechanism_category": F.when(row % 29 != 0, category), "mechanism_confidence": F.round(row % 61 / 60, 2), "needs_human_review": row % 9 == 0})
+    return examples(spark, sf_dir).withColumns({"mechanism_category": F.when(row % 29 != 0, category), "mechanism_confidence": F.round(row % 61 / 60, 2), "needs_human_review": F.when(row % 23 != 0, row % 9 == 0)})

@@ -13,17 +13,30 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where a session has none, as in tests, a new local one."""
+    """The folder of spark.checkpoint.dir; where a session with a local master has none, as in tests, a new local one. On a cluster it has to be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="regimen-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's tables are written."""
+    return f"{shared_folder(spark)}/regimen/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written; DataFrames that still read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors and is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/regimen/{name}-{uuid.uuid4().hex}"
+    """The rows as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors and is computed once. discard() deletes it."""
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

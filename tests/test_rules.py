@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regimen.functions import text as X
-from regimen.operators import coverage, embed, encode, kg, mechanism, metrics, pairs, sample, split, walks
+from regimen.operators import coverage, embed, encode, kg, mechanism, metrics, models, pairs, sample, split, walks
 from regimen.sources import io
 
 
@@ -201,3 +201,138 @@ def test_walks_are_stored_by_fingerprint(spark, tmp_path):
     walks.load_or_build(edges, str(tmp_path), num_walks=2, length=4, dim=4, window=2, seed=1)
     walks.load_or_build(edges.limit(1), str(tmp_path), num_walks=2, length=4, dim=4, window=2, seed=1)
     assert len(list(tmp_path.glob("node2vec-*"))) == 2
+
+
+def test_buckets_of_odd_lengths(spark):
+    df = spark.createDataFrame([(1, 0.9, 1), (0, 0.9, 1), (None, 0.9, 1), (-1, 0.1, 0), (4, 0.1, 0), (7, 0.1, 0)], "length int, prob double, label int")
+    assert sorted((r.bucket, r.n) for r in metrics.bucket_metrics(df).collect()) == [("1", 1), ("2", 0), ("3-4", 1), (">=5", 1)]
+
+
+def test_roc_auc_over_many_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(r.choice("ab") if i % 50 else None, round(r.random(), 2 + i % 3), int(r.random() < 0.4)) for i in range(600)]
+    got = {x.g: x.roc_auc for x in metrics.roc_auc(spark.createDataFrame(data, "g string, prob double, label int").repartition(7), ["g"]).collect()}
+    for g in ("a", "b", None):
+        pos, neg = ([p for h, p, y in data if h == g and y == k] for k in (1, 0))
+        want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+        assert abs(got[g] - want) < 1e-9
+    flat = metrics.roc_auc(spark.createDataFrame([(p, y) for _, p, y in data], "prob double, label int")).first().roc_auc
+    pos, neg = ([p for _, p, y in data if y == k] for k in (1, 0))
+    assert abs(flat - sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))) < 1e-9
+
+
+def test_large_samples_are_the_same_rows(spark, monkeypatch):
+    df = spark.range(500).selectExpr("concat('k', id) AS example_key")
+    want = rows(sample.exact_n(df, 200, 5), "example_key")
+    monkeypatch.setattr(sample, "TOP_ROWS", 10)
+    assert rows(sample.exact_n(df.repartition(3), 200, 5), "example_key") == want and len(want) == 200
+
+
+def test_missing_review_flag_and_failures(spark):
+    schema = "drug_set array<string>, condition_id_norm string, label int, mechanism_category string, mechanism_confidence double, needs_human_review boolean, error string"
+    df = spark.createDataFrame([(["A"], "M", 1, "other", 0.9, None, None), (["B"], "M", 1, "other", 0.9, False, None), (["C"], "M", 0, None, None, None, "timeout")], schema)
+    assert rows(mechanism.refine(df, [" other "]), "drug_set") == [["B"]]
+    r = mechanism.summarize(df).first()
+    assert (r.n_rows, r.n_failures, r.mean, r.review_rate) == (2, 1, 0.9, 0.0)
+    with pytest.raises(ValueError, match="nothing"):
+        mechanism.check_categories(["other", "nothing"])
+
+
+def test_attach_takes_the_first_annotation(spark):
+    df = spark.createDataFrame([("k",), ("l",)], "example_key string")
+    notes = spark.createDataFrame([("k", 2, "other", 0.1, True, "b"), ("k", 1, "side_effect_relief", 0.9, False, "a")], "example_key string, at int, category string, confidence double, needs_human_review boolean, rationale_short string")
+    for part in (notes, notes.orderBy("at")):
+        got = {r.example_key: r for r in mechanism.attach(df, part, "m", "v1", order=["at"]).collect()}
+        assert got["k"].mechanism_category == "side_effect_relief" and got["l"].mechanism_category is None
+        assert got["k"].classified_at_utc.endswith("+00:00") and got["k"].llm_model == "m"
+
+
+def test_mean_n_of_replicates(spark):
+    df = spark.createDataFrame([("1", 0.5, 10), ("1", 1.0, 20), ("2", None, 0)], "bucket string, accuracy double, n bigint")
+    got = {r.bucket: (r["mean"], r.n, r.mean_n) for r in metrics.summarize_replicates(df, ["accuracy"], by=["bucket"]).collect()}
+    assert got == {"1": (0.75, 2, 15.0), "2": (None, 0, 0.0)}
+
+
+def test_graph_files(spark, tmp_path):
+    spark.createDataFrame([(" A ", "treats", "B"), ("A", "r", None), ("", "r", "B")], "Subject string, predicate string, Object string").write.parquet(str(tmp_path / "e"))
+    edges = kg.read_edges(spark, str(tmp_path / "e"))
+    assert rows(edges, "src", "relation", "dst") == [("A", "treats", "B")]
+    kg.export_edges(edges.union(edges), str(tmp_path / "all"))
+    assert spark.read.csv(str(tmp_path / "all"), header=True).count() == 2
+    kg.export_edges(edges.union(spark.createDataFrame([("0", "x", "B")], edges.schema)), str(tmp_path / "one"), 1)
+    assert rows(spark.read.csv(str(tmp_path / "one"), header=True), "src") == ["0"]
+    for i, part in enumerate(([("n", "old"), ("m", "x"), ("m", "y")], [("n", "new"), ("o", None)])):
+        spark.createDataFrame(part, "id string, category string").coalesce(1).write.parquet(str(tmp_path / f"c{i}"))
+        (tmp_path / "nodes").mkdir(exist_ok=True)
+        next((tmp_path / f"c{i}").glob("part-*.parquet")).rename(tmp_path / "nodes" / f"part-{i}.parquet")
+    assert rows(kg.read_node_categories(spark, str(tmp_path / "nodes")), "id", "category") == [("m", "y"), ("n", "new"), ("o", "UNKNOWN")]
+
+
+def test_embedding_and_vocabulary_files(spark, tmp_path):
+    spark.createDataFrame([("A", [1.0], [2.0], 5)], "id string, pca_embedding array<double>, topological_embedding array<double>, other int").write.parquet(str(tmp_path / "v"))
+    parts = embed.read_node_embeddings(spark, str(tmp_path / "v"))
+    assert parts.columns == ["id", "pca_embedding", "topological_embedding"] and embed.select_embedding(parts).first().vector == [1.0, 2.0]
+    vocab = encode.drug_vocab(spark.createDataFrame([(["b", "a"],)], "drug_set array<string>"))
+    encode.write_vocab(vocab, str(tmp_path / "vocab"))
+    assert rows(spark.read.parquet(str(tmp_path / "vocab")), "idx", "id") == [(0, "<PAD>"), (1, "a"), (2, "b")]
+
+
+def test_labelled_files_and_cache(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("drug_set,condition_id_norm,source_label_binary,mechanism_category,mechanism_confidence,needs_human_review\n\"['B', 'A']\",M,1,other,0.7,True\n['C'],N,0,other,high,maybe\n")
+    got = {r.condition_id_norm: r for r in mechanism.read_labeled(spark, str(tmp_path / "l.csv")).collect()}
+    assert (got["M"].drug_set, got["M"].label, got["M"].mechanism_confidence, got["M"].needs_human_review) == (["B", "A"], 1, 0.7, True)
+    assert (got["N"].label, got["N"].mechanism_confidence, got["N"].needs_human_review) == (0, None, None)
+    good, bad = mechanism.split_by_label(mechanism.read_labeled(spark, str(tmp_path / "l.csv")))
+    assert rows(good, "condition_id_norm") == ["M"] and rows(bad, "condition_id_norm") == ["N"] and bad.columns == good.columns
+    with pytest.raises(ValueError, match="no label column"):
+        mechanism.resolve_label(spark.range(1))
+    assert mechanism.resolve_label(spark.createDataFrame([("1", "x")], "label string, other string")).first().label == 1
+    names = spark.createDataFrame([(" ", " b "), ("a", "b"), (None, None)], "condition_id_norm_norm_label string, condition_id_norm_label string")
+    assert [r[0] for r in names.select(mechanism.condition_label(names.columns)).collect()] == ["b", "a", ""]
+    assert spark.range(1).select(mechanism.condition_label(["id"])).first()[0] == ""
+    line = spark.createDataFrame([("k", "e", "v", "m", ("other", 0.5, "r", False))], mechanism.CACHE_SCHEMA.rsplit(",", 1)[0])
+    mechanism.append_cache(line, str(tmp_path / "cache"))
+    mechanism.append_cache(line.withColumn("cache_key", F.lit("k2")), str(tmp_path / "cache"))
+    assert rows(mechanism.read_cache(spark, str(tmp_path / "cache")), "cache_key") == ["k", "k2"]
+
+
+def test_valid_rows_with_trimmed_conditions(spark):
+    df = spark.createDataFrame([(["A"], " M "), (["A"], "NONE"), (["A"], " nan "), ([], "M"), (["A"], None)], "drug_set array<string>, condition_id_norm string")
+    assert rows(pairs.valid_rows(df, trim=True), "condition_id_norm") == ["M"]
+
+
+def test_models_learn_what_can_be_told_apart(spark):
+    data = [(f"k{i}", ["A", "B"] if i % 2 else ["C", "D"], "M", i % 2) for i in range(80)]
+    df = spark.createDataFrame(data, "example_key string, drug_set array<string>, condition_id_norm string, label int")
+    vectors = spark.createDataFrame([("A", [1.0, 0.0]), ("B", [1.0, 0.5]), ("C", [-1.0, 0.0]), ("D", [-1.0, 0.5]), ("M", [0.3, 0.3])], "id string, vector array<float>")
+    for features, fit in ((models.pair_features, lambda x: models.fit_forest(x, trees=5, depth=3)), (models.combo_features, lambda x: models.fit_combo(x, hidden=(4,), steps=60))):
+        made = features(df, vectors, vectors)
+        scored = models.score(made, fit(made)).collect()
+        assert len(scored) == 80 and all((r.prob > 0.8) == (r.label == 1) and (r.prob < 0.2) == (r.label == 0) and r.length == 2 for r in scored)
+    three = spark.createDataFrame([("k", ["A", "B", "D"], "M", 1)], df.schema)
+    assert models.combo_features(three, vectors, vectors).first().features == pytest.approx([1 / 3, 1 / 3, 0.3, 0.3])
+
+
+def test_biased_walks_follow_their_weights(spark):
+    """From the path 0 - 1 the next step goes back to 0, to 2 (which 0 knows) or to 3 or 4 (which it doesn't) as 1/p : 1 : 1/q : 1/q."""
+    edges = spark.createDataFrame([("0", "1"), ("1", "2"), ("0", "2"), ("1", "3"), ("1", "4")], "src string, dst string")
+    p, q = 0.5, 4.0
+    paths = [r.path for r in walks.random_walks(edges, num_walks=2500, length=3, seed=3, p=p, q=q).where("start = '0'").collect()]
+    thirds = [path[2] for path in paths if path[1] == "1"]
+    total = 1 / p + 1 + 2 / q
+    for node, weight in (("0", 1 / p), ("2", 1.0), ("3", 1 / q), ("4", 1 / q)):
+        assert abs(thirds.count(node) / len(thirds) - weight / total) < 0.05
+    assert len(paths) == 2500 and 0.45 < len(thirds) / 2500 < 0.55
+
+
+def test_written_tables_can_be_discarded(spark):
+    import os
+
+    from regimen.sources import tables
+
+    kept = tables.written(spark.range(3), "some").collect()
+    assert os.path.isdir(tables.own_folder(spark)) and len(kept) == 3
+    tables.discard(spark)
+    assert not os.path.isdir(tables.own_folder(spark))
