@@ -1,10 +1,12 @@
 """License scan with a positional index of rare words. DataFrame functions only.
 
-Words of the templates are looked up with their positions in every text; their document frequencies over all texts give IDF
-weights, and each template's rarest words are its index. A text's word at place p that stands at place q in a template votes for
-the alignment p - q; an alignment counts if two of the template's rarest words vote for it, the words of its key phrase are all in
-their places, and the words in place carry enough of the template's IDF weight. Phrases are templates whose words must all be in
-place. Everything is grouped by (document, template, alignment), so a hot word is only many short groups.
+Words of the templates are looked up in every text; their document frequencies over all texts give IDF weights, and each template's
+rarest words are its index. Texts with enough of some template's rarest words are looked up again, with positions: a word at place p
+that stands at place q in a template votes for the alignment p - q. Alignments that lie within SHIFT words of each other are one
+group (groups overlap by half, so that none is cut), since a word put in or left out moves all that follow. A group counts if enough
+of the template's rarest words vote in it, its key phrase stands there word by word, and the template's places met carry enough of
+its IDF weight. Phrases are templates whose words must all be in place at one alignment. Everything is grouped by (document,
+template, alignment), so a hot word is only many short groups.
 
 Defined results: null or empty text has no words, labels or score; repeated rows are judged alike; extra columns are left aside.
 """
@@ -20,17 +22,25 @@ from pyspark.sql import functions as F
 from regimen.llm.base import written
 from regimen.llm.overlap import words_of
 
-#: Rarest words of a template that are indexed, how many of them must agree, and the share of the IDF weight in place.
-INDEXED, AGREEING, COVERAGE = 4, 2, 0.75
+#: Rarest words of a template that are indexed, how many of them must agree, the share of the IDF weight in place, and the words that
+#: alignments of one group may differ by.
+INDEXED, AGREEING, COVERAGE, SHIFT = 6, 2, 0.7, 16
 
 # Label, template words, key phrase.
 TEMPLATES = [
     ("mit", "released under the mit license", "the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "to deal in the software without restriction"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "except in compliance with the license"),
     ("gpl", "licensed under the gnu general public license", "gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "gnu lesser general public license"),
     ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions of source code must retain the above copyright notice"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "attribution noncommercial"),
@@ -64,10 +74,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     index = postings(templates, phrases)
     vocabulary = sorted({p.word for p in index})
     words = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), words_of(text).alias("w"))
-    # F.size is -1 for no place at all; sequence() needs a last place that isn't before the first
-    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    hits = F.transform(F.filter(places, lambda i: F.get("w", i).isin(vocabulary)), lambda i: F.struct(i.alias("pos"), F.get("w", i).alias("word")))
-    found = written(words.select("_id", "_text", F.size("w").cast("bigint").alias("n_words"), hits.alias("hits")).withColumn("seen", F.array_distinct("hits.word")), "license-words")
+    seen = F.array_distinct(F.filter("w", lambda w: w.isin(vocabulary)))
+    found = written(words.select("_id", "_text", F.size("w").cast("bigint").alias("n_words"), seen.alias("seen")), "license-words")
 
     total = found.count()
     frequency = {r.word: r.n for r in found.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per template word at most
@@ -82,11 +90,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     may = F.lit(False)
     for ws in rare.values():
         may = may | (F.size(F.array_intersect("seen", F.array(*map(F.lit, ws)))) >= min(AGREEING, len(ws)))
-    votes = found.where(may).select("_id", "_text", F.inline("hits")).join(F.broadcast(table), "word")
-    lined = votes.groupBy("_id", "_text", "template", "label", "phrase", "weight", "n_key", (F.col("pos") - F.col("place")).alias("at"))
-    lined = lined.agg(F.sum("idf").alias("placed"), F.count_if("key").alias("keys"), F.count_distinct(F.when(F.col("rare"), F.col("word"))).alias("agreeing"))
+    near = written(found.where(may).select(F.col("_id").alias("_nid"), F.col("_text").alias("_ntext")).distinct(), "license-texts").hint("shuffle_hash")
+    near = words.join(near, F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_text") == F.col("_ntext")), "left_semi")
+    votes = near.select("_id", "_text", F.posexplode("w").alias("pos", "word")).join(F.broadcast(table), "word").dropDuplicates(["_id", "_text", "template", "place", "pos"])
+    votes = written(votes.withColumn("at", F.col("pos") - F.col("place")), "license-votes")
+
+    one = ["_id", "_text", "template"]
+    exact = votes.groupBy(*one, "label", "phrase", "n_key", "at").agg(F.count_if("key").alias("keys")).where("keys = n_key").select(*one, "label", "phrase", "at")
+    half = SHIFT // 2
+    groups = F.explode(F.array(F.floor(F.col("at") / half), F.floor(F.col("at") / half) - 1)).alias("group")
+    met = votes.where("not phrase").select(*one, "weight", "place", "idf", F.when(F.col("rare"), F.col("word")).alias("rare"), groups).distinct()
+    lined = met.groupBy(*one, "weight", "group").agg(F.sum("idf").alias("placed"), F.count_distinct("rare").alias("agreeing"))
     share = F.least(F.lit(1.0), F.round(F.col("placed") / F.col("weight"), 6))
-    good = lined.where("keys = n_key").withColumn("share", share).where(F.col("phrase") | ((F.col("agreeing") >= AGREEING) & (F.col("share") >= COVERAGE)))
+    strong = lined.withColumn("share", share).where((F.col("agreeing") >= AGREEING) & (F.col("share") >= COVERAGE))
+    strong = strong.select(F.col("_id").alias("_sid"), F.col("_text").alias("_stext"), F.col("template").alias("_of"), F.col("group").alias("_in"), "share")
+    same = F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_text") == F.col("_stext")) & (F.col("template") == F.col("_of")) & (F.col("group") == F.col("_in"))
+    loose = exact.where("not phrase").select("*", groups).join(strong, same).select("_id", "_text", "label", "phrase", "at", "share")
+    good = exact.where("phrase").select("_id", "_text", "label", "phrase", "at", F.lit(1.0).alias("share")).unionByName(loose)
     base = lambda value: F.when(F.col("phrase"), value)
     judged = good.groupBy("_id", "_text").agg(
         F.count_if("phrase").alias("n_base"),

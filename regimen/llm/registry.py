@@ -119,13 +119,19 @@ WITH posting(template, label, place, word, key, phrase) AS (VALUES {values}), do
     SELECT template, word FROM (SELECT DISTINCT template, word, idf FROM weighed) QUALIFY row_number() OVER (PARTITION BY template ORDER BY idf DESC, word) <= {licenses.INDEXED}
 ), total AS (
     SELECT template, sum(idf) AS weight, count(*) FILTER (WHERE key) AS n_key FROM weighed GROUP BY template
-), lined AS (
-    SELECT doc_id, template, label, phrase, pos - place AS spot, sum(idf) AS placed, count(*) FILTER (WHERE key) AS keys,
-           count(DISTINCT CASE WHEN (template, word) IN (SELECT (template, word) FROM rare) THEN word END) AS agreeing
-    FROM hit JOIN weighed USING (word) GROUP BY ALL
+), vote AS (
+    SELECT doc_id, template, label, phrase, place, key, word, idf, pos - place AS spot FROM hit JOIN weighed USING (word)
+), exact AS (
+    SELECT doc_id, template, label, phrase, spot FROM vote JOIN total USING (template) GROUP BY doc_id, template, label, phrase, spot, n_key HAVING count(*) FILTER (WHERE key) = n_key
+), grouped AS (
+    SELECT doc_id, template, g, sum(idf) AS placed, count(DISTINCT rare_word) AS agreeing FROM (
+        SELECT DISTINCT doc_id, template, place, idf, CASE WHEN (template, word) IN (SELECT (template, word) FROM rare) THEN word END AS rare_word, unnest([floor(spot / {licenses.SHIFT // 2}), floor(spot / {licenses.SHIFT // 2}) - 1]) AS g
+        FROM vote WHERE NOT phrase) GROUP BY ALL
+), strong AS (
+    SELECT doc_id, template, g, least(1.0, round(placed / weight, 6)) AS share FROM grouped JOIN total USING (template) WHERE agreeing >= {licenses.AGREEING} AND least(1.0, round(placed / weight, 6)) >= {licenses.COVERAGE}
 ), good AS (
-    SELECT *, least(1.0, round(placed / weight, 6)) AS share FROM lined JOIN total USING (template)
-    WHERE keys = n_key AND (phrase OR (agreeing >= {licenses.AGREEING} AND least(1.0, round(placed / weight, 6)) >= {licenses.COVERAGE}))
+    SELECT doc_id, label, phrase, spot, 1.0 AS share FROM exact WHERE phrase
+    UNION ALL SELECT doc_id, label, phrase, spot, share FROM (SELECT *, unnest([floor(spot / {licenses.SHIFT // 2}), floor(spot / {licenses.SHIFT // 2}) - 1]) AS g FROM exact WHERE NOT phrase) JOIN strong USING (doc_id, template, g)
 ), judged AS (
     SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(spot) FILTER (WHERE phrase) AS first_word, max(spot) FILTER (WHERE phrase) AS last_word,
            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score

@@ -6,9 +6,8 @@ A text is rejected if its least Jensen-Shannon distance to a reference is over a
 least length pass. A text is compared with the references of the languages in COMMON and of its own language, one without a language
 with all; words only count where its language, or else the nearest for characters, is in COMMON.
 
-Three-word windows that repeat in a text are found by sorting the windows' hashes within the row, with the position in the low
-bits, so that one long text costs n log n and no shuffle. Two unequal windows of a text of n words take each other's place with
-probability under n^3 / 2^64.
+Three-word windows that repeat in a text are found by sorting them within the row, by hash and then by their words, so that the count
+is exact and one long text costs n log n and no shuffle.
 
 Defined results: null text counts as one without words; repeated rows are judged alike; a language without documents that pass the
 base rules has no reference, and its documents aren't rejected beyond the base rules; extra columns stay.
@@ -43,12 +42,14 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     own = own.withColumn("_trimmed", F.btrim("_t", F.lit(SPACE)))
     own = own.withColumn("_w", F.when(F.col("_trimmed") != "", F.split("_trimmed", gap)).otherwise(none)).drop("_trimmed")
-    own = own.withColumns({"_words": F.size("_w").cast("bigint"), "_mask": F.expr("shiftleft(1L, length(bin(size(_w)))) - 1")})
-    windows = F.when(F.col("_words") > 2, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).bitwiseAND(F.bitwise_not("_mask")).bitwiseOR(i.cast("bigint"))))
+    own = own.withColumn("_words", F.size("_w").cast("bigint"))
+    three = lambda i: [F.get("_w", i + j) for j in range(3)]
+    window = lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), *[w.alias(x) for w, x in zip(three(i), "abc")], i.alias("i"))
+    windows = F.when(F.col("_words") > 2, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)).otherwise(F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,i:int>>"))
     only = lambda kept: F.length(F.regexp_replace("_t", kept, ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     own = own.withColumns({
-        "_sorted": F.sort_array(F.coalesce(windows, F.array().cast("array<bigint>"))),
+        "_sorted": F.sort_array(windows),
         "_lines": lines,
         "_chars": F.length("_t"),
         "_word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
@@ -56,10 +57,10 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "_lower": only("[^a-z]+"), "_upper": only("[^A-Z]+"), "_digits": only("[^0-9]+"), "_beyond": only(r"[\x00-\x7F]+"),
         "_known": F.filter("_w", lambda w: w.isin(WORDS)),
     })
-    high = F.bitwise_not("_mask")
-    equal = lambda x, k: F.coalesce(F.get("_sorted", k).bitwiseXOR(x).bitwiseAND(high) == 0, F.lit(False))
+    words = lambda x: F.struct(x["h"], x["a"], x["b"], x["c"])
+    equal = lambda x, k: F.coalesce(words(F.get("_sorted", k)) == words(x), F.lit(False))
     twice = F.filter("_sorted", lambda x, k: equal(x, k + 1) | ((k > 0) & equal(x, F.greatest(k - 1, F.lit(0)))))
-    own = own.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("_mask")))))
+    own = own.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"].cast("bigint"))))
     spaces = F.col("_chars") - F.col("_word_chars")
     counted = [F.col("_lower").cast("bigint"), F.col("_upper").cast("bigint"), F.col("_digits").cast("bigint"), spaces, F.col("_symbols"), F.col("_beyond").cast("bigint")]
     rest = F.col("_chars") - sum(counted[1:], counted[0])
@@ -68,7 +69,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "_repeat_words": F.aggregate(F.transform("_twice", lambda x, k: F.coalesce(F.least(F.get("_twice", k + 1) - x, F.lit(3)), F.lit(3)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x),
         "_classes": F.array(*counted, F.greatest(rest, F.lit(0))),
         "_common": F.transform(F.array(*map(F.lit, WORDS)), lambda word: F.size(F.filter("_known", lambda w: w == word)).cast("bigint")),
-    }).drop("_t", "_w", "_mask", "_sorted", "_lines", "_lower", "_upper", "_digits", "_beyond", "_known", "_twice")
+    }).drop("_t", "_w", "_sorted", "_lines", "_lower", "_upper", "_digits", "_beyond", "_known", "_twice")
 
 
 def base_failed() -> Column:

@@ -249,6 +249,30 @@ def test_quality_odd_and_one_class(spark, odd):
     assert quality.paths(" If (feature 1 <= 0.5)\n  If (feature 0 > 2.0)\n   Predict: 1.0\n Else (feature 1 > 0.5)\n") == [((1, False, 0.5),), ((0, True, 2.0), (1, False, 0.5)), ((1, True, 0.5),)]
 
 
+def test_quality_scores_equal_the_rules_row_by_row(spark, sf):
+    """The column expression against statistics in plain Python and a loop over the rules."""
+    import math
+    import re
+
+    import regex
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\t"), (-4, LONG)], "doc_id bigint, text string"))
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), usable=quality.learnable())
+    assert len(model.rules) > 3
+
+    def stats(text: str | None) -> list[float]:
+        t = text or ""
+        n, words, ls = max(len(t), 1), re.split("[ \t\n\x0b\f\r]+", t.strip(" ")), t.split("\n")
+        count = lambda pattern: len(regex.findall(pattern, t))
+        return [math.log(1 + len(t)), count(r"\p{Lu}") / n, count(r"[#*$%&|<>~^=_@+{}\\]") / n, count("[.,;:!?]") / n, count("[!?]") / n, count("[0-9]") / n, (n - len(words)) / len(words), len(set(words)) / len(words), len(set(ls)) / len(ls), len(words) / len(ls)]
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.classify(docs, model).collect():
+        s = stats(texts[r.doc_id])
+        total = model.intercept + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((s[i] > b) == over for i, over, b in rule))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
 # 6 Lines
 
 
@@ -289,6 +313,12 @@ def test_licenses_odd(spark, odd):
     docs = spark.createDataFrame([(1, text), (2, far), (3, text.replace("free of charge", "at no cost")), (4, "gnu general public license")], "doc_id int, text string")
     got = {r._id: (r.labels, r.base_labels) for r in licenses.scan(docs).collect()}
     assert got == {1: (["mit"], []), 2: (["mit"], []), 3: ([], []), 4: ([], [])}
+    gpl = "This program is free software; you can redistribute it and/or modify it freely under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License, or (at your option) any later version."
+    mit = "Permission is hereby granted, free of any charge, to every person obtaining a copy of this software and the associated documentation files (the \"Software\"), to deal in the Software without restriction, including but without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+    prose = "the software is free and you can use it for any purpose under the terms of this general license with the person and the public"
+    mixed = spark.createDataFrame([(1, "start " * 40 + gpl), (2, mit + " subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies"), (3, prose * 3)], "doc_id int, text string")
+    got = {r._id: (r.labels, r.score) for r in licenses.scan(mixed.union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(4)))).collect()}
+    assert got[1][0] == ["gpl"] and 0.7 <= got[1][1] < 1 and got[2][0] == ["mit"] and 0.7 <= got[2][1] < 1 and got[3] == ([], 0.0) and got[4] == ([], 0.0)
     assert licenses.scan(odd.limit(0)).collect() == []
 
 
