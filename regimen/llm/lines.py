@@ -57,12 +57,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text cut to the lines that stay, and n_lines, n_dropped (bigint). Extra columns stay; columns of these names are replaced."""
     maps = written(keep_bitmaps(docs, min_docs, min_chars, doc_id, text), "keep-bitmaps")
-    own = docs.drop("n_lines", "n_dropped", "_id", "_text", "_keep").withColumns({"_id": F.col(doc_id), "_text": F.xxhash64(text)})
-    maps = maps.withColumnsRenamed({"_id": "_mid", "_text": "_mtext", "keep": "_keep"}).hint("shuffle_hash")  # grows with docs: one plan at every size
-    joined = own.join(maps, own["_id"].eqNullSafe(maps["_mid"]) & (own["_text"] == maps["_mtext"]), "left")
+    own = docs.drop("n_lines", "n_dropped").withColumns({"__id": F.col(doc_id), "__text": F.xxhash64(text)})
+    maps = maps.withColumnsRenamed({"_id": "__mid", "_text": "__mtext", "keep": "__keep"}).hint("shuffle_hash")  # grows with docs: one plan at every size
+    joined = own.join(maps, own["__id"].eqNullSafe(maps["__mid"]) & (own["__text"] == maps["__mtext"]), "left")
     lines = _lines(text)
-    word = lambda i: F.coalesce(F.get("_keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("bigint"))
+    word = lambda i: F.coalesce(F.get("__keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("bigint"))
     stays = lambda line, i: F.getbit(word(i), (i % 64).cast("int")) == 1
-    kept = F.when(F.col("_keep").isNull(), lines).otherwise(F.filter(lines, stays))
-    done = joined.withColumns({"n_lines": F.size(lines).cast("bigint"), "_kept": kept})
-    return done.withColumns({"n_dropped": F.col("n_lines") - F.size("_kept"), text: F.array_join("_kept", "\n")}).drop("_id", "_text", "_mid", "_mtext", "_keep", "_kept")
+    kept = F.when(F.col("__keep").isNull(), lines).otherwise(F.filter(lines, stays))
+    done = joined.withColumns({"n_lines": F.size(lines).cast("bigint"), "__kept": kept})
+    return done.withColumns({"n_dropped": F.col("n_lines") - F.size("__kept"), text: F.array_join("__kept", "\n")}).drop("__id", "__text", "__mid", "__mtext", "__keep", "__kept")

@@ -26,26 +26,26 @@ from regimen.llm.base import as_small, id_hash, written
 LABELLED_ROWS = 20_000
 TREES, DEPTH, LASSO, SEED = 24, 3, 0.0005, 7
 
-# The statistics, as SQL over _t (the text), _n (its code points, 1 at least), _w (its words) and _l (its lines).
+# The statistics, as SQL over __t (the text), __n (its code points, 1 at least), __w (its words) and __l (its lines).
 STATISTICS = {
-    "log_chars": r"ln(1 + length(_t))",
-    "upper": r"length(regexp_replace(_t, r'[^\p{Lu}]+', '')) / _n",
-    "symbols": r"length(regexp_replace(_t, r'[^#*$%&|<>~^=_@+{}\\]+', '')) / _n",
-    "stops": r"length(regexp_replace(_t, r'[^.,;:!?]+', '')) / _n",
-    "shouts": r"length(regexp_replace(_t, r'[^!?]+', '')) / _n",
-    "digits": r"length(regexp_replace(_t, r'[^0-9]+', '')) / _n",
-    "letters_a_word": r"(_n - size(_w)) / greatest(size(_w), 1)",
-    "distinct_words": r"size(array_distinct(_w)) / greatest(size(_w), 1)",
-    "distinct_lines": r"size(array_distinct(_l)) / greatest(size(_l), 1)",
-    "words_a_line": r"size(_w) / greatest(size(_l), 1)",
+    "log_chars": r"ln(1 + length(__t))",
+    "upper": r"length(regexp_replace(__t, r'[^\p{Lu}]+', '')) / __n",
+    "symbols": r"length(regexp_replace(__t, r'[^#*$%&|<>~^=_@+{}\\]+', '')) / __n",
+    "stops": r"length(regexp_replace(__t, r'[^.,;:!?]+', '')) / __n",
+    "shouts": r"length(regexp_replace(__t, r'[^!?]+', '')) / __n",
+    "digits": r"length(regexp_replace(__t, r'[^0-9]+', '')) / __n",
+    "letters_a_word": r"(__n - size(__w)) / greatest(size(__w), 1)",
+    "distinct_words": r"size(array_distinct(__w)) / greatest(size(__w), 1)",
+    "distinct_lines": r"size(array_distinct(__l)) / greatest(size(__l), 1)",
+    "words_a_line": r"size(__w) / greatest(size(__l), 1)",
 }
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column _stats, array<double> in the order of STATISTICS."""
-    own = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    own = own.withColumns({"_w": F.split(F.trim("_t"), "[ \t\n\x0b\f\r]+"), "_l": F.split("_t", "\n"), "_n": F.greatest(F.length("_t"), F.lit(1))})
-    return own.withColumn("_stats", F.array(*[F.expr(f"cast({sql} as double)") for sql in STATISTICS.values()])).drop("_t", "_w", "_l", "_n")
+    """docs with the column __stats, array<double> in the order of STATISTICS."""
+    own = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    own = own.withColumns({"__w": F.split(F.trim("__t"), "[ \t\n\x0b\f\r]+"), "__l": F.split("__t", "\n"), "__n": F.greatest(F.length("__t"), F.lit(1))})
+    return own.withColumn("__stats", F.array(*[F.expr(f"cast({sql} as double)") for sql in STATISTICS.values()])).drop("__t", "__w", "__l", "__n")
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Rules:
     weights: tuple[float, ...]
     intercept: float
 
-    def score(self, stats: str = "_stats") -> Column:
+    def score(self, stats: str = "__stats") -> Column:
         """The chance of label 1 as a column expression. The rules are a lambda over the statistics, so that these are computed once, also where a filter on the score is pushed below them."""
 
         def chance(values: Column) -> Column:
@@ -68,7 +68,7 @@ class Rules:
         return F.get(F.transform(F.array(F.col(stats)), chance), F.lit(0))
 
 
-def holds(rule: tuple[tuple[int, bool, float], ...], stats: str | Column = "_stats") -> Column:
+def holds(rule: tuple[tuple[int, bool, float], ...], stats: str | Column = "__stats") -> Column:
     """Whether all conditions of a rule hold."""
     found = F.lit(True)
     for place, over, bound in rule:
@@ -97,14 +97,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
         known = known.where(F.pmod(F.xxhash64("_label_id"), F.lit(1_000_000)) < int(1_000_000 * rows / there))
     known = as_small(known, min(there, 2 * rows), 32)
     table = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(known, F.col("_doc") == F.col("_label_id"))
-    table = written(statistics(table, "_text").select(F.col("_label_id").alias("doc"), "_stats", "label"), "labelled")
+    table = written(statistics(table, "_text").select(F.col("_label_id").alias("doc"), "__stats", "label"), "labelled")
     seen, good = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     prior = (good + 1) / (seen + 2)
     if good in (0, seen):
         return Rules((), (), math.log(prior / (1 - prior)))
     table = table.repartition(max(1, min(12, seen // 2000)), "doc").cache()
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=5, featureSubsetStrategy="onethird", seed=SEED)
-    trees = forest.fit(table.select("label", array_to_vector("_stats").alias("features"))).trees
+    trees = forest.fit(table.select("label", array_to_vector("__stats").alias("features"))).trees
     rules = sorted({p for tree in trees for p in paths(tree.toDebugString)})
     if not rules:
         table.unpersist()
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
 
 def classify(docs: DataFrame, model: Rules, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs with score (double, 0 to 1) and predicted (1 if score >= threshold, else 0)."""
-    scored = statistics(docs.drop("score", "predicted"), text).withColumn("score", model.score()).drop("_stats")
+    scored = statistics(docs.drop("score", "predicted"), text).withColumn("score", model.score()).drop("__stats")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

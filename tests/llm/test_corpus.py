@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections import Counter
 
 import numpy as np
@@ -505,6 +506,15 @@ def test_pipeline(spark, sf, both):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = lambda t: [w for w in "".join(c.lower() if c in string.ascii_uppercase else c if not c.isascii() or c in string.digits + string.ascii_lowercase else " " for c in t or "").split(" ") if w]
+    windows = {tuple(w[i : i + 13]) for w in (words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()) if w for i in range(max(1, len(w) - 12))}
+    sizes = {len(w) for w in windows}
+
+    def contaminated(text: str | None) -> bool:
+        w = words(text)
+        hit = {p for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for p in range(i, i + n)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
     assert [n for n, _ in P.STAGES] == ["quality", "lines", "near_duplicates", "benchmark", "bpe"]
     for name, stage in P.STAGES:
         after = stage(spark, docs, sf)
@@ -519,6 +529,41 @@ def test_pipeline(spark, sf, both):
         if name == "near_duplicates":
             want = {i for i, (_, c) in brute_components({r.doc_id: r.text for r in docs.collect()}, 5, 80).items() if i == c}
             assert {r.doc_id for r in rows} == want
+        if name == "lines":
+            key = lambda line: "".join(c.lower() if c in string.ascii_uppercase else c for c in line.strip(" \t\n\x0b\f\r"))
+            before = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+            often = Counter(k for ls in before.values() for k in {key(x) for x in ls} if k)
+            want = {i: "\n".join(x for x in ls if often[key(x)] < 10) for i, ls in before.items()}
+            assert {r.doc_id: (r.text, r.n_chars) for r in rows} == {i: (t, len(t)) for i, t in want.items()}
+        if name == "benchmark":
+            assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect() if not contaminated(r.text)}
+        if name == "quality":
+            model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), usable=quality.learnable())
+            assert {r.doc_id for r in rows} == {r.doc_id for r in quality.classify(docs, model).where("score >= 0.3").collect()}
         assert 0 < len(rows) <= docs.count()
         docs = spark.createDataFrame(rows, docs.schema)
     assert {r.doc_id for r in P.run(spark, sf).select("doc_id").collect()} == set(texts)
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near_duplicates", "benchmark", "bpe"])
+def test_pipeline_stages_on_odd_tables(spark, odd, odd_dir, name):
+    """Null ids and texts, empty and very long texts, ties, repeated rows, columns named like outputs and helpers, and no rows."""
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)[name]
+    docs = odd.withColumns({"n_chars": F.length("text"), "_id": F.lit("mine"), "_text": F.lit("mine"), "_t": F.lit("mine"), "_stats": F.lit("mine"), "component_id": F.lit("mine")})
+    rows = stage(spark, docs, odd_dir).collect()
+    ids = Counter(r.doc_id for r in rows)
+    every = Counter(r.doc_id for r in docs.collect())
+    assert stage(spark, docs.limit(0), odd_dir).collect() == []
+    if name == "bpe":
+        assert ids == every and all(r.n_tokens == 0 and r.decoded_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.doc_id in (1, 2))
+        return
+    assert set(rows[0].asDict()) == set(docs.columns) and all(r.keep == r._id == r._text == r.component_id == "mine" for r in rows)
+    assert all(n in (0, every[i]) for i, n in ids.items())
+    if name == "lines":
+        assert ids == every and all(r.n_chars == len(r.text) for r in rows)
+    if name == "near_duplicates":
+        assert ids[None] == 2 and {4, 11, 1, 2, 3} <= set(ids) and not {5, 6, 14} & set(ids)
+    if name == "benchmark":
+        assert ids[None] == 2 and {1, 2, 3, 15} <= set(ids) and not {4, 11, 12, 13, 14} & set(ids)
