@@ -4,9 +4,10 @@
    one bin, the least hash of a bin is its value, empty bins take the value of a bin found by their own probe sequence (optimal
    densification). Rows of bins make bands, and each band is a bucket key. Texts with equal sets are one node from here on.
 2. Every bucket gives a star: edges from its least node to each other one. The edges are confirmed on the full shingle sets.
-3. Links that miss the stars: where a bucket still holds several components, the nodes outside its largest one are strays. Strays
-   meet nodes of other components over their rarest shingles (an exact prefix and position bound), and such pairs are confirmed
-   too. Pairs within a component are never made.
+3. Links that miss the stars: where a bucket still holds several components, the nodes outside its largest one are strays. Up to TURNS
+   times the strays of a bucket meet one of themselves and one node of the largest component, by turns others. The strays that are
+   left meet nodes of other components over their rarest shingles (an exact prefix and position bound), and such pairs are
+   confirmed too. Pairs within a component are never made.
 4. Components by alternating large and small stars.
 
 A pair with the least similarity shares no bucket with probability (1 - similarity ** rows) ** bands: 7e-9 for 0.85 with 32 bands of 5.
@@ -31,6 +32,8 @@ from regimen.llm.base import join_counted, join_salted, written
 
 #: Words remembered by a Python worker; a full memory is emptied.
 CACHE_ENTRIES = 400_000
+#: Further stars for strays, before rare shingles find the links that are left.
+TURNS = 3
 #: Steps of an empty bin's probe sequence; with fewer than a hundredth of all bins filled, the lowest filled bin may be taken instead.
 PROBES = 1024
 
@@ -220,13 +223,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     stars = written(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = confirmed(stars, sets_of(stars.select(F.col("a").alias("_want")).union(stars.select("b"))))
     joined = components(links)
-    placed = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    sizes = placed.groupBy("key", "component").count()
-    split = sizes.groupBy("key").agg(F.sum("count").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("parts > 1").drop("parts")
-    mixed = written(join_counted(placed, written(split, "split-keys"), ["key"], "m"), "mixed")
+
+    def mixed_buckets() -> DataFrame:
+        """The members of buckets that hold several components, with the largest of these."""
+        placed = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+        sizes = placed.groupBy("key", "component").count()
+        split = sizes.groupBy("key").agg(F.sum("count").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("parts > 1").drop("parts")
+        return written(join_counted(placed, written(split, "split-keys"), ["key"], "m"), "mixed")
+
+    mixed = mixed_buckets()
+    sets = sets_of(mixed.select(F.col("node").alias("_want")))
+    tested = stars
+    for turn in range(TURNS):
+        stray, order, at = F.col("component") != F.col("largest"), F.xxhash64("node", F.lit(turn)), F.struct("node", "component")
+        hubs = mixed.groupBy("key").agg(F.count_if(stray).alias("m"), F.array(F.min_by(at, F.when(stray, order)), F.min_by(at, F.when(~stray, order))).alias("hubs"))
+        met = join_counted(mixed.where(stray).select("key", "node", "component"), written(hubs, "hubs"), ["key"], "m").select("node", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+        fresh = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(tested.hint("shuffle_hash"), ["a", "b"], "left_anti")
+        fresh = written(fresh, "pairs")
+        new = confirmed(fresh, sets)
+        if new.isEmpty():
+            break
+        links, tested = links.union(new), tested.union(fresh)
+        joined = components(links)
+        mixed = mixed_buckets()
     strays = mixed.where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
     others = written(mixed.select("node", "component").distinct().join(strays, "node", "left"), "others")
-    sets = sets_of(others.select(F.col("node").alias("_want")))
+    sets = sets.join(others.select(F.col("node").alias("_id")), "_id", "left_semi")
     more = confirmed(crossing_pairs(others, sets, part, whole), sets)
     final = joined if more.isEmpty() else components(links.union(more))
     rep = written(nodes.join(final, "node", "left").select("set_a", "set_b", "copies", F.coalesce("component", "node").alias("component_id")), "classes")
