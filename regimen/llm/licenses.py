@@ -1,7 +1,7 @@
 """License scan with a positional index of rare words. DataFrame functions only.
 
 Words of the templates are looked up in every text; their document frequencies over all texts give IDF weights, and each template's
-rarest words are its index. Texts with enough of some template's rarest words and all words of its key phrase are looked up again, with positions: a word at place p
+rarest words are its index. Texts with enough of some template's rarest words and all words of its key phrase are looked up again for these templates, with positions: a word at place p
 that stands at place q in a template votes for the alignment p - q. Alignments that lie within SHIFT words of each other are one
 group (groups overlap by half, so that none is cut), since a word put in or left out moves all that follow. A group counts if enough
 of the template's rarest words vote in it, its key phrase stands there word by word, and the template's places met carry enough of
@@ -87,14 +87,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     rows = [(p.template, p.label, p.place, p.word, p.key, p.phrase, idf[p.word], p.word in rare[p.template], sum(idf[q.word] for q in by_template[p.template]), sum(q.key for q in by_template[p.template])) for p in index]
     table = docs.sparkSession.createDataFrame(rows, "template int, label string, place int, word string, key boolean, phrase boolean, idf double, rare boolean, weight double, n_key int")
 
-    may = F.lit(False)
-    held = lambda ws: F.size(F.array_intersect("seen", F.array(*map(F.lit, ws))))
-    for k, ws in rare.items():
-        keys = sorted({p.word for p in by_template[k] if p.key})
-        may = may | ((held(ws) >= min(AGREEING, len(ws))) & (held(keys) == len(keys)))
-    near = written(found.where(may).select(F.col("_id").alias("_nid"), F.col("_text").alias("_ntext")).distinct(), "license-texts").hint("shuffle_hash")
-    near = words.join(near, F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_text") == F.col("_ntext")), "left_semi")
-    votes = near.select("_id", "_text", F.posexplode("w").alias("pos", "word")).join(F.broadcast(table), "word").dropDuplicates(["_id", "_text", "template", "place", "pos"])
+    held = lambda ws: F.size(F.array_intersect("seen", F.array(*map(F.lit, ws)))) == len(ws)
+    some = lambda ws: F.size(F.array_intersect("seen", F.array(*map(F.lit, ws)))) >= min(AGREEING, len(ws))
+    may = [F.when(some(ws) & held(sorted({p.word for p in by_template[k] if p.key})), F.lit(k)) for k, ws in rare.items()]
+    near = found.select(F.col("_id").alias("_nid"), F.col("_text").alias("_ntext"), F.array_compact(F.array(*may)).alias("may")).where(F.size("may") > 0)
+    near = written(near.distinct(), "license-texts").hint("shuffle_hash")
+    near = words.join(near, F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_text") == F.col("_ntext")))
+    # words that stand in all texts, such as the, vote in the templates that the text can hold only
+    votes = near.select("_id", "_text", "may", F.posexplode("w").alias("pos", "word")).join(F.broadcast(table), "word").where(F.array_contains("may", F.col("template"))).drop("may")
+    votes = votes.dropDuplicates(["_id", "_text", "template", "place", "pos"])
     votes = written(votes.withColumn("at", F.col("pos") - F.col("place")), "license-votes")
 
     one = ["_id", "_text", "template"]
