@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimen.llm.base import written
@@ -87,14 +87,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     rows = [(p.template, p.label, p.place, p.word, p.key, p.phrase, idf[p.word], p.word in rare[p.template], sum(idf[q.word] for q in by_template[p.template]), sum(q.key for q in by_template[p.template])) for p in index]
     table = docs.sparkSession.createDataFrame(rows, "template int, label string, place int, word string, key boolean, phrase boolean, idf double, rare boolean, weight double, n_key int")
 
-    held = lambda ws: F.size(F.array_intersect("seen", F.array(*map(F.lit, ws)))) == len(ws)
-    some = lambda ws: F.size(F.array_intersect("seen", F.array(*map(F.lit, ws)))) >= min(AGREEING, len(ws))
-    may = [F.when(some(ws) & held(sorted({p.word for p in by_template[k] if p.key})), F.lit(k)) for k, ws in rare.items()]
-    near = found.select(F.col("_id").alias("_nid"), F.col("_text").alias("_ntext"), F.array_compact(F.array(*may)).alias("may")).where(F.size("may") > 0)
-    near = written(near.distinct(), "license-texts").hint("shuffle_hash")
-    near = words.join(near, F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_text") == F.col("_ntext")))
-    # words that stand in all texts, such as the, vote in the templates that the text can hold only
-    votes = near.select("_id", "_text", "may", F.posexplode("w").alias("pos", "word")).join(F.broadcast(table), "word").where(F.array_contains("may", F.col("template"))).drop("may")
+    rows_of = {k: (ws, sorted({p.word for p in by_template[k] if p.key})) for k, ws in rare.items()}
+
+    def possible(seen: Column) -> Column:
+        """The templates that a text of these words can hold: enough of the rarest words, and all words of the key phrase."""
+        held = lambda ws: F.size(F.array_intersect(seen, F.array(*map(F.lit, ws))))
+        return F.array_compact(F.array(*[F.when((held(ws) >= min(AGREEING, len(ws))) & (held(keys) == len(keys)), F.lit(k)) for k, (ws, keys) in rows_of.items()]))
+
+    def looked_up(w: Column) -> Column:
+        """The vocabulary's words with their places, and the templates that they may vote in. Values are handed on to lambdas, so that each is computed once."""
+        known = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("word"))), lambda h: h["word"].isin(vocabulary))
+        places = lambda h, may: F.when(F.size(may) > 0, F.transform(h, lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), may.alias("may"))))
+        each = F.transform(F.array(known), lambda h: F.get(F.transform(F.array(possible(F.array_distinct(F.transform(h, lambda x: x["word"])))), lambda may: places(h, may)), F.lit(0)))
+        return F.get(each, F.lit(0))
+
+    # no join brings the texts back: they would all be shuffled. Words that stand in all texts, such as the, vote in these templates only
+    again = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.get(F.transform(F.array(words_of(text)), looked_up), F.lit(0)).alias("hits"))
+    votes = again.select("_id", "_text", F.inline_outer("hits")).where("word is not null").join(F.broadcast(table), "word").where(F.array_contains("may", F.col("template"))).drop("may")
     votes = votes.dropDuplicates(["_id", "_text", "template", "place", "pos"])
     votes = written(votes.withColumn("at", F.col("pos") - F.col("place")), "license-votes")
 
