@@ -7,7 +7,8 @@
 3. Links that miss the stars: where a bucket still holds several components, the nodes outside its largest one are strays. Up to TURNS
    times the strays of a bucket meet one of themselves and one node of the largest component, by turns others. The strays that are
    left meet nodes of other components over their rarest shingles (an exact prefix and position bound), and such pairs are
-   confirmed too. Pairs within a component are never made.
+   confirmed too. Pairs within a component are never made, nor pairs whose parity bits differ in more places than their sets may
+   differ in shingles (a bitmap bound, exact as well).
 4. Components by alternating large and small stars.
 
 A pair with the least similarity shares no bucket with probability (1 - similarity ** rows) ** bands: 7e-9 for 0.85 with 32 bands of 5.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimen.llm.base import join_counted, join_salted, written
@@ -34,6 +35,8 @@ from regimen.llm.base import join_counted, join_salted, written
 CACHE_ENTRIES = 400_000
 #: Further stars for strays, before rare shingles find the links that are left.
 TURNS = 3
+#: Words of 64 bits in which the parity of a set is kept.
+PARITY_WORDS = 16
 #: Steps of an empty bin's probe sequence; with fewer than a hundredth of all bins filled, the lowest filled bin may be taken instead.
 PROBES = 1024
 
@@ -129,20 +132,34 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, tex
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words: a bit is set if an odd number of shingles falls on it. Two sets differ in at least as many shingles as these bits differ."""
+    bits = np.bincount((mix(shingles + np.uint64(1 << 60)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
+def may_be_similar(a: str, b: str, part: int, whole: int) -> Column:
+    """Whether the parity bits p_ and sizes n_ of a and b leave a similarity of part / whole possible."""
+    differ = sum((F.bit_count(F.col(f"p_{a}")[i].bitwiseXOR(F.col(f"p_{b}")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    return differ * (part + whole) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (whole - part)
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """_id, n, shingles array<bigint> from the columns _id and t (binary)."""
+    """_id, n, shingles array<bigint>, parity array<bigint> from the columns _id and t (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingler(value.as_py()).view(np.int64) for value in part.column(1)]
+                sets = [shingler(value.as_py()) for value in part.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), lists], ["_id", "n", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                words = pa.array(np.concatenate([parity_bits(s) for s in sets]))
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * PARITY_WORDS), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, parity], ["_id", "n", "shingles", "parity"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, shingles array<bigint>, parity array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,23 +189,37 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """The components joined (node, component) after further links (a, b), by components of components: only what the links touch is iterated."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    named = written(nodes.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c")), "named")
+    ends = links
+    for end in "ab":
+        ends = join_counted(ends, named.select(F.col("node").alias(end), F.col("c").alias(f"c_{end}"), "n"), [end])
+    moves = written(components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "moves")
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(moves.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    kept = join_counted(joined, written(sizes, "component-sizes"), ["component"])
+    return written(kept.select("node", F.coalesce("_to", "component").alias("component")).unionByName(moves), "components")
+
+
 def crossing_pairs(nodes: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """Pairs (a, b) of a stray node and a node of another component that may be similar enough; none that is gets lost.
 
-    nodes: node, component, stray (true or null); sets: _id, n, shingles. The sets are ordered from rare to frequent shingles.
+    nodes: node, component, stray (true or null); sets: _id, n, shingles, parity. The sets are ordered from rare to frequent shingles.
     Sizes n and m need an overlap of c = part * (n + m) / (part + whole), so similar sets have their first common shingle within
     the first n - c + 1 and m - c + 1 places; what an edit brings in is rare and stands before that.
     """
+    nodes = nodes.join(sets.select(F.col("_id").alias("node"), "parity"), "node")
     each = sets.select(F.col("_id").alias("node"), "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = each.join(often, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
     shortest = F.floor(F.col("n") - (F.col("n") * part + whole - 1) / whole + 1).cast("int") + 1
     heads = written(ranked.select("node", "n", F.slice(F.col("ranked.shingle"), 1, F.greatest(F.least(shortest, F.size("ranked")), F.lit(1))).alias("head")).join(nodes, "node"), "heads")
-    heads = heads.select("node", "n", "component", "stray", F.posexplode("head").alias("place", "shingle"))
-    left = heads.where("stray").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"))
-    right = heads.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"))
+    heads = heads.select("node", "n", "parity", "component", "stray", F.posexplode("head").alias("place", "shingle"))
+    left = heads.where("stray").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"), F.col("component").alias("c_a"), F.col("place").alias("at_a"))
+    right = heads.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"), F.col("component").alias("c_b"), F.col("place").alias("at_b"))
     spare = lambda n, place: (F.col(n) - F.col(place)) * (part + whole) >= (F.col("n_a") + F.col("n_b")) * part
-    fits = (left["shingle"] == right["shingle"]) & (F.col("c_a") != F.col("c_b")) & spare("n_a", "p_a") & spare("n_b", "p_b") & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
+    fits = (left["shingle"] == right["shingle"]) & (F.col("c_a") != F.col("c_b")) & spare("n_a", "at_a") & spare("n_b", "at_b") & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part) & may_be_similar("a", "b", part, whole)
     pairs = left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return written(pairs.distinct(), "pairs")
 
@@ -233,24 +264,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 
     mixed = mixed_buckets()
     sets = sets_of(mixed.select(F.col("node").alias("_want")))
+    bits = sets.select(F.col("_id").alias("node"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"))
     tested = stars
     for turn in range(TURNS):
-        stray, order, at = F.col("component") != F.col("largest"), F.xxhash64("node", F.lit(turn)), F.struct("node", "component")
-        hubs = mixed.groupBy("key").agg(F.count_if(stray).alias("m"), F.array(F.min_by(at, F.when(stray, order)), F.min_by(at, F.when(~stray, order))).alias("hubs"))
-        met = join_counted(mixed.where(stray).select("key", "node", "component"), written(hubs, "hubs"), ["key"], "m").select("node", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+        stray, order, at = F.col("component") != F.col("largest"), F.xxhash64("node", F.lit(turn)), F.struct("node", "component", F.col("n_a").alias("n_b"), F.col("p_a").alias("p_b"))
+        marked = written(mixed.join(bits, "node"), "marked")
+        hubs = marked.groupBy("key").agg(F.count_if(stray).alias("m"), F.array(F.min_by(at, F.when(stray, order)), F.min_by(at, F.when(~stray, order))).alias("hubs"))
+        met = join_counted(marked.where(stray).select("key", "node", "component", "n_a", "p_a"), written(hubs, "hubs"), ["key"], "m").select("node", "component", "n_a", "p_a", F.explode("hubs").alias("hub"))
+        met = met.where("component <> hub.component").select("*", "hub.n_b", "hub.p_b").where(may_be_similar("a", "b", part, whole))
         fresh = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(tested.hint("shuffle_hash"), ["a", "b"], "left_anti")
         fresh = written(fresh, "pairs")
         new = confirmed(fresh, sets)
         if new.isEmpty():
             break
-        links, tested = links.union(new), tested.union(fresh)
-        joined = components(links)
+        joined, tested = merged(joined, new), tested.union(fresh)
         mixed = mixed_buckets()
     strays = mixed.where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
     others = written(mixed.select("node", "component").distinct().join(strays, "node", "left"), "others")
     sets = sets.join(others.select(F.col("node").alias("_id")), "_id", "left_semi")
     more = confirmed(crossing_pairs(others, sets, part, whole), sets)
-    final = joined if more.isEmpty() else components(links.union(more))
+    final = joined if more.isEmpty() else merged(joined, more)
     rep = written(nodes.join(final, "node", "left").select("set_a", "set_b", "copies", F.coalesce("component", "node").alias("component_id")), "classes")
     own = join_counted(full.select("_id", "n_shingles", "set_a", "set_b"), rep, ["set_a", "set_b"], "copies").select("_id", "n_shingles", "component_id")
     alone = sketched.where("n_shingles = 0 or _id is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))

@@ -179,6 +179,27 @@ def test_neardup_families(spark, monkeypatch, heavy):
     assert got == {name(i): (n, name(c)) for i, (n, c) in brute_components(all_texts, 3, 85).items()}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=3000))
+def test_neardup_parity_never_exceeds_the_difference(a, b, common):
+    a, b = a | common, b | common
+    x, y = (neardup.parity_bits(np.array(sorted(s), np.uint64)) for s in (a, b))
+    assert len(x) == neardup.PARITY_WORDS and int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a ^ b)
+
+
+def test_neardup_merged_components(spark):
+    """Further links join components as if all links had been given at once."""
+    random = np.random.default_rng(5)
+    first, more = ([(int(a), int(b)) for a, b in random.integers(0, 400, (n, 2)) if a != b] for n in (150, 60))
+    frame = lambda rows: base.written(spark.createDataFrame(rows, "a bigint, b bigint"))
+    found = lambda df: {r.node: r.component for r in df.collect()}
+    joined = neardup.components(frame(first))
+    want = found(neardup.components(frame(first + more)))
+    assert found(neardup.merged(joined, frame(more))) == want
+    assert found(neardup.merged(joined, frame(more[:0]))) == found(joined)
+    assert found(neardup.merged(neardup.components(frame(first[:0])), frame(more))) == found(neardup.components(frame(more)))
+
+
 def test_neardup_odd(spark, odd):
     found = neardup.near_duplicates(odd, 5, (80, 100)).collect()
     assert len(found) == odd.count()
