@@ -45,7 +45,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors and is computed once. discard() deletes it."""
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes tables of written() that later ones have replaced, so that steps don't pile up in the shared folder. For tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if where := getattr(df, "_written_to", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def as_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimen.llm.base import join_counted, join_salted, written
+from regimen.llm.base import erase, join_counted, join_salted, written
 
 #: Words remembered by a Python worker; a full memory is emptied.
 CACHE_ENTRIES = 400_000
@@ -166,22 +166,25 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (least node reachable) for the nodes of links (a, b of one type that has an order): large and small stars in turn until nothing changes."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
-        """Edges (v, u) have v > u. Joins each node's larger (large) or smaller (small) neighbours to the least node among itself and its neighbours."""
+        """Edges (v, u) have v > u and are erased. Joins each node's larger (large) or smaller (small) neighbours to the least node among itself and its neighbours."""
         if large:
             both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
             least = both.groupBy("v").agg(F.min("u").alias("m"), F.count_if(F.col("u") > F.col("v")).alias("n")).where("n > 0").select("v", F.least("v", "m").alias("m"), "n")
-            moved = join_counted(both.where("u > v"), written(least, "least"), ["v"]).select(F.col("u").alias("v"), F.col("m").alias("u"))
+            least = written(least, "least")
+            moved = join_counted(both.where("u > v"), least, ["v"]).select(F.col("u").alias("v"), F.col("m").alias("u"))
         else:
-            least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
-            moved = join_counted(edges, written(least, "least"), ["v"]).select("v", "m", "u")
+            least = written(edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+            moved = join_counted(edges, least, ["v"]).select("v", "m", "u")
             moved = moved.select("v", F.col("m").alias("u")).union(moved.select(F.col("u").alias("v"), F.col("m").alias("u")))
-        return moved.where("v <> u").distinct()
+        moved = written(moved.where("v <> u").distinct(), "stars")
+        erase(edges, least)
+        return moved
 
     state = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "links")
     before = state(edges)
     while before[0]:
-        edges = written(star(written(star(edges, True), "large-stars"), False), "stars")
+        edges = star(star(edges, True), False)
         now = state(edges)
         if now == before:
             break
@@ -190,16 +193,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
-    """The components joined (node, component) after further links (a, b), by components of components: only what the links touch is iterated."""
+    """The components joined (node, component), erased, after further links (a, b), by components of components: only what the links touch is iterated."""
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     named = written(nodes.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c")), "named")
     ends = links
     for end in "ab":
         ends = join_counted(ends, named.select(F.col("node").alias(end), F.col("c").alias(f"c_{end}"), "n"), [end])
-    moves = written(components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "moves")
+    moves = components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
     sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(moves.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
-    kept = join_counted(joined, written(sizes, "component-sizes"), ["component"])
-    return written(kept.select("node", F.coalesce("_to", "component").alias("component")).unionByName(moves), "components")
+    sizes = written(sizes, "component-sizes")
+    kept = join_counted(joined, sizes, ["component"])
+    out = written(kept.select("node", F.coalesce("_to", "component").alias("component")).unionByName(moves), "components")
+    erase(joined, named, sizes)
+    return out
 
 
 def crossing_pairs(nodes: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -215,13 +221,15 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, part: int, whole: int) ->
     ranked = each.join(often, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
     shortest = F.floor(F.col("n") - (F.col("n") * part + whole - 1) / whole + 1).cast("int") + 1
     heads = written(ranked.select("node", "n", F.slice(F.col("ranked.shingle"), 1, F.greatest(F.least(shortest, F.size("ranked")), F.lit(1))).alias("head")).join(nodes, "node"), "heads")
-    heads = heads.select("node", "n", "parity", "component", "stray", F.posexplode("head").alias("place", "shingle"))
+    table, heads = heads, heads.select("node", "n", "parity", "component", "stray", F.posexplode("head").alias("place", "shingle"))
     left = heads.where("stray").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"), F.col("component").alias("c_a"), F.col("place").alias("at_a"))
     right = heads.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"), F.col("component").alias("c_b"), F.col("place").alias("at_b"))
     spare = lambda n, place: (F.col(n) - F.col(place)) * (part + whole) >= (F.col("n_a") + F.col("n_b")) * part
     fits = (left["shingle"] == right["shingle"]) & (F.col("c_a") != F.col("c_b")) & spare("n_a", "at_a") & spare("n_b", "at_b") & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part) & may_be_similar("a", "b", part, whole)
     pairs = left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return written(pairs.distinct(), "pairs")
+    found = written(pairs.distinct(), "pairs")
+    erase(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +249,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         """The full shingle sets of the nodes in the column _want."""
         texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
         wanted = written(wanted.distinct(), "wanted")
-        return written(shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_want"), "left_semi"), size), "sets")
+        sets = written(shingle_sets(texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_want"), "left_semi"), size), "sets")
+        erase(wanted)
+        return sets
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
@@ -252,7 +262,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         return written(joined.where(same * whole >= (F.col("n_a") + F.col("n_b") - same) * part).select("a", "b").distinct(), "confirmed")
 
     stars = written(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = confirmed(stars, sets_of(stars.select(F.col("a").alias("_want")).union(stars.select("b"))))
+    sets = sets_of(stars.select(F.col("a").alias("_want")).union(stars.select("b")))
+    links = confirmed(stars, sets)
+    erase(sets)
     joined = components(links)
 
     def mixed_buckets() -> DataFrame:
@@ -260,7 +272,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         placed = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
         sizes = placed.groupBy("key", "component").count()
         split = sizes.groupBy("key").agg(F.sum("count").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("parts > 1").drop("parts")
-        return written(join_counted(placed, written(split, "split-keys"), ["key"], "m"), "mixed")
+        split = written(split, "split-keys")
+        out = written(join_counted(placed, split, ["key"], "m"), "mixed")
+        erase(placed, split)
+        return out
 
     mixed = mixed_buckets()
     sets = sets_of(mixed.select(F.col("node").alias("_want")))
@@ -270,14 +285,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         stray, order, at = F.col("component") != F.col("largest"), F.xxhash64("node", F.lit(turn)), F.struct("node", "component", F.col("n_a").alias("n_b"), F.col("p_a").alias("p_b"))
         marked = written(mixed.join(bits, "node"), "marked")
         hubs = marked.groupBy("key").agg(F.count_if(stray).alias("m"), F.array(F.min_by(at, F.when(stray, order)), F.min_by(at, F.when(~stray, order))).alias("hubs"))
-        met = join_counted(marked.where(stray).select("key", "node", "component", "n_a", "p_a"), written(hubs, "hubs"), ["key"], "m").select("node", "component", "n_a", "p_a", F.explode("hubs").alias("hub"))
+        hubs = written(hubs, "hubs")
+        met = join_counted(marked.where(stray).select("key", "node", "component", "n_a", "p_a"), hubs, ["key"], "m").select("node", "component", "n_a", "p_a", F.explode("hubs").alias("hub"))
         met = met.where("component <> hub.component").select("*", "hub.n_b", "hub.p_b").where(may_be_similar("a", "b", part, whole))
         fresh = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(tested.hint("shuffle_hash"), ["a", "b"], "left_anti")
         fresh = written(fresh, "pairs")
+        erase(marked, hubs)
         new = confirmed(fresh, sets)
         if new.isEmpty():
             break
         joined, tested = merged(joined, new), tested.union(fresh)
+        erase(new, mixed)
         mixed = mixed_buckets()
     strays = mixed.where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
     others = written(mixed.select("node", "component").distinct().join(strays, "node", "left"), "others")
