@@ -163,7 +163,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (least node reachable) for the nodes of links (a, b of one type that has an order): large and small stars in turn until nothing changes."""
+    """node, component (least node reachable) for the nodes of links (a, b of one type that has an order): large and small stars in turn until only stars around the least node are left."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         """Edges (v, u) have v > u and are erased. Joins each node's larger (large) or smaller (small) neighbours to the least node among itself and its neighbours."""
@@ -180,15 +180,14 @@ def components(links: DataFrame) -> DataFrame:
         erase(edges, least)
         return moved
 
-    state = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    def settled(edges: DataFrame) -> bool:
+        """Whether all edges are stars around the least node: no node has two smaller neighbours, or a smaller and a larger one."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.lit(1).alias("up")), F.struct(F.col("u").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 or (up = 1 and n > 1)").isEmpty()
+
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "links")
-    before = state(edges)
-    while before[0]:
+    while not settled(edges):
         edges = star(star(edges, True), False)
-        now = state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
