@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.llm import bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, repeats, rules
-from regimen.llm.base import id_hash, table
+from regimen.llm import bpe, hostgraph, langid, licenses, lines, neardup, overlap, periods, phrases, quality, repeats, rules, tokenfiles
+from regimen.llm.base import id_hash, own_folder, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,5 +256,65 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, size=3, similarity=(85, 100), bands=32, rows=5).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op8_repeats": op8_repeats, "op9_urls": op9_urls, "op10_overlap": op10_overlap}
-ORACLES = {"op4_rules": _op4_sql(), "op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=10, longest=3, top=2000, inside=(50, 100))
+
+
+OP11_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents
+), piece AS (
+    SELECT lang, regexp_extract_all(unnest(parts), '[^\x20\x09]+') AS w FROM doc
+), place AS (
+    SELECT lang, w, len(w) AS n, unnest(generate_series(1, len(w))) AS i FROM piece
+), gram AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM place, (SELECT unnest([1, 2, 3]) AS size) WHERE i + size - 1 <= n GROUP BY ALL
+), total AS (
+    SELECT lang, sum(f) AS n FROM gram WHERE size = 1 GROUP BY lang
+), candidate AS (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE size > 1 AND f >= 10
+), cut AS (
+    SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM candidate, (SELECT unnest([1, 2]) AS k) WHERE k < size
+), scored AS (
+    SELECT cut.lang, cut.phrase, a, k, h.f AS l, t.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score
+    FROM cut JOIN gram h ON h.lang = cut.lang AND h.phrase = head JOIN gram t ON t.lang = cut.lang AND t.phrase = tail
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+    SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM candidate WHERE size = 3) GROUP BY ALL
+), kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND part = phrase WHERE part IS NULL OR 100 * longer.a < 50 * lowest.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document, write the ids as files and read them back."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    path = f"{own_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(tokenfiles.encode_ids(table(spark, sf_dir, "documents"), vocabulary, end=1), path)
+    return tokenfiles.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document by crc32(doc_id) repeats a stretch of its words from a place on."""
+    h = id_hash()
+    planted = lambda w: F.transform(F.transform(F.array(F.struct(w.alias("w"), F.floor(h / 10).alias("g"))), lambda x: F.struct(x["w"].alias("w"), F.pmod(x["g"], F.size(x["w"])).alias("a"), x["g"].alias("g"))), lambda x: F.struct(x["w"].alias("w"), x["a"].alias("a"), (1 + F.floor((F.size(x["w"]) - x["a"]) / (3 + x["g"] % 8))).alias("p")))
+    moved = lambda x: F.array_join(F.transform(x["w"], lambda word, i: F.when(i < x["a"], word).otherwise(F.get(x["w"], (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int")))), " ")
+    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    text = F.transform(planted(words), moved)[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.size(words) > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document and what is left without their repetitions, some with planted runs."""
+    found = periods.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("best", periods.strongest())
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_neardup": op3_neardup, "op4_rules": op4_rules, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_licenses": op7_licenses, "op8_repeats": op8_repeats, "op9_urls": op9_urls, "op10_overlap": op10_overlap, "op11_phrases": op11_phrases, "op12_token_files": op12_token_files, "op13_periods": op13_periods}
+ORACLES = {"op4_rules": _op4_sql(), "op6_lines": OP6_SQL, "op7_licenses": _op7_sql(), "op9_urls": _op9_sql(), "op10_overlap": OP10_SQL, "op11_phrases": OP11_SQL}
