@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -91,18 +92,26 @@ def validate_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumns({"category": ok("_category"), "confidence": ok("_confidence"), "rationale_short": ok("_rationale"), "needs_human_review": ok("_flag")}).drop("_v", "_category", "_confidence", "_rationale", "_flag")
 
 
-CACHE_SCHEMA = "cache_key string, example_key string, prompt_version string, model string, classification struct<category:string,confidence:double,rationale_short:string,needs_human_review:boolean>, _corrupt string"
+CACHE_SCHEMA = "cache_key string, example_key string, prompt_version string, model string, classification struct<category:string,confidence:double,rationale_short:string,needs_human_review:boolean>, sequence bigint, _corrupt string"
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The last well-formed JSON line per cache_key; blank and malformed lines are passed over."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    """The last well-formed JSON line per cache_key; blank and malformed lines are passed over.
+
+    The last line is that with the greatest sequence, which append_cache writes; of lines of one sequence, or without any (which count as
+    older), that of the later file, by its time, then its name, and in a file the later line. The sizes of the files and how Spark packs them don't matter.
+    """
+    file = F.col("_metadata")
+    at = F.struct(file["file_modification_time"].alias("time"), file["file_path"].alias("file"), file["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), at.alias("at")).where("line <> ''")
     rows = lines.select("at", F.from_json("line", CACHE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).where("r._corrupt is null and r.cache_key is not null and r.classification is not null")
-    return rows.groupBy("r.cache_key").agg(F.max_by(F.struct("r.example_key", "r.prompt_version", "r.model", "r.classification"), "at").alias("last")).select("cache_key", "last.*")
+    last = F.max_by(F.struct("r.example_key", "r.prompt_version", "r.model", "r.classification"), F.struct(F.coalesce("r.sequence", F.lit(-1)), "at"))
+    return rows.groupBy("r.cache_key").agg(last.alias("last")).select("cache_key", "last.*")
 
 
-def append_cache(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_cache(rows: DataFrame, path: str, sequence: int | None = None) -> None:
+    """Appends rows as JSON lines with their sequence: nanoseconds of the driver's clock, unless it is given."""
+    rows.drop("sequence").withColumn("sequence", F.lit(time.time_ns() if sequence is None else sequence).cast("bigint")).write.mode("append").json(path)
 
 
 def partition_cached(df: DataFrame, cache: DataFrame, force: bool = False, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
+import hashlib
+import inspect
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regimen.operators import skipgram
 from regimen.operators.sample import index_rows
-from regimen.sources.tables import shared_folder, written
-
+from regimen.sources.tables import delete, exists, read_json, shared_folder, write_once, written
 
 #: Candidates that a biased walk draws at a time; walks that accept none of them draw again.
 TRIES = 8
@@ -66,25 +69,39 @@ def random_walks(edges: DataFrame, num_walks: int = 10, length: int = 20, seed:
     return walks.select("start", "walk", "path")
 
 
-def node2vec(walks: DataFrame, dim: int = 128, window: int = 10, min_count: int = 1, seed: int = 13, partitions: int = 4, steps: int = 1) -> DataFrame:
-    """id, vector by skip-gram over the paths. Spark's Word2Vec holds vocabulary x dim on the driver, which bounds the number of nodes."""
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=steps, inputCol="path", outputCol="v").fit(walks.select("path"))
-    from pyspark.ml.functions import vector_to_array
-
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector", "float32").alias("vector"))
-
+def node2vec(walks: DataFrame, dim: int = 128, window: int = 10, min_count: int = 1, seed: int = 13, steps: int = 5, negatives: int = 5, rate: float = 0.1, block_nodes: int = skipgram.BLOCK_NODES, path: str | None = None) -> DataFrame:
+    """id, vector by skip-gram over the paths, trained in blocks of nodes (skipgram.fit); path keeps the state of a run that may be stopped."""
+    return skipgram.fit(walks, dim, window, min_count, negatives, steps, rate, seed, block_nodes, path)
 
-def load_or_build(edges: DataFrame, path: str, **params: int) -> DataFrame:
-    """node2vec vectors stored under path by a fingerprint of the edges and parameters; built only if absent."""
-    from pyspark.errors import AnalysisException
 
+def fingerprint(edges: DataFrame) -> tuple[int, str]:
+    """Number of edges and a sum over their hashes, which doesn't depend on their order."""
     n, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-    name = "-".join(f"{k}{v}" for k, v in sorted(params.items()))
-    where = f"{path or shared_folder(edges.sparkSession)}/node2vec-{n}-{mark}-{name}"
-    try:
-        return edges.sparkSession.read.parquet(where)
-    except AnalysisException:
-        walk = {k: params[k] for k in ("num_walks", "length", "seed") if k in params}
-        skip = {k: params[k] for k in ("dim", "window", "seed") if k in params}
-        node2vec(random_walks(edges, **walk), **skip).write.parquet(where)
-        return edges.sparkSession.read.parquet(where)
+    return n, str(mark)
+
+
+def load_or_build(edges: DataFrame, path: str, **params: float) -> DataFrame:
+    """node2vec vectors stored under path; built only if there are none of these edges with all of these parameters.
+
+    params are those of random_walks (num_walks, length, seed, p, q) and of node2vec; others are an error, and those left out count with their
+    defaults. A store is a folder named by a hash of edges and parameters. Its manifest is written last, and without it nothing is read: a
+    build that was stopped is taken up again, from its last whole round of training.
+    """
+    known = {name: p.default for f in (random_walks, node2vec) for name, p in inspect.signature(f).parameters.items() if name not in ("edges", "walks", "path")}
+    if unknown := sorted(set(params) - set(known)):
+        raise ValueError(f"unknown parameters {unknown}; known are {sorted(known)}")
+    spark, whole = edges.sparkSession, known | params
+    n, mark = fingerprint(edges)
+    content = {"n_edges": n, "edges": mark, "parameters": whole}
+    where = f"{path or shared_folder(spark)}/node2vec-{hashlib.sha256(json.dumps(content, sort_keys=True).encode()).hexdigest()[:32]}"
+    if read_json(spark, f"{where}/manifest.json") is None:
+        walk = {k: whole[k] for k in ("num_walks", "length", "seed", "p", "q")}
+        skip = {k: v for k, v in whole.items() if k not in walk or k == "seed"}
+        paths = f"{where}/walks"
+        if not exists(spark, f"{paths}/_SUCCESS"):
+            random_walks(edges, **walk).write.mode("overwrite").parquet(paths)
+        node2vec(spark.read.parquet(paths), **skip, path=f"{where}/training").write.mode("overwrite").parquet(f"{where}/vectors")
+        write_once(spark, f"{where}/manifest.json", content)
+        delete(spark, f"{where}/training")
+        delete(spark, paths)
+    return spark.read.parquet(f"{where}/vectors")

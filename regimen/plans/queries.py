@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimen.functions import text as X
-from regimen.operators import coverage, embed, encode, kg, mechanism, metrics, models, pairs, sample, split, walks
+from regimen.operators import annotate, attention, coverage, embed, encode, kg, mechanism, metrics, models, pairs, sample, split, walks
 from regimen.plans import testbed as V
 from regimen.plans.views_sql import sql
-from regimen.sources.tables import written
+from regimen.sources.log import KeyedLog
+from regimen.sources.tables import own_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,6 +445,85 @@ def combo_scores(spark, sf_dir):
     return models.score(rows.where("split = 'test'"), model).select("example_key", "label", "prob", "length")
 
 
+@query()
+def attention_scores(spark, sf_dir):
+    vectors = V.entity_vectors(spark, sf_dir)
+    rows = attention.sequence_features(split.exact_split(V.deduped(spark, sf_dir), SEED), vectors, vectors)
+    model = attention.fit(rows.where("split = 'train'"), hidden=16, steps=30, seed=SEED)
+    return model.score(rows.where("split = 'test'")).select("example_key", "label", "prob", "length")
+
+
+# Cache and annotation
+
+
+def _answers(spark, sf_dir) -> list[DataFrame]:
+    """Three rounds of annotations of the labelled documents: all, then those of good quality, then the toxic ones."""
+    rows = V.table(spark, sf_dir, "labels").withColumn("n", F.lit(0))
+    category = F.element_at(F.array(*[F.lit(c) for c in mechanism.CATEGORIES]), (F.col("doc_id") % 4 + 1).cast("int"))
+
+    def cached(of: DataFrame, category: F.Column, confidence: F.Column) -> DataFrame:
+        fields = F.struct(category.alias("category"), confidence.cast("double").alias("confidence"), F.lit("r").alias("rationale_short"), F.lit(False).alias("needs_human_review"))
+        key = F.concat(F.lit("DOC:"), F.col("doc_id").cast("string"))
+        return of.select(mechanism.cache_key(key, "v1", "m").alias("cache_key"), key.alias("example_key"), F.lit("v1").alias("prompt_version"), F.lit("m").alias("model"), fields.alias("classification"))
+
+    return [cached(rows, category, F.col("doc_id") % 100 / 100), cached(rows.where("quality = 1"), category, F.lit(0.95)), cached(rows.where("toxic = 1"), F.lit("other"), F.lit(0.5))]
+
+
+_LAST = "SELECT 'DOC:' || doc_id || '::v1::m' AS cache_key, CASE WHEN toxic = 1 THEN 'other' ELSE CASE doc_id % 4 WHEN 0 THEN 'common_comorbidity' WHEN 1 THEN 'mechanistically_synergistic' WHEN 2 THEN 'other' ELSE 'side_effect_relief' END END AS category, CASE WHEN toxic = 1 THEN 0.5 WHEN quality = 1 THEN 0.95 ELSE doc_id % 100 / 100 END AS confidence FROM labels WHERE doc_id IS NOT NULL"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("cache_key", F.col("classification.category").alias("category"), F.col("classification.confidence").alias("confidence"))
+
+
+@query(_LAST)
+def cache_lines(spark, sf_dir):
+    path = f"{own_folder(spark)}/cache-lines-{uuid.uuid4().hex}"
+    for rows in _answers(spark, sf_dir):
+        mechanism.append_cache(rows.where("example_key is not null"), path)
+    return _shown(mechanism.read_cache(spark, path))
+
+
+def _log(spark, sf_dir) -> KeyedLog:
+    log = KeyedLog(spark, f"{own_folder(spark)}/log-{uuid.uuid4().hex}", "cache_key", annotate.LOG_SCHEMA, buckets=8)
+    first, second, third = (rows.where("example_key is not null") for rows in _answers(spark, sf_dir))
+    log.append(first)
+    log.append(second)
+    log.compact()
+    log.append(third)
+    return log
+
+
+@query(_LAST)
+def cache_snapshot(spark, sf_dir):
+    return _shown(_log(spark, sf_dir).snapshot())
+
+
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS cached FROM documents")
+def cache_known(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    docs = V.table(spark, sf_dir, "documents").select("doc_id").withColumn("cache_key", mechanism.cache_key(F.concat(F.lit("DOC:"), F.col("doc_id").cast("string")), "v1", "m"))
+    return log.known(docs).select("doc_id", F.lit(True).alias("cached")).unionByName(log.unknown(docs).select("doc_id", F.lit(False).alias("cached")))
+
+
+def _by_drugs(requests: list[str]) -> list[str]:
+    """A classifier that goes by the number of drugs in a request; it takes a sixth drug for an error."""
+    found = []
+    for n in (r.count("DRUG:") for r in requests):
+        found.append("no json" if n == 6 else json.dumps({"category": mechanism.CATEGORIES[n % 4], "confidence": n % 10 / 10, "rationale_short": f"{n} drugs", "needs_human_review": n > 4}))
+    return found
+
+
+@query(sql(["dd"], "SELECT key AS example_key, CASE len(ds) % 4 WHEN 0 THEN 'common_comorbidity' WHEN 1 THEN 'mechanistically_synergistic' WHEN 3 THEN 'side_effect_relief' WHEN 2 THEN CASE WHEN len(ds) <> 6 THEN 'other' END END AS category, CASE WHEN len(ds) <> 6 THEN len(ds) % 10 / 10 END AS confidence, CASE WHEN len(ds) = 6 THEN 'malformed' END AS error FROM dd"))
+def annotated_once(spark, sf_dir):
+    rows = V.deduped(spark, sf_dir).withColumns({"source_label_binary": F.col("label"), "source_file": F.lit("pairs")})
+    asked = written(mechanism.request_text(rows).select("example_key", "request"), "asked")
+    path = f"{own_folder(spark)}/annotated-{uuid.uuid4().hex}"
+    log = KeyedLog(spark, f"{path}/log", "cache_key", annotate.LOG_SCHEMA, buckets=8)
+    annotate.annotate_with_log(asked.where("example_key < 'DRUG:5'"), _by_drugs, log, f"{path}/answers", "m", "v1", size=256).select("error").write.format("noop").mode("overwrite").save()
+    return annotate.annotate_with_log(asked, _by_drugs, log, f"{path}/answers", "m", "v1", size=256).select("example_key", "category", "confidence", "error")
+
+
 # Metrics
 
 _COUNTS = "count(*) AS n, count(*) FILTER (WHERE prob < 0.5 AND label = 0) AS tn, count(*) FILTER (WHERE prob >= 0.5 AND label = 0) AS fp, count(*) FILTER (WHERE prob < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE prob >= 0.5 AND label = 1) AS tp"
