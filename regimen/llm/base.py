@@ -1,17 +1,14 @@
-"""What the corpus operators share: tables, tables written to the shared folder, words."""
+"""What the corpus operators share: tables and joins of the core, and ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to so many bytes, counted before.
-BROADCAST_BYTES = 8 << 20
-#: A key is joined on its own if it has more than one row in HEAVY, and more than LEAST_HEAVY (LEAST_SALTED where its rows are dealt).
-HEAVY, LEAST_HEAVY, LEAST_SALTED = 1000, 1000, 100
+from regimen.sources import tables
+from regimen.sources.tables import as_small, discard, erase, join_counted, join_salted, key_sizes, own_folder, shared_folder, written
+
+__all__ = ["as_small", "discard", "erase", "id_hash", "join_counted", "join_met", "join_salted", "key_sizes", "own_folder", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,89 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where a session with a local master has none, as in tests, a new local one. On a cluster it has to be set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="regimen-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def own_folder(spark: SparkSession) -> str:
-    """Where this application's tables are written."""
-    return f"{shared_folder(spark)}/regimen/{spark.sparkContext.applicationId}"
-
-
-def discard(spark: SparkSession) -> None:
-    """Deletes the tables that this application has written; DataFrames that still read them can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors and is computed once. discard() deletes it."""
-    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def erase(*tables: DataFrame) -> None:
-    """Deletes tables of written() that later ones have replaced, so that steps don't pile up in the shared folder. For tables that nothing reads any more; other DataFrames are left alone."""
-    for df in tables:
-        if where := getattr(df, "_written_to", None):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def as_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit BROADCAST_BYTES, else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
-def key_sizes(keys: DataFrame, n: str = "n") -> tuple[int, int]:
-    """All rows of the keys, and those of the most frequent one."""
-    return tuple(keys.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first())
-
-
-def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n", sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Inner join of rows with keys: a row per key with its number n of rows, a table that is cheap to read. on: columns without nulls. sizes: key_sizes, if known.
-
-    A key may hold a third of all rows. At most HEAVY keys can have more than a HEAVY-th of all rows; these are broadcast and their
-    rows stay where they are, and the rest is shuffled by key.
-    """
-    total, most = sizes or key_sizes(keys, n)
-    bound = max(total // HEAVY, LEAST_HEAVY)
-    if most <= bound:
-        return rows.join(keys.drop(n).hint("shuffle_hash"), on)
-    heavy = F.broadcast(keys.where(F.col(n) > bound).drop(n))
-    rest = rows.join(heavy.select(on), on, "left_anti").join(keys.where(F.col(n) <= bound).drop(n).hint("shuffle_hash"), on)
-    return rows.join(heavy, on).unionByName(rest)
-
-
 def join_met(rows: DataFrame, wanted: DataFrame, on: list[str], n: int, row_bytes: int) -> DataFrame:
-    """Inner join of rows with wanted, whose n counted rows are broadcast if they are small; else both are shuffled, and keys that many rows share are joined on their own."""
-    if n * row_bytes <= BROADCAST_BYTES:
+    """Inner join of rows with wanted, whose n counted rows are broadcast if they are small; else one join on counted keys. A key's rows of wanted go as one row with an array, whose elements are spread after the join, so a key with a third of all rows stays where its rows are."""
+    if n * row_bytes <= tables.BROADCAST_BYTES:
         return rows.join(F.broadcast(wanted), on)
-    often = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(wanted.select(on).distinct(), on, "left_semi")
-    return written(join_counted(rows, written(often, "met-keys"), on, "_n"), "met").join(wanted, on)
-
-
-def join_salted(rows: DataFrame, large: DataFrame, on: str, by: str) -> DataFrame:
-    """Inner join of rows with large: a row per key that may be too wide to broadcast. Rows of a key with many rows are dealt by the hash of by, and only that key's row of large is repeated, at most HEAVY repetitions in all."""
-    often = written(rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
-    total, most = key_sizes(often, "_n")
-    bound = max(total // HEAVY, LEAST_SALTED)
-    if most <= bound:
-        return rows.join(large, on)
-    heavy = F.broadcast(often.where(F.col("_n") > bound).select(on, F.ceil(F.col("_n") / bound).alias("_parts")))
-    dealt = rows.join(heavy, on, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0))).drop("_parts")
-    copied = large.join(heavy, on, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copied, [on, "_deal"]).drop("_deal")
+    rest = [c for c in wanted.columns if c not in on]
+    each = wanted.groupBy(*on).agg(F.collect_list(F.struct(*rest)).alias("_rest")) if rest else wanted.select(on).distinct()
+    often = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(each, on)
+    met = join_counted(rows, written(often, "met-keys"), on, "_n")
+    return met.select(*rows.columns, F.inline("_rest")) if rest else met.select(rows.columns)
 
 
 def id_hash(column: str = "doc_id") -> Column:

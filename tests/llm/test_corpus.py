@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regimen.llm import base, bpe, hostgraph, langid, licenses, lines, neardup, overlap, quality, registry, repeats, rules
+from regimen.sources import tables
 from tests.llm.conftest import LONG, ODD
 
 
@@ -158,9 +159,9 @@ def test_neardup_equals_brute_force(spark, sf):
 @pytest.mark.parametrize("heavy", [1000, 3])
 def test_neardup_families(spark, monkeypatch, heavy):
     """A base with many near copies, some linked only to each other; links that miss a star must be found too. Also with heavy keys joined on their own, and with ids that are texts."""
-    monkeypatch.setattr(base, "HEAVY", heavy)
+    monkeypatch.setattr(tables, "HEAVY", heavy)
     for least in ("LEAST_HEAVY", "LEAST_SALTED"):
-        monkeypatch.setattr(base, least, 1000 if heavy == 1000 else 4)
+        monkeypatch.setattr(tables, least, 1000 if heavy == 1000 else 4)
     random = np.random.default_rng(3)
     texts, stem = {}, [f"w{i}" for i in range(120)]
     for i in range(90):
@@ -317,9 +318,9 @@ def test_lines_bitmaps_of_long_documents(spark):
 
 def test_lines_with_many_common_lines(spark, odd, monkeypatch):
     want = sorted(map(str, lines.drop_common_lines(odd).collect()))
-    monkeypatch.setattr(base, "BROADCAST_BYTES", 1)
-    monkeypatch.setattr(base, "HEAVY", 2)
-    monkeypatch.setattr(base, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(tables, "HEAVY", 2)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 3)
     assert sorted(map(str, lines.drop_common_lines(odd).collect())) == want
 
 
@@ -391,8 +392,8 @@ def test_repeats_at_edges_and_odd(spark, odd):
 
 def test_repeats_in_families_of_near_copies(spark, monkeypatch):
     """Many contexts of one anchor that differ at any distance, with heavy keys joined on their own."""
-    monkeypatch.setattr(base, "HEAVY", 3)
-    monkeypatch.setattr(base, "LEAST_HEAVY", 5)
+    monkeypatch.setattr(tables, "HEAVY", 3)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 5)
     monkeypatch.setattr(repeats, "CHUNK", 2048)
     random = np.random.default_rng(8)
     stem = bytes(random.choice(list(b"abcdefgh"), 900)).decode()
@@ -469,8 +470,8 @@ def test_urls_ranks_equal_a_linear_solve(spark, monkeypatch):
     once = {r.page_id: r.verdict for r in hostgraph.judge_pages(df, rules_, damping=d).collect()}
     assert once[1000] == once[1001] == once[1100] == "block" and 2 < sum(v == "block" for i, v in once.items() if i not in fit)
     assert {r.page_id: r.verdict for r in hostgraph.judge_pages(df, rules_, damping=d, more=2).collect()} == once
-    monkeypatch.setattr(base, "HEAVY", 3)
-    monkeypatch.setattr(base, "LEAST_HEAVY", 4)
+    monkeypatch.setattr(tables, "HEAVY", 3)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 4)
     extra = df.select("page_id", F.lit("mine").alias("host"), F.lit("mine").alias("rule"), "url", "html", F.lit(1).alias("verdict"), F.lit(1).alias("src"))
     assert {r.page_id: r.verdict for r in hostgraph.judge_pages(extra, rules_, damping=d).collect()} == once
     # and the same by the registered SQL's recursion
@@ -514,9 +515,9 @@ def test_overlap_is_linear_and_joins_heavy_keys(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"own{i} word{i} " + "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * (i % 3)) for i in range(60)], "doc_id int, text string")
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "thirteen fourteen"), (3, "word7")], "item_id int, text string")
     want = sorted(map(str, overlap.benchmark_overlap(docs, items).collect()))
-    monkeypatch.setattr(base, "BROADCAST_BYTES", 1)
-    monkeypatch.setattr(base, "HEAVY", 2)
-    monkeypatch.setattr(base, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(tables, "HEAVY", 2)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 3)
     assert sorted(map(str, overlap.benchmark_overlap(docs, items).collect())) == want
 
 
