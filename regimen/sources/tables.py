@@ -37,10 +37,10 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors and is computed once. discard() deletes it."""
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
