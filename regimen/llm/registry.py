@@ -295,7 +295,8 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, write the ids as files and read them back."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     path = f"{own_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    tokenfiles.write_tokens(tokenfiles.encode_ids(table(spark, sf_dir, "documents"), vocabulary, end=1), path)
+    width = tokenfiles.id_width(vocabulary)
+    tokenfiles.write_tokens(tokenfiles.encode_ids(table(spark, sf_dir, "documents"), vocabulary, end=1, width=width), path, width=width)
     return tokenfiles.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

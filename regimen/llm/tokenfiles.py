@@ -38,60 +38,124 @@ from regimen.llm.base import erase, written
 BLOCK_IDS, MARK = 1 << 16, 1 << 9
 #: Longest code; longer only where more ids occur than codes of this length exist.
 LONGEST = 16
-#: Words remembered by a Python worker, up to so many characters each; a full memory is emptied.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
+#: Words, and parts of words, remembered by a Python worker in each of two generations; longer words aren't.
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 250_000, 450_000, 48
+# The pre-token pattern by which letters and marks of a word are encoded on their own; marks but for the apostrophe; letters
+# of Latin-1 that have two cases, which no normalization touches.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Blocks decoded at a time.
 TOGETHER = 48
 #: Bytes of text encoded at a time; a longer text comes alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 class LibraryCoder:
-    """Encodes with the tokenizers library. Where normalizer and pre-tokenizer only fold white space and drop it, the words between are encoded once each and remembered."""
+    """Encodes with the tokenizers library. Where a vocabulary is known to treat the words between white space on their own, each word is encoded once and remembered; with the pattern PARTS, so are a word's letters and the marks around them."""
 
-    def __init__(self, spec: str, end: int | None) -> None:
+    def __init__(self, spec: str, end: int | None, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        data = json.loads(spec)
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.end = b"" if end is None else int(end).to_bytes(4, "little")
-        self.by_word, self.known = drops_spaces(spec), {}
+        self.width, self.kind = width, f"<u{width}"
+        self.end = b"" if end is None else int(end).to_bytes(width, "little")
+        self.by_word, self.words, self.parts = drops_spaces(data), Remembered(CACHE_WORDS), Remembered(CACHE_PARTS)
+        # marks that no added token holds; the apostrophe begins parts of its own
+        added = [t["content"] for t in data.get("added_tokens", [])]
+        self.marks = "".join(set(MARKS) - set("".join(added)))
+        suffix = data["model"].get("end_of_word_suffix")
+        whole = self.by_word and data["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": PARTS} and suffix and all(set(a) & set(MARKS) for a in added)
+        self.ends = np.array([t.endswith(suffix) for t, _ in sorted(data["model"]["vocab"].items(), key=lambda x: x[1])]) if whole else None
 
     def pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def pack_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that aren't remembered."""
+        if self.ends is None:
+            return self.pack(words)
+        split, odd = [], []
+        for w in words:
+            core = w.strip(self.marks)
+            if LETTERS(core):
+                at = w.index(core)
+                split.append((w[:at], core.lower(), w[at + len(core) :]))
+            else:
+                split.append(None)
+                odd.append(w)
+        found = {"": b""}
+        new = []
+        parts = list({p for s in split if s for p in s if p})
+        for part, ids in zip(parts, self.parts.all(parts)):
+            if ids is None:
+                new.append(part)
+            else:
+                found[part] = ids
+        # many parts in one text: each ends with the one token that has the suffix
+        coded = self.library.encode_batch([" ".join(new[i : i + 64]) for i in range(0, len(new), 64)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, self.kind), *(np.array(e.ids, self.kind) for e in coded)])
+        cuts = (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        for part, a, b in zip(new, [0, *cuts][: len(cuts)], cuts, strict=True):
+            found[part] = self.parts[part] = raw[a:b]
+        others = iter(self.pack(odd))
+        return [next(others) if s is None else found[s[0]] + found[s[1]] + found[s[2]] for s in split]
 
     def __call__(self, texts: pa.Array) -> pa.Array:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        """Ids of each text and the end id, as little-endian unsigned integers of width bytes."""
         if not self.by_word:
             return pa.array([ids + self.end for ids in self.pack(texts.to_pylist())], pa.binary())
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        found = [self.known.get(w) for w in words]
+        found = self.words.all(words)
         new = [w for w, ids in zip(words, found) if ids is None]
-        fresh = self.pack(new)
-        self.known.update((w, ids) for w, ids in zip(new, fresh) if len(w) <= CACHE_CHARS)
+        fresh = self.pack_words(new)
+        for w, ids in zip(new, fresh):
+            if len(w) <= CACHE_CHARS:
+                self.words[w] = ids
         fresh = iter(fresh)
         found = [next(fresh) if ids is None else ids for ids in found] + [self.end]
         # the ids of all distinct words in one array, of which each word of a text takes its stretch
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // self.width
+        starts, flat = np.cumsum(lengths, dtype=np.int32) - lengths, np.frombuffer(b"".join(found), self.kind)
         cuts = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
-        word = np.insert(np.asarray(coded.indices, np.int64), cuts[1:], len(found) - 1)
+        word = np.insert(np.asarray(coded.indices), cuts[1:], len(found) - 1)
         size = lengths[word]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(starts[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(size, dtype=np.int32)  # a slice of texts has fewer ids than 2 ** 31, as a binary array has bytes
+        ids = flat[np.repeat(starts[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         at = np.concatenate([[0], ends])[cuts + np.arange(len(cuts))]
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((self.width * at).astype(np.int32)), pa.py_buffer(ids)])
 
 
-def drops_spaces(spec: str) -> bool:
+class Remembered:
+    """A memory of two generations of most entries each: a full one becomes the old one, whose entries come back when they are asked for."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def __setitem__(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+    def all(self, keys: list[str]) -> list[bytes | None]:
+        """What is remembered of each key."""
+        found = list(map(self.new.get, keys))
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = self[keys[i]] = value
+        return found
+
+
+def drops_spaces(data: dict) -> bool:
     """Whether a vocabulary file is known to encode the words between ASCII white space independently of each other: it normalizes within words, drops white space and has no added token that holds any."""
-    data = json.loads(spec)
     steps = (data.get("normalizer") or {}).get("normalizers", [data.get("normalizer")])
     plain = all(s is None or s["type"] in ("NFC", "NFKC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " ") for s in steps)
     first = ((data.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -100,19 +164,26 @@ def drops_spaces(spec: str) -> bool:
     return bool(plain and matches and added)
 
 
-_CODERS: dict[tuple[int, int | None], LibraryCoder] = {}
+def id_width(vocabulary: str) -> int:
+    """Bytes that an id of a vocabulary file needs: 2 or 4."""
+    data = json.loads(vocabulary)
+    most = max([0, *data["model"]["vocab"].values(), *(t["id"] for t in data.get("added_tokens", []))])
+    return 2 if most < 1 << 16 else 4
+
+
+_CODERS: dict[tuple[int, int | None, int], LibraryCoder] = {}
 
 
-def encode_ids(docs: DataFrame, vocabulary: str, end: int | None = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of each row: what the tokenizers library gives without special tokens, truncation and padding, and the id end. vocabulary: the text of the library's file."""
+def encode_ids(docs: DataFrame, vocabulary: str, end: int | None = 1, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned integers of width bytes) of each row: what the tokenizers library gives without special tokens, truncation and padding, and the id end. vocabulary: the text of the library's file."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    key = (hash(vocabulary), end)
+    key = (hash(vocabulary), end, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _CODERS:
             _CODERS.clear()
-            _CODERS[key] = LibraryCoder(shared.value, end)
+            _CODERS[key] = LibraryCoder(shared.value, end, width)
         coder = _CODERS[key]
         for batch in batches:
             sizes, start = np.cumsum(np.asarray(pc.binary_length(batch.column(1)))), 0
@@ -125,12 +196,12 @@ def encode_ids(docs: DataFrame, vocabulary: str, end: int | None = 1, doc_id: st
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("ids", T.BinaryType())]))
 
 
-def count_ids(coded: DataFrame) -> DataFrame:
+def count_ids(coded: DataFrame, width: int = 4) -> DataFrame:
     """id (bigint) and n of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), return_counts=True)
+            ids, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], ["id", "n"])
 
     return coded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
@@ -208,11 +279,11 @@ class Code:
         return [out[:, a:b].T.reshape(-1)[:n] for a, b, n in zip(cuts[:-1], cuts[1:], counts)]
 
 
-def write_tokens(coded: DataFrame, path: str, longest: int = LONGEST) -> None:
-    """Writes doc_id and ids (binary, as encode_ids gives them) as a folder of token files."""
+def write_tokens(coded: DataFrame, path: str, longest: int = LONGEST, width: int = 4) -> None:
+    """Writes doc_id and ids (binary, of width bytes an id, as encode_ids gives them) as a folder of token files."""
     spark = coded.sparkSession
-    held = written(coded.select("doc_id", "ids"), "token-ids")
-    counts = count_ids(held).orderBy("id").collect()  # a row per id of the vocabulary
+    held = written(coded.select("doc_id", "ids"), "token-ids", "zstd")
+    counts = count_ids(held, width).orderBy("id").collect()  # a row per id of the vocabulary
     ids, n = np.array([r["id"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
     lengths = code_lengths(n, longest)
     shared = spark.sparkContext.broadcast((ids, lengths))
@@ -234,7 +305,7 @@ def write_tokens(coded: DataFrame, path: str, longest: int = LONGEST) -> None:
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(packed.as_py(), "<u4").astype(np.int64)
+                ids = np.frombuffer(packed.as_py(), f"<u{width}").astype(np.int64)
                 if parts and size + len(ids) > BLOCK_IDS:
                     yield block(np.concatenate(parts), names)
                     names, parts, size = [], [], 0
