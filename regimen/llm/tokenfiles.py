@@ -39,16 +39,18 @@ BLOCK_IDS, MARK = 1 << 16, 1 << 9
 #: Longest code; longer only where more ids occur than codes of this length exist.
 LONGEST = 16
 #: Words, and parts of words, remembered by a Python worker in each of two generations; longer words aren't.
-CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 250_000, 450_000, 48
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 400_000, 450_000, 48
 # The pre-token pattern by which letters and marks of a word are encoded on their own; marks but for the apostrophe; letters
 # of Latin-1 that have two cases, which no normalization touches.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Ids up to which a code has a table by id.
+DENSE = 1 << 22
 #: Blocks decoded at a time.
 TOGETHER = 48
 #: Bytes of text encoded at a time; a longer text comes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 24 << 20
 
 
 class LibraryCoder:
@@ -112,7 +114,7 @@ class LibraryCoder:
             return pa.array([ids + self.end for ids in self.pack(texts.to_pylist())], pa.binary())
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = self.words.all(words)
         new = [w for w, ids in zip(words, found) if ids is None]
         fresh = self.pack_words(new)
@@ -201,7 +203,13 @@ def count_ids(coded: DataFrame, width: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}"), return_counts=True)
+            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}")
+            if width == 2:
+                n = np.bincount(own)
+                ids = np.flatnonzero(n)
+                n = n[ids]
+            else:
+                ids, n = np.unique(own, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], ["id", "n"])
 
     return coded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
@@ -245,12 +253,16 @@ class Code:
         self.symbol, self.size = np.zeros(1 << self.bits, np.uint32), np.ones(1 << self.bits, np.uint8)
         if len(order):
             self.symbol[: ends[-1]], self.size[: ends[-1]] = np.repeat(self.ids, span), np.repeat(self.lengths, span)
-        self.sorted = np.argsort(self.ids)
-        self.by_id = self.ids[self.sorted]
+        self.by_id = np.sort(self.ids)
+        self.dense = self._place(np.arange(self.by_id[-1] + 1)) if len(order) and self.by_id[-1] < DENSE else None
+
+    def _place(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id in the code; any for an id that isn't in it."""
+        return np.argsort(self.ids)[np.minimum(np.searchsorted(self.by_id, ids), len(self.ids) - 1)]
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Codes of ids, and the bit offset of every MARK-th of them."""
-        at = self.sorted[np.searchsorted(self.by_id, ids)]
+        at = self._place(ids) if self.dense is None else self.dense[ids]
         code, length = self.codes[at].astype(np.uint64), self.lengths[at]
         ends = np.cumsum(length)
         offsets = ends - length
