@@ -9,7 +9,9 @@ Forward-backward is exact for texts of any length: texts are cut into blocks who
 and all blocks of a batch advance together.
 
 Defined results: a null text or one without letters is `und` with score 0; so is every text if there is nothing to learn from.
-Every value of lang is learned; more than MOST_LANGUAGES of them raise a ValueError.
+Every value of lang is learned, however many there are: the sample shrinks to LEAST_DOCUMENTS of each, and the fit holds a bounded number of sequences at a
+time, so its memory is the weights (buckets x languages) and the words of the sample (words x languages), in single precision. Its time grows with the
+square of the languages. Of languages with equal scores the first in code-point order is taken.
 Repeated rows get equal results. Extra columns stay; columns named as an output are replaced.
 """
 
@@ -28,13 +30,14 @@ from pyspark.sql import types as T
 
 from regimen.llm.base import as_small, id_hash, written
 
-#: Of each language about so many documents are fitted on, and of each document so many segments of so many words, spread over it.
-DOCUMENTS, SEGMENTS, SEGMENT_WORDS = 150, 4, 24
-#: The fit holds sample and weights of all languages on the driver; more of them than this are an error, none is left out.
-MOST_LANGUAGES = 256
+#: Of each language about so many documents are fitted on, fewer where there would be more than ALL_DOCUMENTS, but at least LEAST_DOCUMENTS; and of each
+#: document so many segments of so many words, spread over it.
+DOCUMENTS, ALL_DOCUMENTS, LEAST_DOCUMENTS, SEGMENTS, SEGMENT_WORDS = 150, 2400, 15, 4, 24
+#: Sequences, and words of the sample, that the fit treats at a time.
+SEQUENCES, WORDS_AT_ONCE = 512, 4096
 #: Buckets for n-grams, most lexicon entries, steps and rate of the fit, weight of the squared weights.
 BUCKETS, LEXICON, STEPS, RATE, DECAY = 1 << 15, 4000, 60, 0.15, 1e-4
-#: Words in a block, words that advance together, words remembered by a Python worker (a full memory is emptied).
+#: Words in a block, words that advance together, words remembered by a Python worker (a full memory is emptied); the last two for up to four languages, fewer for more.
 BLOCK, TOGETHER, CACHE_ENTRIES = 1024, 1_000_000, 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 NGRAMS = (2, 3, 4)
@@ -134,16 +137,19 @@ class Field:
         return total
 
 
+def of_each(languages: int) -> int:
+    """Documents of each language in the sample."""
+    return max(LEAST_DOCUMENTS, min(DOCUMENTS, ALL_DOCUMENTS // max(1, languages)))
+
+
 def segments(docs: DataFrame, usable: Column | None, lang: str, text: str, doc_id: str) -> list[tuple[str, list[str]]]:
-    """(language, words) of evenly spread segments of about DOCUMENTS documents of each language, chosen by a hash of id and language."""
+    """(language, words) of evenly spread segments of about of_each() documents of each language, chosen by a hash of id and language."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.where(usable) if usable is not None else known
     counted = written(known.groupBy(F.col(lang).alias("_name")).agg(F.count(F.lit(1)).alias("_n")), "languages")
     many = counted.count()
-    if many > MOST_LANGUAGES:
-        raise ValueError(f"{many} languages to learn, {MOST_LANGUAGES} at most: merge or filter values of {lang}")
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("langid")), F.lit(1_000_000))
-    bound = F.least(F.lit(1_000_000), F.floor(F.lit(1_000_000.0 * DOCUMENTS) / F.col("_n")))
+    bound = F.least(F.lit(1_000_000), F.floor(F.lit(1_000_000.0 * of_each(many)) / F.col("_n")))
     drawn = known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw"))
     drawn = drawn.join(as_small(counted, many, 128), F.col("_lang") == F.col("_name")).where(F.col("_draw") < bound).select("_lang", "_text")
 
@@ -173,7 +179,7 @@ def fit(docs: DataFrame, usable: Column | None = None, lang: str = "lang", text:
     k = len(labels)
     counts = Counter((w, name) for name, ws in found for w in ws)
     frequent = sorted({w for (w, _), n in counts.most_common() if n >= 3}, key=lambda w: (-sum(counts[w, x] for x in labels), w))[:LEXICON]
-    model = Field(labels, np.zeros((BUCKETS + len(frequent), k)), np.zeros((k, k)), {w: i for i, w in enumerate(frequent)})
+    model = Field(labels, np.zeros((BUCKETS + len(frequent), k), np.float32), np.zeros((k, k)), {w: i for i, w in enumerate(frequent)})
     if k < 2:
         return model
     random = np.random.default_rng(seed)
@@ -192,33 +198,19 @@ def fit(docs: DataFrame, usable: Column | None = None, lang: str = "lang", text:
         lens[row] = at
     mask = np.arange(length)[None, :] < lens[:, None]
     buckets, owners = model.features(list(vocabulary))
-    per_word = np.stack([np.bincount(ids[mask], truth[mask] == y, len(vocabulary)) for y in range(k)], axis=1)
-    moved = np.zeros((k, k))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(vocabulary)))])  # features of a word stand together
+    by_owner = np.argsort(owners, kind="stable")
+    buckets = buckets[by_owner]
+    moved, total = np.zeros((k, k)), mask.sum()
     both = mask[:, 1:]
     np.add.at(moved, (truth[:, :-1][both], truth[:, 1:][both]), 1.0)
-    total, speed = mask.sum(), [(np.zeros_like(x), np.zeros_like(x)) for x in (model.weights, model.moves)]
+    speed = [(np.zeros_like(x), np.zeros_like(x)) for x in (model.weights, model.moves)]
     for step in range(1, STEPS + 1):
-        scores = np.stack([np.bincount(owners, model.weights[buckets, y], len(vocabulary)) for y in range(k)], axis=1)
-        potential, move = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-9, np.exp(model.moves)
-        ahead = np.empty((length, len(joined), k))
-        state = np.full((len(joined), k), 1.0 / k)
-        for t in range(length):
-            state = normal((state @ move) * potential[ids[:, t]])
-            ahead[t] = state
-        expected, pairs, back = np.zeros((len(vocabulary), k)), np.zeros((k, k)), np.ones((len(joined), k))
-        for t in range(length - 1, -1, -1):
-            on = mask[:, t]
-            back = np.where(on[:, None], back, 1.0)
-            post = normal(ahead[t] * back)
-            np.add.at(expected, ids[on, t], post[on])
-            ready = potential[ids[:, t]] * back
-            if t:
-                joint = ahead[t - 1][:, :, None] * move[None] * ready[:, None, :]
-                joint = joint[on] / joint[on].sum(axis=(1, 2), keepdims=True)
-                pairs += joint.sum(axis=0)
-            back = normal(np.where(on[:, None], ready @ move.T, 1.0))
-        gap = (expected - per_word) / total
-        slope = np.stack([np.bincount(buckets, gap[owners, y], len(model.weights)) for y in range(k)], axis=1) + DECAY * model.weights
+        gap, pairs = expectations(model, buckets, starts, ids, lens)
+        np.add.at(gap, (ids[mask], truth[mask]), np.float32(-1.0))
+        slope = DECAY * model.weights
+        for at in range(0, len(vocabulary), WORDS_AT_ONCE):
+            _scatter(slope, buckets, starts, gap, at, min(at + WORDS_AT_ONCE, len(vocabulary)), 1.0 / total)
         for x, g, (m, v) in zip((model.weights, model.moves), (slope, (pairs - moved) / total + DECAY * model.moves), speed, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -226,6 +218,55 @@ def fit(docs: DataFrame, usable: Column | None = None, lang: str = "lang", text:
     return model
 
 
+def _gathered(weights: np.ndarray, buckets: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Scores of the words a to b: the sums of their features' weights."""
+    rows = weights[buckets[starts[a] : starts[b]]]
+    return np.add.reduceat(rows, starts[a:b] - starts[a], axis=0)  # no word is without features
+
+
+def _scatter(slope: np.ndarray, buckets: np.ndarray, starts: np.ndarray, gap: np.ndarray, a: int, b: int, scale: float) -> None:
+    """Adds each word's gap, scaled, to the slopes of its features."""
+    of = np.repeat(np.arange(a, b), np.diff(starts[a : b + 1]))
+    own = buckets[starts[a] : starts[b]]
+    order = np.argsort(own, kind="stable")
+    rows, first = np.unique(own[order], return_index=True)
+    slope[rows] += np.add.reduceat(gap[of[order]], first, axis=0) * scale
+
+
+def expectations(model: Field, buckets: np.ndarray, starts: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often the model expects each word of the sample with each label, and each pair of neighbouring labels, over all sequences: forward-backward, some sequences at a time. A pair's sum over sequences is one product of matrices, so nothing of sequences x labels x labels is held."""
+    n_words, k = len(starts) - 1, len(model.labels)
+    potential = np.empty((n_words, k), np.float32)
+    for a in range(0, n_words, WORDS_AT_ONCE):
+        scores = _gathered(model.weights, buckets, starts, a, min(a + WORDS_AT_ONCE, n_words))
+        potential[a : a + len(scores)] = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-9
+    move, expected, pairs = np.exp(model.moves).astype(np.float32), np.zeros((n_words, k), np.float32), np.zeros((k, k))
+    for a in range(0, len(ids), SEQUENCES):
+        own, size = ids[a : a + SEQUENCES], lens[a : a + SEQUENCES]
+        length = int(size.max())
+        ahead, state = np.empty((length, len(own), k), np.float32), np.full((len(own), k), 1.0 / k, np.float32)
+        for t in range(length):
+            ahead[t] = state = normal((state @ move) * potential[own[:, t]])
+        back, one = np.ones((len(own), k), np.float32), np.float32(1.0)
+        for t in range(length - 1, -1, -1):
+            on = size > t
+            back = np.where(on[:, None], back, one)
+            ready = potential[own[:, t]] * back
+            post = normal(ahead[t] * back)
+            if t:
+                before, after = ahead[t - 1][on], ready[on]
+                weight = ((before @ move) * after).sum(axis=1, keepdims=True)
+                pairs += move * ((before / weight).T @ after)
+            ahead[t] = post  # read by none of the places that are left
+            back = normal(np.where(on[:, None], ready @ move.T, one))
+        there = np.arange(length)[None, :] < size[:, None]
+        words, post = own[:, :length][there], ahead.transpose(1, 0, 2)[there]
+        order = np.argsort(words, kind="stable")
+        rows, first = np.unique(words[order], return_index=True)
+        expected[rows] += np.add.reduceat(post[order], first, axis=0)
+    return expected, pairs
+
+
 class _Memory(dict):
     """Word -> number; words met for the first time wait in fresh. Runs without a letter have number -1."""
 
@@ -256,6 +297,7 @@ def predict(docs: DataFrame, model: Field, text: str = "text", lang_pred: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field_ = shared.value
         k = len(field_.labels)
+        together, entries = (max(BLOCK, n * 4 // max(4, k)) for n in (TOGETHER, CACHE_ENTRIES))  # a row of k numbers for each
         memory, table = _Memory(), np.zeros((0, max(k, 1)))
         for batch in batches:
             best, share = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
@@ -268,7 +310,7 @@ def predict(docs: DataFrame, model: Field, text: str = "text", lang_pred: str =
                 if len(ids):
                     waiting.append((row, ids))
                     held += len(ids)
-                if waiting and (held >= TOGETHER or row + 1 == batch.num_rows):  # the last row may add nothing
+                if waiting and (held >= together or row + 1 == batch.num_rows):  # the last row may add nothing
                     if memory.fresh:
                         table = np.concatenate([table, field_.emissions(memory.fresh)])
                         memory.fresh.clear()
@@ -277,7 +319,7 @@ def predict(docs: DataFrame, model: Field, text: str = "text", lang_pred: str =
                     rows = [r for r, _ in waiting]
                     best[rows], share[rows] = sums.argmax(axis=1), np.clip(sums.max(axis=1), 0, 1)
                     waiting, held = [], 0
-                    if len(memory) > CACHE_ENTRIES:
+                    if len(memory) > entries:
                         memory, table = _Memory(), np.zeros((0, k))
             names = pa.array([field_.labels[b] if b >= 0 else "und" for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), names, pa.array(share)], [*(rest[i] for i in kept), lang_pred, score])

@@ -118,15 +118,62 @@ def test_langid_odd_and_code_switched(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(odd.where("false"))).collect()} == {"und"}
 
 
-def test_langid_learns_every_language(spark, monkeypatch):
+def test_langid_learns_every_language(spark):
     rows = [(100 * k + i, f"l{k:02d}", " ".join(f"{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}{c}" for c in "uvwxyz")) for k in range(70) for i in range(2 if k else 400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
     found = langid.segments(docs, None, "lang", "text", "doc_id")
     assert {name for name, _ in found} == {name for _, name, _ in rows}
-    assert 100 < sum(name == "l00" for name, _ in found) < 200 and all(sum(n == name for n, _ in found) == 2 for _, name, _ in rows[400:])
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 69)
-    with pytest.raises(ValueError, match="70 languages"):
-        langid.segments(docs, None, "lang", "text", "doc_id")
+    assert 15 < sum(name == "l00" for name, _ in found) < 70 and all(sum(n == name for n, _ in found) == 2 for _, name, _ in rows[400:])
+
+
+def test_langid_expectations_equal_sums_over_all_paths(monkeypatch):
+    import itertools
+
+    random = np.random.default_rng(2)
+    words = ["ab", "abc", "xy", "xyz", "q"]
+    model = langid.Field(["a", "b", "c"], random.normal(size=(langid.BUCKETS, 3)).astype(np.float32), random.normal(size=(3, 3)))
+    buckets, owners = model.features(words)
+    order = np.argsort(owners, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
+    ids, lens = random.integers(0, 5, (7, 4)), np.array([4, 1, 3, 2, 4, 4, 1])
+    want, pairs = np.zeros((5, 3)), np.zeros((3, 3))
+    scores = np.stack([np.bincount(owners, model.weights[buckets, y], 5) for y in range(3)], axis=1)
+    for row, n in zip(ids, lens):
+        weights = {p: np.exp(model.moves)[:, p[0]].sum() * np.exp(sum(scores[w, y] for w, y in zip(row[:n], p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:]))) for p in itertools.product(range(3), repeat=n)}
+        for p, weight in weights.items():
+            share = weight / sum(weights.values())
+            for w, y in zip(row, p):
+                want[w, y] += share
+            for a, b in zip(p, p[1:]):
+                pairs[a, b] += share
+    for at_once in (512, 2):
+        monkeypatch.setattr(langid, "SEQUENCES", at_once)
+        monkeypatch.setattr(langid, "WORDS_AT_ONCE", at_once)
+        got = langid.expectations(model, buckets[order], starts, ids, lens)
+        assert np.abs(got[0] - want).max() < 1e-4 and np.abs(got[1] - pairs).max() < 1e-4
+    gap = random.normal(size=(5, 3))
+    slope = np.zeros_like(model.weights)
+    langid._scatter(slope, buckets[order], starts, gap, 0, 5, 0.5)
+    assert np.allclose(slope, 0.5 * np.stack([np.bincount(buckets, gap[owners, y], len(slope)) for y in range(3)], axis=1), atol=1e-5)
+
+
+def test_langid_fits_256_languages_in_bounded_memory(monkeypatch):
+    """Each language has letters of its own order; the arrays of the fit stay under 1 GB, and all languages are told apart."""
+    import tracemalloc
+
+    random = np.random.default_rng(3)
+    letters = np.array(list(string.ascii_lowercase))
+    stems = {f"l{i:03d}": ["".join(random.choice(letters, 4)) for _ in range(12)] for i in range(256)}
+    sample = [(name, [ws[j] for j in random.integers(0, 12, 24)]) for name, ws in stems.items() for _ in range(8)]
+    monkeypatch.setattr(langid, "segments", lambda *a: sorted(sample))
+    monkeypatch.setattr(langid, "STEPS", 6)
+    tracemalloc.start()
+    model = langid.fit(None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e9 and len(model.labels) == 256 and langid.of_each(4) == 150 and langid.of_each(256) * 256 < 4000
+    for name, ws in list(stems.items())[::16]:
+        assert model.labels[int(model.marginals(model.emissions(ws), np.array([len(ws)])).argmax())] == name
 
 
 # 3 Near duplicates
