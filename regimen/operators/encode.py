@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimen.operators.sample import index_rows
+from regimen.sources.tables import children, read_json, write_once, written
 
 PAD = "<PAD>"
 
@@ -41,3 +44,49 @@ def pad(df: DataFrame, width: int | None = None, column: str = "drug_idx", outpu
     """Sequences filled with 0 up to width, or to the longest one."""
     longest = width if width is not None else df.agg(F.max(F.size(column))).first()[0] or 0
     return df.withColumn(output, F.concat(column, F.array_repeat(F.lit(0), F.greatest(F.lit(longest) - F.size(column), F.lit(0)))))
+
+
+class GrowingVocabulary:
+    """A stored vocabulary to which unseen ids are added: indices once given never change.
+
+    Each growth writes the ids that no committed growth has, numbered in code-point order from the next free index on: ranges are sorted on
+    their own and shifted by the sizes before, so no task numbers all of them. Its manifest, written whole and once, makes it count; a growth
+    that was stopped, or came second, is written again on top of what is there then. first: the index of the first id; pad: <PAD> is 0.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, first: int = 0, pad: bool = False) -> None:
+        if pad and first < 1:
+            raise ValueError("with <PAD> at 0 the ids begin at 1 or later")
+        self.spark, self.path = spark, path.rstrip("/")
+        write_once(spark, self._manifest(0), {"parts": [], "next": first, "pad": pad, "first": first})
+        there = self.manifest()
+        if (there["first"], there["pad"]) != (first, pad):
+            raise ValueError(f"{path} begins at {there['first']}, {'with' if there['pad'] else 'without'} <PAD>")
+
+    def _manifest(self, number: int) -> str:
+        return f"{self.path}/manifests/{number:012d}.json"
+
+    def _latest(self) -> int:
+        return max((int(n[:-5]) for n in children(self.spark, f"{self.path}/manifests") if n.endswith(".json") and n[0] != "."), default=0)
+
+    def manifest(self) -> dict:
+        return read_json(self.spark, self._manifest(self._latest()))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """id, idx of all growths, or of those up to a version."""
+        now = read_json(self.spark, self._manifest(self._latest() if version is None else version))
+        schema = "id string, idx int"
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in now["parts"]]) if now["parts"] else self.spark.createDataFrame([], schema)
+        return rows.union(self.spark.createDataFrame([(PAD, 0)], schema)) if now["pad"] else rows
+
+    def grow(self, ids: DataFrame, column: str = "id") -> int:
+        """Adds the ids that are new; null isn't an id. Returns how many."""
+        wanted = written(ids.select(F.col(column).alias("id")).where("id is not null").distinct(), "wanted-ids")
+        while True:
+            number, now = self._latest(), self.manifest()
+            new = index_rows(wanted.join(self.read(), "id", "left_anti"), ["id"], "_pos")
+            part = f"growth-{uuid.uuid4().hex}"
+            new.select("id", (F.col("_pos") + now["next"]).cast("int").alias("idx")).write.parquet(f"{self.path}/{part}")
+            n = self.spark.read.parquet(f"{self.path}/{part}").count()
+            if not n or write_once(self.spark, self._manifest(number + 1), now | {"parts": [*now["parts"], part], "next": now["next"] + n}):
+                return n

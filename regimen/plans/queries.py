@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimen.functions import text as X
-from regimen.operators import annotate, attention, coverage, embed, encode, kg, mechanism, metrics, models, pairs, sample, split, walks
+from regimen.operators import annotate, attention, coverage, embed, encode, kg, khop, mechanism, metrics, models, pairs, profiles, sample, split, walks
 from regimen.plans import testbed as V
 from regimen.plans.views_sql import sql
 from regimen.sources.log import KeyedLog
@@ -198,6 +198,58 @@ def expand_2hop_log(spark, sf_dir):
     return spark.createDataFrame(log, "hop int, n_new bigint, n_all bigint")
 
 
+@query(ORACLES["expand_1hop"])
+def expand_bitmaps(spark, sf_dir):
+    return khop.expand(V.edges(spark, sf_dir), _start(spark, sf_dir), 1)[0]
+
+
+@query(ORACLES["expand_2hop_log"])
+def expand_bitmaps_log(spark, sf_dir):
+    _, log, _ = khop.expand(V.edges(spark, sf_dir), _start(spark, sf_dir), 2)
+    return spark.createDataFrame(log, "hop int, n_new bigint, n_all bigint")
+
+
+@query(sql(["nbr"], "SELECT node AS id, string_agg(other, '|' ORDER BY other) AS neighbours FROM nbr GROUP BY node"))
+def adjacency_blocks(spark, sf_dir):
+    edges = V.edges(spark, sf_dir)
+    numbers = written(khop.number_nodes(edges), "numbers")
+    near = khop.named_neighbours(khop.adjacency_blocks(edges, numbers, length=16), numbers)
+    return near.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("other")), "|").alias("neighbours"))
+
+
+@query(sql(["ed", "nbr"], ", num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS number FROM (SELECT DISTINCT node AS id FROM nbr)), asked AS (SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey % 50 = s_suppkey % 50)\nSELECT p_partkey, s_suppkey, EXISTS (SELECT 1 FROM ed WHERE src = 'PART:' || p_partkey AND dst = 'SUPP:' || s_suppkey) AS known FROM asked JOIN num p ON p.id = 'PART:' || p_partkey JOIN num s ON s.id = 'SUPP:' || s_suppkey"))
+def edge_membership(spark, sf_dir):
+    """Whether parts and suppliers with equal remainders by 50 are linked."""
+    edges = V.edges(spark, sf_dir)
+    numbers = written(khop.number_nodes(edges), "numbers")
+    blocks = written(khop.adjacency_blocks(edges, numbers, length=16), "blocks")
+    part, supplier = V.table(spark, sf_dir, "part").select("p_partkey"), V.table(spark, sf_dir, "supplier").select("s_suppkey")
+    asked = part.join(supplier, F.col("p_partkey") % 50 == F.col("s_suppkey") % 50)
+    for key, prefix, name in (("p_partkey", "PART:", "a"), ("s_suppkey", "SUPP:", "b")):
+        asked = asked.withColumn("id", F.concat(F.lit(prefix), F.col(key).cast("string"))).join(numbers.withColumnRenamed("number", name), "id").drop("id")
+    return khop.has_edge(asked, blocks).select("p_partkey", "s_suppkey", "known")
+
+
+def _parts_of_edges(spark, sf_dir, path: str) -> None:
+    """The edges as a table of two parts, by the kind of their relation."""
+    edges = V.edges(spark, sf_dir)
+    edges.where("relation like 'N%'").coalesce(1).write.mode("append").parquet(path)
+    edges.where("relation not like 'N%'").coalesce(1).write.mode("append").parquet(path)
+
+
+@query(sql(["ed"], "SELECT * FROM (SELECT 'src' AS column, count(*) AS n_rows, 0::BIGINT AS n_nulls, min(src) AS least, max(src) AS greatest, true AS near FROM ed UNION ALL SELECT 'relation', count(*), 0, min(relation), max(relation), true FROM ed UNION ALL SELECT 'dst', count(*), 0, min(dst), max(dst), true FROM ed)"))
+def profile_sketches(spark, sf_dir):
+    """near: whether the distinct counts and the counts of the most frequent values are within their bounds of the exact ones."""
+    folder = f"{own_folder(spark)}/profile-{uuid.uuid4().hex}"
+    _parts_of_edges(spark, sf_dir, f"{folder}/edges")
+    stored, store = spark.read.parquet(f"{folder}/edges"), profiles.profile_store(spark, f"{folder}/store")
+    profiles.profile_new(stored, store, ["src", "relation", "dst"])
+    found = profiles.merged(store, stored)
+    exact = kg.profile_columns(stored, ["src", "relation", "dst"], k=1).select("column", "n", F.col("n_distinct").alias("_distinct"))
+    near = F.col("_distinct").between(F.col("distinct_low"), F.col("distinct_high")) & F.col("n").between(F.col("top")[0]["at_least"], F.col("top")[0]["count"])
+    return found.join(exact, "column").select("column", "n_rows", "n_nulls", "least", "greatest", near.alias("near"))
+
+
 @query(sql(["nbr"], "SELECT node AS id, string_agg(other, '|' ORDER BY other) AS neighbours, count(*) AS degree FROM nbr GROUP BY node"))
 def adjacency(spark, sf_dir):
     return kg.adjacency(V.edges(spark, sf_dir)).select("id", joined("neighbours"), "degree")
@@ -456,6 +508,15 @@ def attention_scores(spark, sf_dir):
 # Cache and annotation
 
 
+@query(sql(["dd"], ", one AS (SELECT DISTINCT unnest(ds) AS id FROM dd WHERE label = 1), two AS (SELECT DISTINCT unnest(ds) AS id FROM dd EXCEPT SELECT id FROM one)\nSELECT '<PAD>' AS id, 0 AS idx UNION ALL SELECT id, row_number() OVER (ORDER BY id)::INT FROM one UNION ALL SELECT id, ((SELECT count(*) FROM one) + row_number() OVER (ORDER BY id))::INT FROM two"))
+def vocabulary_growth(spark, sf_dir):
+    """Drugs of the indications first, then the others that all examples bring."""
+    rows, vocabulary = written(V.deduped(spark, sf_dir), "examples"), encode.GrowingVocabulary(spark, f"{own_folder(spark)}/vocabulary-{uuid.uuid4().hex}", first=1, pad=True)
+    vocabulary.grow(rows.where("label = 1").select(F.explode("drug_set").alias("id")))
+    vocabulary.grow(rows.select(F.explode("drug_set").alias("id")))
+    return vocabulary.read()
+
+
 def _answers(spark, sf_dir) -> list[DataFrame]:
     """Three rounds of annotations of the labelled documents: all, then those of good quality, then the toxic ones."""
     rows = V.table(spark, sf_dir, "labels").withColumn("n", F.lit(0))
