@@ -1,0 +1,295 @@
+"""Operators 11 to 13: against brute force, the tokenizers library and exact round trips; on odd and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from regimen.llm import bpe, periods, phrases, registry, tokenfiles
+from regimen.sources import tables
+
+# 11 Phrases
+
+
+def brute_collocations(rows: list[tuple[str | None, str | None]], least: int, longest: int, top: int, inside: tuple[int, int]) -> set:
+    import re
+
+    found = set()
+    for lang in {lang or "und" for lang, _ in rows}:
+        f: Counter = Counter()
+        for text in (t for name, t in rows if (name or "und") == lang):
+            lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+            for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", lower):
+                ws = re.findall(r"[^ \t]+", piece)
+                for n in range(1, longest + 1):
+                    f.update(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
+        total = sum(v for k, v in f.items() if len(k) == 1)
+        many = {k: v for k, v in f.items() if len(k) > 1 and v >= least}
+        held: dict = {}
+        for k, v in many.items():
+            for n in range(2, len(k)):
+                for i in range(len(k) - n + 1):
+                    held[k[i : i + n]] = max(held.get(k[i : i + n], 0), v)
+        scored = []
+        for k, a in many.items():
+            if inside[1] * held.get(k, 0) >= inside[0] * a:
+                continue
+            score, _, left, right = min((10**6 * a * a // (f[k[:c]] * f[k[c:]]), c, f[k[:c]], f[k[c:]]) for c in range(1, len(k)))
+            scored.append((-score, -a, " ".join(k).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            found.add((lang, rank, phrase.decode(), -a, left, right, total, -score))
+    return found
+
+
+def shown(df) -> set:
+    rows = [tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def made_texts(seed: int, n: int = 150) -> list[tuple[str | None, str | None]]:
+    random = np.random.default_rng(seed)
+    words = ["a", "B", "c", "dé", "\U0001f600", "x\x00y", " ", "the", "of", "E"]
+    return [(["en", "fr", None][random.integers(3)], "".join(f"{words[int(w)]}{' .,\n\t!'[int(s)]}{' ' * int(g)}" for w, s, g in zip(random.zipf(1.5, 40) % 10, random.zipf(2.0, 40) % 6, random.integers(0, 2, 40)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("least", "longest", "top", "inside", "small"), [(10, 3, 2000, (50, 100), False), (3, 4, 25, (80, 100), True), (5, 2, 2000, (50, 100), True)])
+def test_collocations_equal_brute_force(spark, monkeypatch, least, longest, top, inside, small):
+    """Also with a sieve of 64 counters, in which nearly everything collides, word memories that overflow, and tries of 40 phrases."""
+    rows = made_texts(least) + [(None, None), ("de", ""), ("de", "..."), ("de", "A a")]
+    more = {}
+    if small:
+        more = {"bits": 6, "word_bits": 5, "trie_phrases": 40}
+        monkeypatch.setattr(phrases, "CACHE_ENTRIES", 5)
+        monkeypatch.setattr(phrases, "SEEN_ENTRIES", 20)
+        monkeypatch.setattr(phrases, "PASS_WORDS", 300)
+        monkeypatch.setattr(tables, "HEAVY", 3)
+        monkeypatch.setattr(tables, "LEAST_HEAVY", 5)
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit("mine") for c in ("phrase", "score", "n", "word", "f")}).repartition(5)
+    assert shown(phrases.collocations(docs, least, longest, top, inside, **more)) == brute_collocations(rows, least, longest, top, inside)
+
+
+def test_collocations_of_odd_tables(spark, odd):
+    assert phrases.collocations(odd.limit(0)).collect() == [] == phrases.collocations(odd.where("text is null")).collect()
+    rows = [(r.lang, r.text) for r in odd.select("lang", "text").collect()]
+    assert shown(phrases.collocations(odd)) == brute_collocations(rows, 10, 3, 2000, (50, 100))
+
+
+def test_scores_of_large_counts_are_exact(spark):
+    words = spark.createDataFrame([("en", "x", 9_007_199_254_740_993), ("en", "y", 9_007_199_254_740_881)], "lang string, word string, f bigint")
+    found = spark.createDataFrame([("en", "x y", 9_007_199_254_740_787)], "lang string, phrase string, f bigint")
+    got = phrases.scored(words, found, 2).first()
+    assert got.score == 10**6 * 9_007_199_254_740_787**2 // (9_007_199_254_740_993 * 9_007_199_254_740_881)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.tuples(st.sampled_from(["en", "f r"]), st.lists(st.sampled_from([chr(97 + i) for i in range(12)]), min_size=2, max_size=4)).map(lambda x: (x[0], " ".join(x[1]))), max_size=80), st.lists(st.sampled_from([chr(97 + i) for i in range(14)]), max_size=200))
+def test_tries_count_every_phrase(wanted, words):
+    wanted = sorted(wanted)
+    trie = phrases.Trie(pa.array([lang for lang, _ in wanted], pa.string()), pa.array([p for _, p in wanted], pa.string()))
+    walker = phrases.Walker(trie.pack())
+    walker.count([("en", [w.encode() for w in words]), ("f r", [w.encode() for w in words[::-1]]), ("de", [b"a"])], 4)
+    counts = dict(zip(walker.accepting.tolist(), walker.counts.tolist()))
+    texts = {"en": words, "f r": words[::-1]}
+    for (lang, phrase), state in zip(wanted, trie.states.tolist()):
+        parts = phrase.split(" ")
+        assert counts[state] == sum(texts[lang][i : i + len(parts)] == parts for i in range(len(words)))
+    assert len(set(trie.states.tolist())) == len(wanted)
+
+
+# 12 Token files
+
+
+@pytest.fixture(scope="module")
+def word_vocabulary():
+    import public_tokenizers
+
+    return bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+PIECES = st.lists(st.one_of(st.text(max_size=8), st.sampled_from(["<|endoftext|>", "'re", "'s", "Àß.", "Σ", "Á", "İx", "\xa0", "\x85", "\x1c", "#1½", "zu.,", "..zu", " ", "\n", "\t"])), max_size=8).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=4))
+def test_word_memory_equals_the_library(word_vocabulary, texts):
+    for coder in _coders(word_vocabulary):
+        want = [np.array(e.ids + [1], coder.kind).tobytes() for e in coder.library.encode_batch(texts, add_special_tokens=False)]
+        assert coder(pa.array(texts, pa.string())).to_pylist() == want
+
+
+_MADE: list = []
+
+
+def _coders(spec: str) -> list:
+    """One with two bytes an id, and one with small memories and four bytes."""
+    if not _MADE:
+        _MADE.extend(tokenfiles.LibraryCoder(spec, 1, w) for w in (2, 4))
+        _MADE[1].words, _MADE[1].parts = tokenfiles.Remembered(3), tokenfiles.Remembered(2)
+        assert all(c.ends is not None for c in _MADE)
+    return _MADE
+
+
+def test_other_vocabularies_are_encoded_whole(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    coder, library = tokenfiles.LibraryCoder(spec, None, tokenfiles.id_width(spec)), Tokenizer.from_str(spec)
+    texts = ["a b", "", " x  y\n", "<|endoftext|> z"]
+    assert not coder.by_word and [np.frombuffer(x, coder.kind).tolist() for x in coder(pa.array(texts)).to_pylist()] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=6), st.integers(3, 5))
+def test_code_lengths_are_the_best_within_the_limit(counts, longest):
+    lengths = tokenfiles.code_lengths(np.array(counts), longest)
+    best = min((sum(a * b for a, b in zip(counts, x)) for x in itertools.product(range(1, longest + 1), repeat=len(counts)) if sum(Fraction(1, 2**y) for y in x) <= 1))
+    assert (lengths * counts).sum() == best and lengths.max() <= longest
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1).map(lambda x: x % 70 if x % 3 else x), min_size=1, max_size=3000), min_size=1, max_size=4))
+def test_packed_ids_come_back(stretches):
+    ids, n = np.unique(np.concatenate(stretches).astype(np.int64), return_counts=True)
+    code = tokenfiles.Code(ids, tokenfiles.code_lengths(n))
+    packed = [code.pack(np.array(s, np.int64)) for s in stretches]
+    got = code.unpack([p for p, _ in packed], [m for _, m in packed], [len(s) for s in stretches])
+    assert [g.tolist() for g in got] == stretches
+    with pytest.raises(ValueError, match="no prefix code"):
+        tokenfiles.Code(np.arange(3), np.array([1, 1, 1]))
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_files_of_odd_documents(spark, odd, word_vocabulary, tmp_path, monkeypatch, width):
+    """Repeated rows, rows without id, long texts in pieces; the whole is the concatenation in the order of ids, and any range of it can be read."""
+    monkeypatch.setattr(tokenfiles, "BLOCK_IDS", 1300)
+    path = str(tmp_path / "tokens")
+    tokenfiles.write_tokens(tokenfiles.encode_ids(odd.repartition(3), word_vocabulary, 1, width=width), path, width=width)
+    got = sorted(tokenfiles.read_tokens(spark, path).collect(), key=lambda r: r.start)
+    library = _coders(word_vocabulary)[0].library
+    want = {}
+    for r in odd.select("doc_id", "text").collect():
+        want.setdefault(r.doc_id, []).append(np.array(library.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4"))
+    assert [r.doc_id for r in got] == sorted((i for i, own in want.items() for _ in own), key=lambda i: (i is not None, i))
+    at = 0
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) // 4 and bytes(r.ids) in [x.tobytes() for x in want[r.doc_id]]
+        at += r.n_tokens
+    assert sorted(bytes(r.ids) for r in got) == sorted(x.tobytes() for own in want.values() for x in own)
+    whole = np.frombuffer(b"".join(bytes(r.ids) for r in got), "<u4")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.where("pieces > 1").count() > 1 and blocks.agg(F.max("n_ids")).first()[0] <= 1300 and blocks.agg(F.sum("n_ids")).first()[0] == len(whole)
+    for start, n in ((0, 5), (690, 40), (1500, 2500), (len(whole) - 3, 50)):
+        parts = sorted(tokenfiles.read_range(spark, path, start, n).collect(), key=lambda r: r.start)
+        assert parts[0].start == start and np.concatenate([np.frombuffer(p.ids, "<u4") for p in parts]).tolist() == whole[start : start + n].tolist()
+
+
+def test_files_of_nothing_and_without_code(spark, odd, word_vocabulary, tmp_path):
+    tokenfiles.write_tokens(tokenfiles.encode_ids(odd.limit(0), word_vocabulary), str(tmp_path / "none"))
+    assert tokenfiles.read_tokens(spark, str(tmp_path / "none")).collect() == []
+    spark.range(1).write.parquet(str(tmp_path / "half/blocks"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tokenfiles.read_tokens(spark, str(tmp_path / "half"))
+
+
+def test_op12_equals_the_library(spark, sf, word_vocabulary):
+    library, at = _coders(word_vocabulary)[0].library, 0
+    got = {r.doc_id: r for r in registry.op12_token_files(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = np.array(library.encode(d.text or "", add_special_tokens=False).ids + [1], "<u4")
+        assert (got[d.doc_id].start, got[d.doc_id].n_tokens, got[d.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+# 13 Periods
+
+
+def brute_runs(words: list) -> list[tuple[int, int, int]]:
+    found = []
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            n = j + q - i
+            if j > i and n >= max(6, 4 * q) and all(any(words[x] != words[x + p] for x in range(i, i + n - p)) for p in range(1, q)):
+                found.append((i, n, q))
+            i = j + 1 if j > i else i + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+REPEATED = st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.integers(1, 60)).map(lambda x: (x[0] * 60)[: x[1]])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(REPEATED, st.lists(st.integers(0, 4), max_size=12)), max_size=5).map(lambda parts: [w for p in parts for w in p]))
+def test_runs_equal_brute_force(words):
+    assert [tuple(r) for r in periods.find_runs(np.array(words, np.int64)).tolist()] == brute_runs(words)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2).map(lambda i: b"abc"[i : i + 1]), max_size=40), min_size=1, max_size=6))
+def test_texts_share_a_pass(texts):
+    assert [[tuple(r) for r in found.tolist()] for found in periods._texts_runs(texts, 6, 4)] == [brute_runs(t) for t in texts]
+
+
+def test_long_texts_take_n_log_n():
+    import time
+
+    began = time.time()
+    assert periods.find_runs(np.zeros(400_000, np.int64)).tolist() == [[0, 400_000, 1]]
+    assert periods.find_runs(np.arange(400_000) % 1000).tolist() == [[0, 400_000, 1000]]
+    assert len(periods.find_runs(np.random.default_rng(0).integers(0, 2, 200_000))) > 1000 and time.time() - began < 60
+    with pytest.raises(ValueError, match="four periods"):
+        periods.find_runs(np.zeros(3, np.int64), copies=3)
+
+
+def expected_periods(doc_id: int, text: str | None) -> tuple:
+    words = (text or "").encode().split()
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    runs = brute_runs(words)
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    collapsed = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()).hexdigest(), hashlib.sha256(collapsed).hexdigest())
+
+
+def test_op13_equals_brute_force(spark, sf, odd_dir):
+    columns = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    for d in (sf, odd_dir):
+        got = sorted(tuple(r[c] for c in columns) for r in registry.op13_periods(spark, d).collect())
+        docs = [r for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect() if len((r.text or "").split()) < 2500]
+        want = sorted(expected_periods(r.doc_id, r.text) for r in docs)
+        ids = {r.doc_id for r in docs}
+        assert [g for g in got if g[0] in ids] == want and len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_periods_of_odd_rows(spark, odd):
+    got = periods.periodic_runs(odd.withColumn("runs", F.lit("mine")))
+    assert set(got.columns) == {*odd.columns, "n_words", "runs", "collapsed"}
+    rows = {r.doc_id: r for r in got.collect() if r.doc_id}
+    assert rows[1].runs == [] and rows[1].collapsed == "" and rows[3].n_words == 0 and rows[11].collapsed == "one two" and rows[11].keep == "mine"
+    assert rows[4].runs == [] or rows[4].runs[0].period == 15
+    assert rows[4].n_words == 15 * 40 * 60 and len(rows[4].collapsed.split()) == 15
+    assert got.where("doc_id is null").count() == 2 and periods.periodic_runs(odd.limit(0)).collect() == []
+    none = spark.createDataFrame([([],), ([(0, 6, 1), (3, 12, 2)],), ([(5, 8, 2), (9, 12, 3)],)], f"runs array<{periods.RUN}>").select(periods.strongest().alias("b")).collect()
+    assert none[0].b is None and tuple(none[1].b) == (0, 6, 1) and tuple(none[2].b) == (5, 8, 2)
