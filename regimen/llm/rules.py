@@ -95,46 +95,52 @@ def further_references(found: DataFrame, lang: str = "lang") -> DataFrame:
     return sums.select("_of", F.transform("_sums", lambda x: x / total).alias("_own"))
 
 
-def distance(counts: list[Column], total: Column, shares: list[float] | list[Column]) -> Column:
-    """Jensen-Shannon distance (root of the divergence to base 2) of a histogram to a reference."""
-    zero, divergence = F.lit(0.0), F.lit(0.0)
-    for count, q in zip(counts, shares, strict=True):
+def distance(counts: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance (root of the divergence to base 2) of a histogram (array of counts) to a reference (array of shares)."""
+    zero = F.lit(0.0)
+
+    def term(count: Column, q: Column) -> Column:
         p = count / total
         m = (p + q) / 2
-        divergence = divergence + F.when(count > 0, p * F.log2(p / m)).otherwise(zero)
-        if isinstance(q, Column):
-            divergence = divergence + F.when(q > 0, q * F.log2(q / m)).otherwise(zero)
-        elif q > 0:
-            divergence = divergence + q * F.log2(F.lit(q) / m)
-    return F.sqrt(F.greatest(divergence / 2, zero))
+        return F.when(count > 0, p * F.log2(p / m)).otherwise(zero) + F.when(q > 0, q * F.log2(q / m)).otherwise(zero)
+
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(counts, shares, term), zero, lambda a, x: a + x) / 2, zero))
+
+
+def _numbers(values: list) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def judge(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance (least over the references; null without one to compare with), kept."""
     found = written(features(docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")), "_text").drop("_text"), "quality-counts")
     known = references(found, "_lang")
-    classes = [F.get("_classes", F.lit(i)) for i in range(len(CLASSES))]
-    by_class, by_word = [], []
-    for name, (class_shares, word_shares) in sorted(known.items()):
-        by_class.append(distance(classes, F.greatest(F.col("_chars"), F.lit(1)), class_shares))
-        own = [(i, w) for i, w in enumerate(WORDS) if w in COMMON[name]]
-        common = [F.get("_common", F.lit(i)) for i, _ in own]
-        by_word.append(distance([*common, F.col("_words") - sum(common[1:], common[0])], F.greatest(F.col("_words"), F.lit(1)), [*(word_shares[i] for i, _ in own), word_shares[-1]]))
-    least = lambda each: F.lit(None).cast("double") if not each else F.least(*each) if len(each) > 1 else each[0]
+    chars, words = F.greatest(F.col("_chars"), F.lit(1)), F.greatest(F.col("_words"), F.lit(1))
+    to = lambda shares: distance(F.col("_classes"), chars, shares)
+
+    def to_words(r: Column) -> Column:
+        """The distance of the words to a reference: the counts of its own common words and the rest."""
+        own = F.transform(r["places"], lambda i: F.get("_common", i))
+        return distance(F.array_append(own, F.col("_words") - F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x)), words, r["shares"])
+
+    # arrays of references, and one expression for all of them: a term for each class, word and language would be too much code to compile
+    least = lambda each: F.array_min(each) if known else F.lit(None).cast("double")
+    own = {name: [i for i, w in enumerate(WORDS) if w in COMMON[name]] for name in known}
+    by_class = least(F.transform(F.array(*[_numbers(shares) for _, (shares, _) in sorted(known.items())]), to))
+    by_word = least(F.transform(F.array(*[F.struct(_numbers(own[name]).alias("places"), _numbers([*(shares[i] for i in own[name]), shares[-1]]).alias("shares")) for name, (_, shares) in sorted(known.items())]), to_words))
     others = written(further_references(found, "_lang"), "references")
     many = others.count()
     unnamed, fixed = F.col("_lang").isNull(), F.col("_lang").isin(list(known))
-    compared, by_words, class_distance = unnamed | fixed, unnamed | fixed, least(by_class)
+    compared, by_words, class_distance = unnamed | fixed, unnamed | fixed, by_class
     if many:
         every = others.agg(F.collect_list("_own").alias("_every"))  # one row with all references
-        to = lambda shares: distance(classes, F.greatest(F.col("_chars"), F.lit(1)), [F.get(shares, F.lit(i)) for i in range(len(CLASSES))])
         further = F.when(unnamed, F.array_min(F.transform("_every", to))).when(F.col("_own").isNotNull(), to(F.col("_own")))
         joined = found.join(as_small(others, many, 128), F.col("_lang") == F.col("_of"), "left").crossJoin(F.broadcast(every))
         # written, as Spark would compute each distance again where it is compared
         found = written(joined.withColumns({"_fixed": class_distance, "_further": further}).drop("_of", "_own", "_every"), "quality-distances")
         compared, class_distance = unnamed | fixed | F.col("_further").isNotNull(), F.least("_fixed", "_further")
         by_words = fixed | (unnamed & F.coalesce(F.col("_fixed") <= F.col("_further"), F.lit(True)))
-    judged = found.withColumns({"class_distance": F.when(compared, class_distance), "word_distance": F.when(by_words, least(by_word)), "base_failed": base_failed()})
+    judged = found.withColumns({"class_distance": F.when(compared, class_distance), "word_distance": F.when(by_words, by_word), "base_failed": base_failed()})
     long = (F.col("_words") >= LEAST_WORDS) & (F.col("_chars") >= LEAST_CHARS)
     far = long & (F.coalesce(F.col("class_distance") > MOST_CLASSES, F.lit(False)) | F.coalesce(F.col("word_distance") > MOST_WORDS, F.lit(False)))
     named = {"_words": "n_words", "_word_chars": "word_chars", "_symbols": "n_symbols", "_dup_lines": "n_dup_lines", "_repeat_words": "n_repeat_words"}
