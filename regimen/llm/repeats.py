@@ -36,6 +36,8 @@ SPAN, KEY = 200, 64
 #: Windows of a document, and bytes of contexts, taken at a time; distance of the sampled places.
 CHUNK, STEP = 1 << 20, 8
 EDGE = STEP - 1
+#: Bytes of a text within which touching spans are made one before they meet in a row.
+STRETCH = 1 << 16
 CORE = SPAN - EDGE
 _PLACE = np.uint64((1 << 21) - 1)
 
@@ -184,13 +186,37 @@ def repeated_spans(docs: DataFrame, text: str = "text", row: str = "_row") -> Da
     return whole.union(covered(shared.where("not differ"))).union(twins).union(dealt)
 
 
+def united(spans: DataFrame) -> DataFrame:
+    """The spans (_row, _text, start, stop) with those that touch within a stretch of STRETCH bytes made one: a group holds the distinct spans of one stretch, so a text that repeats in every byte comes as a few spans a stretch."""
+    stretch = F.expr(f"start div {STRETCH}").alias("_stretch")
+    grouped = spans.groupBy("_row", "_text", stretch).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("raw")
+            flat, many = raw.flatten(), np.diff(np.asarray(raw.offsets))
+            if not len(flat):
+                continue
+            start, stop, of = np.asarray(flat.field("start")), np.asarray(flat.field("stop")), np.repeat(np.arange(batch.num_rows), many)
+            # starts ascend within a group; shifted by group, one running maximum of the stops serves them all
+            shift = of * (int(stop.max()) + 2)
+            reach = np.maximum.accumulate(stop + shift)
+            first = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+            at = np.flatnonzero(first)
+            ends = reach[np.concatenate([at[1:], [len(start)]]) - 1] - shift[at]
+            rows, texts = (np.asarray(batch.column(c))[of[at]] for c in ("_row", "_text"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, texts, start[at], ends)], ["_row", "_text", "start", "stop"])
+
+    return grouped.mapInArrow(run, "_row bigint, _text bigint, start bigint, stop bigint")
+
+
 def without_repeats(docs: DataFrame, text: str = "text", output: str = "kept") -> DataFrame:
     """docs with n_bytes, spans (array of start and stop of the maximal removed byte ranges) and output (binary: the bytes that stay)."""
     docs = docs.drop("n_bytes", "spans", output)
     numbered = docs.withColumn("_row", F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != text]))
     # rows that agree in all columns can't be told apart; their number makes their text repeat
     copies = numbered.groupBy("_row", F.xxhash64(text).alias("_text")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = written(repeated_spans(numbered, text), "spans")
+    found = written(united(repeated_spans(numbered, text)), "spans")
     found = found.union(copies.select("_row", "_text", F.lit(0).cast("bigint"), F.lit(1 << 40).cast("bigint")))
     spans = found.groupBy("_row", "_text").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("raw")).withColumnsRenamed({"_row": "_srow", "_text": "_stext"}).hint("shuffle_hash")
     joined = numbered.withColumn("_text", F.xxhash64(text)).join(spans, (F.col("_row") == F.col("_srow")) & (F.col("_text") == F.col("_stext")), "left").drop("_row", "_text", "_srow", "_stext")
