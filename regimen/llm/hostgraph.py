@@ -53,15 +53,18 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     average = hosts.agg(F.avg("own").alias("n"))
     parts = F.split("src", r"\.")
     up = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, k, F.size(parts)), ".").alias("dst")))
-    above = hosts.where(F.size(parts) > 1).select("src", F.inline(up)).join(hosts.select(F.col("src").alias("dst")), "dst")
+    suffixes = written(hosts.where(F.size(parts) > 1).select("src", F.inline(up)), "host-suffixes")
+    # most hosts share a last part, which is no host: such keys, too, are counted and joined on their own
+    known = suffixes.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).join(hosts.select(F.col("src").alias("dst"), F.lit(True).alias("_host")), "dst", "left")
+    above = join_counted(suffixes, written(known, "suffix-counts"), ["dst"]).where("_host")
     parents = above.groupBy("src").agg(F.min_by("dst", "k").alias("dst")).crossJoin(F.broadcast(average)).select("src", "dst", "n")
     return links.union(parents).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def host_flows(edges: DataFrame, hosts: DataFrame) -> DataFrame:
     """kind, src, dst, weight: trust flows along an edge in proportion to the links out of src, distrust against it in proportion to those into dst. Each host also has an edge to itself with its own share (base) and no weight."""
-    out, into = edges.groupBy("src").agg(F.sum("n").alias("n_out")), edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
-    both = edges.join(out, "src").join(into, "dst")
+    out, into = (written(edges.groupBy(end).agg(F.sum("n").alias(name), F.count(F.lit(1)).alias("m")), "edge-ends") for end, name in (("src", "n_out"), ("dst", "n_in")))
+    both = join_counted(join_counted(edges, out, ["src"], "m"), into, ["dst"], "m")
     forth = both.select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("n_out")).alias("weight"))
     back = both.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("n_in")).alias("weight"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("host")).union(hosts.select("host")).distinct().join(hosts, "host", "left")
