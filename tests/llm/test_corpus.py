@@ -437,6 +437,23 @@ def test_repeats_at_edges_and_odd(spark, odd):
     assert repeats.without_repeats(odd.limit(0)).collect() == []
 
 
+def test_repeats_of_one_letter_are_few_rows(spark):
+    df = spark.createDataFrame([(1, "a" * 400_000), (2, "b" * 150_000 + "".join(chr(48 + i % 10) + str(i) for i in range(3000)) + "b" * 90_000)], "doc_id bigint, text string")
+    rows = df.withColumn("_row", F.col("doc_id"))
+    spans = repeats.united(repeats.repeated_spans(rows)).collect()
+    assert len(spans) <= 2 * (640_000 // repeats.STRETCH + 3)
+    got = {r.doc_id: r for r in repeats.without_repeats(df).collect()}
+    assert [tuple(s) for s in got[1].spans] == [(0, 400_000)] and len(got[2].spans) == 2 and got[2].spans[0].stop == 150_000
+
+
+def test_touching_spans_are_united_exactly(spark):
+    random = np.random.default_rng(5)
+    rows = [(int(random.integers(0, 3)), 7, int(s), int(s + random.integers(1, 400))) for s in random.integers(0, 3 * repeats.STRETCH, 900)]
+    cover = lambda of: {(r, b) for r, _, start, stop in of for b in range(start, stop)}
+    got = [tuple(r) for r in repeats.united(spark.createDataFrame(rows, "_row bigint, _text bigint, start bigint, stop bigint")).collect()]
+    assert cover(got) == cover(rows) and len(got) < 700 and repeats.united(spark.createDataFrame([], "_row bigint, _text bigint, start bigint, stop bigint")).collect() == []
+
+
 def test_repeats_in_families_of_near_copies(spark, monkeypatch):
     """Many contexts of one anchor that differ at any distance, with heavy keys joined on their own."""
     monkeypatch.setattr(tables, "HEAVY", 3)
@@ -467,6 +484,45 @@ def test_urls_spread_over_links(spark):
     assert hostgraph.judge_pages(spark.createDataFrame([], "page_id bigint, url string, html string"), rules_).collect() == []
 
 
+def test_urls_of_a_hub_are_balanced(spark, monkeypatch):
+    """A third of all links go to one host, and all hosts end alike: no task of the shuffles meets a third of the rows, and flows are those of plain joins."""
+    monkeypatch.setattr(tables, "HEAVY", 50)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 20)
+    pages = [(i, f"http://h{i}.site.com/", " ".join(f"<a href='http://{'hub.com' if k == 0 else f'h{(i * 7 + k) % 900}.site.com'}/'>" for k in range(3))) for i in range(900)] + [(1000, "http://site.com/", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    edges = base.written(hostgraph.host_edges(df))
+    links = {(f"h{i}.site.com", "hub.com" if k == 0 else f"h{(i * 7 + k) % 900}.site.com") for i in range(900) for k in range(3)}
+    want = {(a, b): 1.0 for a, b in links if a != b} | {(f"h{i}.site.com", "site.com"): 1.0 for i in range(900)}
+    assert {(r.src, r.dst): r.n for r in edges.collect()} == want
+    hosts = spark.createDataFrame([("hub.com", 0.0, 1.0)], "host string, good double, bad double")
+    flows = hostgraph.host_flows(edges, hosts)
+    got = {(r.kind, r.src, r.dst): r.weight for r in flows.where("base is null").collect()}
+    n_in = {}
+    for _, b in want:
+        n_in[b] = n_in.get(b, 0) + 1
+    n_out = {}
+    for a, _ in want:
+        n_out[a] = n_out.get(a, 0) + 1
+    assert len(got) == 2 * len(want) and all(abs(got["trust", a, b] - 1 / n_out[a]) < 1e-12 and abs(got["distrust", b, a] - 1 / n_in[b]) < 1e-12 for a, b in want)
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_a_met_key_of_a_third_of_all_rows_is_spread(spark, monkeypatch, several):
+    """join_met without broadcast of the wanted rows: the rows of a hot key stay in the tasks that they were in."""
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 1)
+    rows = spark.range(60_000, numPartitions=16).select(F.when(F.col("id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("id")).alias("k"), "id")
+    wanted = spark.range(0, 60_000, 5).select(F.col("id").alias("k")) if not several else spark.range(0, 60_000, 5).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("item"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        met = base.join_met(rows, wanted, ["k"], wanted.count(), 64)
+        sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id().alias("task")).count().collect())
+        assert sum(sizes) == (2 if several else 1) * (20_000 + 8_000) and sizes[-1] < 4 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_urls_do_not_depend_on_repeats(spark):
     rules_ = [("block", "bad.test", "/"), ("allow", "good.test", "/"), ("block", "few.test", "/no/")]
     pages = [(1, "http://few.test/no/1", ""), (2, "http://few.test/a", ""), (3, "http://bad.test/x", ""), (4, "http://near.test/", "<a href=http://bad.test/x>")]
