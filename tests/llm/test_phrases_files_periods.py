@@ -65,11 +65,11 @@ def made_texts(seed: int, n: int = 150) -> list[tuple[str | None, str | None]]:
 
 @pytest.mark.parametrize(("least", "longest", "top", "inside", "small"), [(10, 3, 2000, (50, 100), False), (3, 4, 25, (80, 100), True), (5, 2, 2000, (50, 100), True)])
 def test_collocations_equal_brute_force(spark, monkeypatch, least, longest, top, inside, small):
-    """Also with a sieve of 64 counters, in which nearly everything collides, word memories that overflow, and tries of 40 phrases."""
+    """Also with keys of seven bits and a small filter, in which nearly everything collides, word memories that overflow, and tries of 40 phrases."""
     rows = made_texts(least) + [(None, None), ("de", ""), ("de", "..."), ("de", "A a")]
     more = {}
     if small:
-        more = {"bits": 6, "word_bits": 5, "trie_phrases": 40}
+        more = {"bits": 6, "word_bits": 5, "key_bits": 7, "trie_phrases": 40}
         monkeypatch.setattr(phrases, "CACHE_ENTRIES", 5)
         monkeypatch.setattr(phrases, "SEEN_ENTRIES", 20)
         monkeypatch.setattr(phrases, "PASS_WORDS", 300)
@@ -92,6 +92,15 @@ def test_scores_of_large_counts_are_exact(spark):
     assert got.score == 10**6 * 9_007_199_254_740_787**2 // (9_007_199_254_740_993 * 9_007_199_254_740_881)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**60), min_size=1, max_size=300), st.integers(0, 60))
+def test_packed_keys_come_back(keys, shift):
+    keys = np.array(sorted({k >> shift for k in keys}), np.uint64)
+    counts = (np.arange(len(keys)) % 127 + 1).astype(np.uint8)
+    got = phrases._unpacked(phrases._packed(keys, counts))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.tuples(st.sampled_from(["en", "f r"]), st.lists(st.sampled_from([chr(97 + i) for i in range(12)]), min_size=2, max_size=4)).map(lambda x: (x[0], " ".join(x[1]))), max_size=80), st.lists(st.sampled_from([chr(97 + i) for i in range(14)]), max_size=200))
 def test_tries_count_every_phrase(wanted, words):
