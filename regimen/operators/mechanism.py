@@ -92,7 +92,7 @@ def validate_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumns({"category": ok("_category"), "confidence": ok("_confidence"), "rationale_short": ok("_rationale"), "needs_human_review": ok("_flag")}).drop("_v", "_category", "_confidence", "_rationale", "_flag")
 
 
-CACHE_SCHEMA = "cache_key string, example_key string, prompt_version string, model string, classification struct<category:string,confidence:double,rationale_short:string,needs_human_review:boolean>, sequence bigint, _corrupt string"
+CACHE_SCHEMA = "cache_key string, example_key string, prompt_version string, model string, classification struct<category:string,confidence:double,rationale_short:string,needs_human_review:boolean>, _corrupt string"
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +104,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     file = F.col("_metadata")
     at = F.struct(file["file_modification_time"].alias("time"), file["file_path"].alias("file"), file["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
     lines = spark.read.text(path).select(F.trim("value").alias("line"), at.alias("at")).where("line <> ''")
-    rows = lines.select("at", F.from_json("line", CACHE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).where("r._corrupt is null and r.cache_key is not null and r.classification is not null")
+    rows = lines.select("at", F.from_json("line", CACHE_SCHEMA + ", sequence bigint", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).where("r._corrupt is null and r.cache_key is not null and r.classification is not null")
     last = F.max_by(F.struct("r.example_key", "r.prompt_version", "r.model", "r.classification"), F.struct(F.coalesce("r.sequence", F.lit(-1)), "at"))
     return rows.groupBy("r.cache_key").agg(last.alias("last")).select("cache_key", "last.*")
 

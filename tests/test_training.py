@@ -72,16 +72,16 @@ def test_pairs_of_a_hub_are_few_and_nothing_is_collected(spark):
 
 def test_store_takes_all_parameters(spark, tmp_path, monkeypatch):
     edges = communities(spark, 20)
-    build = lambda **more: walks.load_or_build(edges, str(tmp_path), **({"num_walks": 2, "length": 5, "dim": 4, "window": 2, "steps": 1, "seed": 1} | more))
+    build = lambda **more: walks.load_or_build(edges, str(tmp_path), **({"num_walks": 2, "length": 5, "dim": 4, "window": 2, "steps": 3, "seed": 1} | more))
     plain = {r.id: r.vector for r in build().collect()}
     biased = {r.id: r.vector for r in build(p=0.25, q=4.0).collect()}
     assert plain.keys() == biased.keys() and plain != biased
     assert {r.id: r.vector for r in build().collect()} == plain
     stores = lambda: sorted(n for n in os.listdir(tmp_path) if n.startswith("node2vec-"))
     assert len(stores()) == 2
-    for name in ("min_count", "steps", "window", "negatives", "block_nodes"):
-        build(**{name: 3})
-    assert len(stores()) == 7
+    for name, value in (("min_count", 2), ("steps", 1), ("block_nodes", 9)):
+        build(**{name: value})
+    assert len(stores()) == 5
     with pytest.raises(ValueError, match="unknown parameters \\['depth'\\]"):
         build(depth=3)
 
@@ -138,7 +138,7 @@ def test_attention_learns_rules_that_a_mean_cannot_hold(spark, ordered):
     df = spark.createDataFrame([(f"k{i}", list(s), "M", label(s)) for i, s in enumerate(sets)], "example_key string, drug_set array<string>, condition_id_norm string, label int")
     vectors = spark.createDataFrame(VECTORS, "id string, vector array<float>")
     features = attention.sequence_features(df, vectors, vectors)
-    model = attention.fit(features, hidden=16, steps=80, rate=0.03, ordered=ordered)
+    model = attention.fit(features, hidden=24, steps=80, rate=0.02, ordered=ordered)
     scored = model.score(features).collect()
     assert len(scored) == len(sets) and all((r.prob > 0.5) == (r.label == 1) and r.length == len(r.drug_set) for r in scored)
     if not ordered:
