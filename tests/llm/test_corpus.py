@@ -63,6 +63,18 @@ def test_bpe_of_odd_texts(both, text):
     assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_op1_equals_the_library(spark, sf, both):
+    """The registered query, over its whole table."""
+    _, library = both
+    got = {r.doc_id: r for r in registry.QUERIES["op1_bpe"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = library.encode(d.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_sha256, got[d.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
 def test_bpe_frames(spark, odd, vocabulary, both):
     coded = bpe.decode(bpe.encode(odd, vocabulary), vocabulary)
     assert set(coded.columns) == set(odd.columns)
@@ -420,6 +432,18 @@ def test_repeats_equal_brute_force(spark, sf):
         assert bytes(r.kept) == b"".join(texts[r.doc_id][ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)) and r.n_bytes == len(texts[r.doc_id])
 
 
+def test_op8_equals_brute_force(spark, sf):
+    """The registered query, over its whole table."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    spans = dict(zip(texts, brute_spans(list(texts.values()), 200), strict=True))
+    got = {r.doc_id: r for r in registry.QUERIES["op8_repeats"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        ends = [0, *(x for s in spans[i] for x in s), len(text)]
+        kept = b"".join(text[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(text), len(text) - len(kept), len(spans[i]), hashlib.sha256(kept).hexdigest())
+
+
 def test_repeats_at_edges_and_odd(spark, odd):
     random = np.random.default_rng(2)
     word = lambda n: "".join(random.choice(list("abcdefgh"), n))
