@@ -246,7 +246,8 @@ def profile_sketches(spark, sf_dir):
     profiles.profile_new(stored, store, ["src", "relation", "dst"])
     found = profiles.merged(store, stored)
     exact = kg.profile_columns(stored, ["src", "relation", "dst"], k=1).select("column", "n", F.col("n_distinct").alias("_distinct"))
-    near = F.col("_distinct").between(F.col("distinct_low"), F.col("distinct_high")) & F.col("n").between(F.col("top")[0]["at_least"], F.col("top")[0]["count"])
+    first, bound = F.get("top", F.lit(0)), F.col("n_rows") * profiles.COUNT_ERROR / profiles.ITEMS  # no value need be among the items unless it is more frequent than the bound
+    near = F.col("_distinct").between(F.col("distinct_low"), F.col("distinct_high")) & F.coalesce(F.col("n").between(first["at_least"], first["count"]), F.col("n") <= bound)
     return found.join(exact, "column").select("column", "n_rows", "n_nulls", "least", "greatest", near.alias("near"))
 
 
