@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regimen.functions.text import curie_prefix
-from regimen.operators.pairs import required_nodes
+from regimen.sources.tables import as_small, written
 
 
 def annotate(df: DataFrame, nodes: DataFrame, key: str = "example_key", drugs: str = "drug_set", condition: str = "condition_id_norm", node: str = "id") -> DataFrame:
     """df with missing_drug_ids (in order, repeats kept), missing_disease_id and reason; reason is '' where nothing is missing.
 
-    The known ids are cut to the required ones first; the rest is a join of exploded ids and one grouping by key. A hot drug id meets
-    one row of the known side, so the join may be split (AQE) or broadcast.
+    df is written once. Of its distinct ids those that aren't known are counted, and the exploded ids meet only these: as many as a task may hold are
+    broadcast, so that what is known never leaves its task, and more are joined by id. One grouping by key follows.
     """
-    known = required_nodes(df, drugs, condition).join(nodes.select(F.col(node).alias("id")).distinct(), "id", "left_semi").withColumn("known", F.lit(True))
-    ids = df.select(key, F.posexplode(F.array_append(F.col(drugs), F.col(condition))).alias("pos", "id"), F.size(drugs).alias("n"))
-    missing = ids.join(known, "id", "left").where("known is null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "n"))).alias("gaps"))
+    df = written(df, "examples")
+    each = F.posexplode(F.array_append(F.col(drugs), F.col(condition))).alias("pos", "id")
+    unknown = written(df.select(each).select("id").distinct().join(nodes.select(F.col(node).alias("id")).distinct(), "id", "left_anti").withColumnRenamed("id", "_unknown"), "unknown-ids")
+    n, widest = unknown.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("_unknown")), F.lit(0))).first()
+    ids = df.select(key, each, F.size(drugs).alias("n"))
+    missing = ids.join(as_small(unknown, n, widest + 32), F.col("id").eqNullSafe(F.col("_unknown"))).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "n"))).alias("gaps"))
     gaps = F.coalesce("gaps", F.array().cast("array<struct<pos:int,id:string,n:int>>"))
     found = df.join(missing, key, "left").withColumn("gaps", gaps)
     found = found.withColumns({

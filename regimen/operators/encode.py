@@ -34,7 +34,7 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 def encode_examples(df: DataFrame, drugs_vocab: DataFrame, diseases_vocab: DataFrame, key: str = "example_key", drugs: str = "drug_set", condition: str = "condition_id_norm") -> DataFrame:
     """df with drug_idx (array<int>, in the order of the drugs), disease_idx and length. Examples with an id outside a vocabulary go."""
     each = df.select(key, F.posexplode(drugs).alias("pos", "id"))
-    coded = each.join(drugs_vocab, "id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("coded"))
+    coded = each.join(drugs_vocab, "id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("coded"))
     coded = coded.select(key, F.transform("coded", lambda c: c["idx"]).alias("drug_idx"))
     found = df.join(coded, key).join(diseases_vocab.select(F.col("id").alias(condition), F.col("idx").alias("disease_idx")), condition)
     return found.where(F.size("drug_idx") == F.size(drugs)).withColumn("length", F.size("drug_idx"))
