@@ -23,7 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from regimen.operators import lookup
 from regimen.sources.tables import written
 
 #: Examples in one pass of a task, and gradients that are added at one place of the tree.
@@ -32,10 +34,20 @@ BATCH, FAN = 256, 16
 
 def sequence_features(df: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str = "example_key", drug_set: str = "drug_set", condition: str = "condition_id_norm") -> DataFrame:
     """df with drug_vectors (array<array<float>>, in the order of the drugs) and disease_vector (array<float>)."""
-    each = df.select(key, F.posexplode(drug_set).alias("pos", "id"))
-    found = each.join(drugs.select("id", F.col("vector").cast("array<float>").alias("vector")), "id")
-    rows = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vector"))), lambda r: r["vector"]).alias("drug_vectors"))
-    return df.join(rows, key).join(diseases.select(F.col("id").alias(condition), F.col("vector").cast("array<float>").alias("disease_vector")), condition)
+
+    def make(rows: pa.RecordBatch, codes: np.ndarray, sizes: np.ndarray, drug: np.ndarray, disease: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep, codes, sizes = lookup.known(codes, sizes, disease)
+        left, at = rows.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(sizes)])
+        for i in range(0, len(sizes), BATCH):  # a row has a vector for each of its drugs
+            part, own_codes = left.slice(i, BATCH), codes[at[i] : at[min(i + BATCH, len(sizes))]]
+            flat, beside = drug[own_codes], own[disease[keep][i : i + BATCH]]
+            each = lookup.lists(np.full(len(flat), flat.shape[1]), pa.array(flat.ravel(), pa.float32()))
+            other = lookup.lists(np.full(len(beside), beside.shape[1]), pa.array(beside.ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lookup.lists(sizes[i : i + BATCH], each), other], [*part.schema.names, "drug_vectors", "disease_vector"])
+
+    vector = T.ArrayType(T.FloatType())
+    schema = T.StructType([*df.schema.fields, T.StructField("drug_vectors", T.ArrayType(vector)), T.StructField("disease_vector", vector)])
+    return lookup.with_vectors(df, drugs, diseases, make, schema, "float", key, drug_set, condition)
 
 
 def place_codes(n: int, dim: int) -> np.ndarray:

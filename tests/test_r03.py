@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regimen.operators import coverage
+from regimen.operators import attention, coverage, khop, models
 from regimen.plans import testbed as V
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,3 +25,25 @@ def test_known_ids_stay_in_their_task(spark):
     assert {r.example_key: (r.missing_drug_ids, r.missing_disease_id, r.reason) for r in found.collect()} == {
         "k1": (["D:1"], None, "missing_drug"), "k2": ([None], None, "missing_drug"), "k3": ([], "C:2", "missing_disease"),
     }
+
+
+def test_vectors_are_not_shuffled_for_every_drug(spark):
+    """Drugs without a vector are left out, repeated ones count each time, examples without any go; one vector a part meets all its examples."""
+    df = spark.createDataFrame([("k1", ["D:1", "D:1", "D:2"], "C:1"), ("k2", ["D:9"], "C:1"), ("k3", ["D:2"], "C:9"), ("k4", ["D:9", "D:2"], "C:1"), ("k5", [], "C:1")], "example_key string, drug_set array<string>, condition_id_norm string")
+    vectors = spark.createDataFrame([("D:1", [1.0, 2.0]), ("D:2", [4.0, 8.0]), ("C:1", [0.5, 0.25])], "id string, vector array<float>")
+    found = models.combo_features(df, vectors, vectors)
+    assert "Join" not in plan(found).split("_kind")[0]
+    assert {r.example_key: r.features for r in found.collect()} == {"k1": [2.0, 4.0, 0.5, 0.25], "k4": [4.0, 8.0, 0.5, 0.25]}
+    rows = attention.sequence_features(df, vectors, vectors).collect()
+    assert {r.example_key: (r.drug_vectors, r.disease_vector) for r in rows} == {"k1": ([[1.0, 2.0], [1.0, 2.0], [4.0, 8.0]], [0.5, 0.25]), "k4": ([[4.0, 8.0]], [0.5, 0.25])}
+
+
+def test_pairs_of_a_product_are_asked_without_a_shuffle(spark):
+    edges = spark.createDataFrame([(f"P{i}", f"S{j}") for i in range(6) for j in range(9) if (i * j) % 4 == 1], "src string, dst string")
+    numbers = khop.number_nodes(edges)
+    of = {r.id: r.number for r in numbers.collect()}
+    left = spark.createDataFrame([(n, of[n], int(n[1:]) % 2) for n in of if n[0] == "P"], "p string, a bigint, r int")
+    right = spark.createDataFrame([(n, of[n], int(n[1:]) % 2) for n in of if n[0] == "S"], "s string, b bigint, r int")
+    found = khop.linked_pairs(left, right, khop.adjacency_blocks(edges, numbers, length=2), "r").collect()
+    have = {(r.src, r.dst) for r in edges.collect()}
+    assert len(found) == len({(r.p, r.s) for r in found}) == left.join(right, "r").count() and all(r.known == ((r.p, r.s) in have) for r in found)
