@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regimen.operators import attention, coverage, khop, models
+from regimen.operators import attention, coverage, khop, models, walks
 from regimen.plans import testbed as V
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,3 +47,11 @@ def test_pairs_of_a_product_are_asked_without_a_shuffle(spark):
     found = khop.linked_pairs(left, right, khop.adjacency_blocks(edges, numbers, length=2), "r").collect()
     have = {(r.src, r.dst) for r in edges.collect()}
     assert len(found) == len({(r.p, r.s) for r in found}) == left.join(right, "r").count() and all(r.known == ((r.p, r.s) in have) for r in found)
+
+
+def test_walks_that_rarely_accept_read_the_index_a_few_times(spark, monkeypatch):
+    names, real = [], walks.written
+    monkeypatch.setattr(walks, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    ring = spark.range(200).selectExpr("concat('N', id) as src", "concat('N', (id + 1) % 200) as dst")
+    found = walks.random_walks(ring, num_walks=1, length=3, p=20.0, q=20.0).collect()
+    assert len(found) == 200 and names.count("taken") <= 8
