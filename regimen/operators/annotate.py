@@ -1,7 +1,7 @@
 """Annotation by a paid batch classifier that is never asked twice for an answer that was committed.
 
-Requests are dealt to batches of bounded size in the order of a seeded hash. A batch is named by the hash of its keys and requests, and its answers
-are one file under that name in a shared folder: written under another name, then moved. A task that runs again after an executor was
+Requests are dealt to the calls by the hash of key and request, and cut into batches of bounded size in the order of a seeded hash, so their texts are shuffled once.
+A batch is named by the hash of its keys and requests, and its answers are one file under that name in a shared folder: written under another name, then moved. A task that runs again after an executor was
 lost finds the files of the batches that it had done and asks only for the rest; so does a later run, which leaves out every request that has an
 answer, whatever batches it stood in. Only batches in flight when a task dies can be asked for again.
 
@@ -13,6 +13,7 @@ rows with its error, is not committed, and is asked again by the next run.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimen.operators import mechanism
-from regimen.operators.sample import index_rows, seeded
+from regimen.operators.sample import seeded
 from regimen.sources.log import KeyedLog
 from regimen.sources.tables import children, written
 
@@ -58,57 +59,80 @@ def is_committed(path: str, batch: str) -> bool:
     return files.get_file_info(f"{where}/{batch}.json").type == fs.FileType.File
 
 
-def answers(spark: SparkSession, path: str) -> DataFrame:
-    """key, asked (hash of the request), payload of all committed batches; of a repeated answer the one of the least batch."""
+def answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """key, asked (hash of the request, as bytes), payload of all committed batches, None if there are none; of a repeated answer the one of the least batch."""
     if not any(n.endswith(".json") for n in children(spark, path)):
-        return spark.createDataFrame([], "key string, asked string, payload string")
-    rows = spark.read.schema(ANSWER).json(path)
+        return None
+    rows = spark.read.schema(ANSWER).json(path).select("key", F.unhex("asked").alias("asked"), "payload", F.unhex("batch").alias("batch"))
     return rows.groupBy("key", "asked").agg(F.min_by("payload", "batch").alias("payload"))
 
 
-def batches(todo: DataFrame, size: int, seed: int = 13) -> DataFrame:
-    """batch (name) and rows (array of key, request, asked), at most size rows each."""
-    placed = index_rows(todo.withColumn("_order", seeded(F.concat_ws("|", "key", "asked"), seed)), ["_order", "key", "asked"], "_idx")
-    grouped = placed.groupBy(F.expr(f"_idx div {size}").alias("_n")).agg(F.sort_array(F.collect_list(F.struct("key", "request", "asked"))).alias("rows"))
-    return grouped.select(F.sha2(F.to_json("rows"), 256).alias("batch"), "rows")
+def dealt(requests: DataFrame, rest: DataFrame, partitions: int, seed: int = 13) -> DataFrame:
+    """key, request, asked (as hex) of the requests in rest, in partitions that depend on the rows alone, each in the order of a seeded hash: the one shuffle of the texts."""
+    here = requests.repartition(partitions, "key", "asked").join(rest.repartition(partitions, "key", "asked").hint("shuffle_hash"), ["key", "asked"], "left_semi")
+    named = here.select("key", "request", F.lower(F.hex("asked")).alias("asked"))
+    return named.withColumn("_order", seeded(F.concat_ws("|", "key", "asked"), seed)).sortWithinPartitions("_order", "key", "asked").drop("_order")
+
+
+def batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[str, list[dict]]]:
+    """Name and rows of the batches of a sorted partition, all of size rows but the last; repeated rows stand once."""
+    rows, last = [], None
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            if (row["key"], row["asked"]) != last:
+                last = row["key"], row["asked"]
+                rows.append(row)
+            if len(rows) == size:
+                yield _name(rows), rows
+                rows = []
+    if rows:
+        yield _name(rows), rows
+
+
+def _name(rows: list[dict]) -> str:
+    return hashlib.sha256(json.dumps([[r["key"], r["asked"]] for r in rows]).encode()).hexdigest()
 
 
 def annotate_once(todo: DataFrame, classify: Callable[[list[str]], list[str]], path: str, size: int = 32, retries: int = 3, wait: float = 1.0, partitions: int = 8, key: str = "example_key", request: str = "request") -> DataFrame:
     """key, payload, error of each (key, request) of todo, answered now or before. partitions bounds the parallel calls; a failed call is tried again after wait seconds, twice as many, and so on."""
     spark = todo.sparkSession
-    asked = todo.where(F.col(key).isNotNull() & F.col(request).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(request).alias("request")).distinct().withColumn("asked", F.sha2("request", 256))
-    asked = written(asked, "requests")
-    rest = written(asked.join(answers(spark, path), ["key", "asked"], "left_anti"), "open-requests")
+    texts = written(todo.where(F.col(key).isNotNull() & F.col(request).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(request).alias("request")), "requests")
+    texts = texts.withColumn("asked", F.unhex(F.sha2("request", 256)))
+    asked, before = written(texts.select("key", "asked").distinct(), "asked"), answers(spark, path)
+    rest = asked if before is None else asked.join(before.select("key", "asked"), ["key", "asked"], "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for batch, rows in zip(frame["batch"], frame["rows"]):
-                if is_committed(path, batch):
-                    continue
-                for attempt in range(retries):
-                    try:
-                        found = list(classify([r["request"] for r in rows]))
-                        if len(found) != len(rows):
-                            raise ValueError(f"{len(found)} answers to {len(rows)} requests")
-                    except Exception as e:  # the last failure becomes rows
-                        if attempt + 1 < retries:
-                            time.sleep(wait * 2**attempt)
-                        else:
-                            yield pd.DataFrame({"key": [r["key"] for r in rows], "asked": [r["asked"] for r in rows], "error": [f"{type(e).__name__}: {e}"] * len(rows)})
+        for batch, rows in batches(frames, size):
+            if is_committed(path, batch):
+                continue
+            for attempt in range(retries):
+                try:
+                    found = list(classify([r["request"] for r in rows]))
+                    if len(found) != len(rows):
+                        raise ValueError(f"{len(found)} answers to {len(rows)} requests")
+                except Exception as e:  # the last failure becomes rows
+                    if attempt + 1 < retries:
+                        time.sleep(wait * 2**attempt)
                     else:
-                        commit_batch(path, batch, [{"batch": batch, "key": r["key"], "asked": r["asked"], "payload": p} for r, p in zip(rows, found)])
-                        break
-
-    dealt = written(batches(rest, size), "batches")
-    failed = written(dealt.repartition(partitions, "batch").mapInPandas(run, "key string, asked string, error string"), "failures")
-    done = asked.join(answers(spark, path), ["key", "asked"], "left").join(failed, ["key", "asked"], "left")
+                        yield pd.DataFrame({"key": [r["key"] for r in rows], "asked": [r["asked"] for r in rows], "error": [f"{type(e).__name__}: {e}"] * len(rows)})
+                else:
+                    commit_batch(path, batch, [{"batch": batch, "key": r["key"], "asked": r["asked"], "payload": p} for r, p in zip(rows, found)])
+                    break
+
+    failed = written(dealt(texts, rest, partitions).mapInPandas(run, "key string, asked string, error string"), "failures")
+    failed, now = failed.select("key", F.unhex("asked").alias("asked"), "error"), answers(spark, path)
+    done = asked.withColumn("payload", F.lit(None).cast("string")) if now is None else asked.join(now, ["key", "asked"], "left")
+    if not failed.isEmpty():
+        done = done.join(failed, ["key", "asked"], "left")
+    else:
+        done = done.withColumn("error", F.lit(None).cast("string"))
     return done.select(F.col("key").alias(key), "payload", F.when(F.col("payload").isNull(), F.coalesce("error", F.lit("no answer"))).alias("error"))
 
 
 def annotate_with_log(df: DataFrame, classify: Callable[[list[str]], list[str]], log: KeyedLog, path: str, model: str, version: str, key: str = "example_key", request: str = "request", force: bool = False, **params) -> DataFrame:
     """key, category, confidence, rationale_short, needs_human_review, error of every row of df: from the log where it has the key for this model and version, else asked, checked and appended to the log. force asks for all rows."""
-    keyed = df.select(key, request).distinct().withColumn("cache_key", mechanism.cache_key(F.col(key), version, model))
-    todo, path = (keyed, f"{path}/forced-{uuid.uuid4().hex}") if force else (log.unknown(keyed), path)
+    keyed = df.select(key, request).withColumn("cache_key", mechanism.cache_key(F.col(key), version, model))
+    todo, path = (keyed, f"{path}/forced-{uuid.uuid4().hex}") if force else (log.unknown(keyed) if log.manifest()["appends"] else keyed, path)
     found = annotate_once(todo, classify, path, key=key, request=request, **params)
     checked = written(mechanism.validate_payloads(found.where("error is null")), "checked")
     fields = ["category", "confidence", "rationale_short", "needs_human_review"]

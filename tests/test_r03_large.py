@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
+
+from regimen.operators import annotate
 from regimen.plans import queries as core
 from regimen.plans import testbed as V
 from regimen.sources import tables
@@ -17,3 +20,14 @@ def test_no_task_takes_all_edges(spark, tmp_path, monkeypatch):
     core._parts_of_edges(spark, SMALL, str(tmp_path / "edges"))
     sizes = [spark.read.parquet(f"{tmp_path}/edges/{n}").count() for n in os.listdir(tmp_path / "edges") if n.endswith(".parquet")]
     assert len(sizes) >= 12 and max(sizes) < sum(sizes) / 4 and sum(sizes) == V.edges(spark, SMALL).count()
+
+
+def test_texts_are_written_and_dealt_once(spark, tmp_path, monkeypatch):
+    held, real = [], annotate.written
+    monkeypatch.setattr(annotate, "written", lambda df, name: (held.append("q1" in str(df.collect())), real(df, name))[1])
+    todo = spark.createDataFrame([(f"k{i}", f"q{i}") for i in range(20)] * 2, "example_key string, request string")
+    rows = annotate.annotate_once(todo, lambda r: [x.upper() for x in r], str(tmp_path / "answers"), size=6, partitions=2)
+    assert sorted((r.example_key, r.payload, r.error) for r in rows.collect()) == sorted((f"k{i}", f"Q{i}", None) for i in range(20))
+    assert held.count(True) == 1
+    batch = [{"key": k, "request": "q", "asked": k} for k in "aabbc"]
+    assert [[r["key"] for r in rows] for _, rows in annotate.batches(iter([pd.DataFrame(batch[:1]), pd.DataFrame(batch[1:])]), 2)] == [["a", "b"], ["c"]]
