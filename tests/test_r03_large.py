@@ -6,7 +6,7 @@ import os
 
 import pandas as pd
 
-from regimen.operators import annotate
+from regimen.operators import annotate, khop, kg
 from regimen.plans import queries as core
 from regimen.plans import testbed as V
 from regimen.sources import tables
@@ -31,3 +31,27 @@ def test_texts_are_written_and_dealt_once(spark, tmp_path, monkeypatch):
     assert held.count(True) == 1
     batch = [{"key": k, "request": "q", "asked": k} for k in "aabbc"]
     assert [[r["key"] for r in rows] for _, rows in annotate.batches(iter([pd.DataFrame(batch[:1]), pd.DataFrame(batch[1:])]), 2)] == [["a", "b"], ["c"]]
+
+
+def counted(spark, df):
+    """df that counts how often its rows are made, and the counter."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_edges_are_made_once(spark, monkeypatch):
+    raw = spark.createDataFrame([(f"P{i}", r, f"S{j}") for i in range(6) for j in range(9) if (i * j) % 4 == 1 for r in "ab"] + [("P1", "a", "P1")], "src string, relation string, dst string")
+    edges, made = counted(spark, raw)
+    khop.Hops(edges)
+    assert made.value <= 2 * raw.count()
+    monkeypatch.setattr(V, "edges", lambda *a: counted_again[0])
+    counted_again = counted(spark, raw)
+    found = {r.id: r.neighbours for r in core.QUERIES["adjacency_blocks"](spark, SMALL).collect()}
+    assert counted_again[1].value <= 2 * raw.count()
+    assert found == {r.id: "|".join(r.neighbours) for r in kg.adjacency(raw).collect()} and found["P1"].startswith("P1|")
