@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from regimen.operators import lookup
 from regimen.operators.sample import index_rows
 from regimen.sources.tables import children, read_json, write_once, written
 
@@ -33,11 +38,19 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 
 def encode_examples(df: DataFrame, drugs_vocab: DataFrame, diseases_vocab: DataFrame, key: str = "example_key", drugs: str = "drug_set", condition: str = "condition_id_norm") -> DataFrame:
     """df with drug_idx (array<int>, in the order of the drugs), disease_idx and length. Examples with an id outside a vocabulary go."""
-    each = df.select(key, F.posexplode(drugs).alias("pos", "id"))
-    coded = each.join(drugs_vocab, "id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("coded"))
-    coded = coded.select(key, F.transform("coded", lambda c: c["idx"]).alias("drug_idx"))
-    found = df.join(coded, key).join(diseases_vocab.select(F.col("id").alias(condition), F.col("idx").alias("disease_idx")), condition)
-    return found.where(F.size("drug_idx") == F.size(drugs)).withColumn("length", F.size("drug_idx"))
+    known = lambda vocab: vocab.where(F.col("id").isNotNull()).select("id", F.array(F.col("idx")).alias("vector"))
+
+    def make(rows: pa.RecordBatch, codes: np.ndarray, sizes: np.ndarray, drug: np.ndarray, disease: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        keep = (sizes > 0) & (disease >= 0) & (np.bincount(row[codes < 0], minlength=len(sizes)) == 0)
+        if keep.any():
+            left = rows.filter(pa.array(keep))
+            idx = lookup.lists(sizes[keep], pa.array(drug[codes[keep[row]], 0], pa.int32()))
+            more = [idx, pa.array(own[disease[keep], 0], pa.int32()), pa.array(sizes[keep], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*left.columns, *more], [*left.schema.names, "drug_idx", "disease_idx", "length"])
+
+    added = [T.StructField("drug_idx", T.ArrayType(T.IntegerType())), *(T.StructField(n, T.IntegerType()) for n in ("disease_idx", "length"))]
+    return lookup.with_vectors(df, known(drugs_vocab), known(diseases_vocab), make, T.StructType([*df.schema.fields, *added]), "int", key, drugs, condition)
 
 
 def pad(df: DataFrame, width: int | None = None, column: str = "drug_idx", output: str = "padded") -> DataFrame:

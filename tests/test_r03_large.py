@@ -6,7 +6,7 @@ import os
 
 import pandas as pd
 
-from regimen.operators import annotate, khop, kg
+from regimen.operators import annotate, encode, kg, khop
 from regimen.plans import queries as core
 from regimen.plans import testbed as V
 from regimen.sources import tables
@@ -55,3 +55,11 @@ def test_edges_are_made_once(spark, monkeypatch):
     found = {r.id: r.neighbours for r in core.QUERIES["adjacency_blocks"](spark, SMALL).collect()}
     assert counted_again[1].value <= 2 * raw.count()
     assert found == {r.id: "|".join(r.neighbours) for r in kg.adjacency(raw).collect()} and found["P1"].startswith("P1|")
+
+
+def test_keys_are_not_shuffled_for_every_drug(spark):
+    df = spark.createDataFrame([("k1", ["D:2", "D:1", "D:2"], "C:1"), ("k2", ["D:9", "D:1"], "C:1"), ("k3", ["D:1"], "C:9"), ("k4", [None], "C:1"), ("k5", [], "C:1")], "example_key string, drug_set array<string>, condition_id_norm string")
+    drugs, diseases = (spark.createDataFrame(rows, "id string, idx int") for rows in ([("<PAD>", 0), ("D:1", 1), ("D:2", 2)], [("C:1", 0)]))
+    found = encode.encode_examples(df, drugs, diseases)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.example_key, r.drug_idx, r.disease_idx, r.length) for r in found.collect()] == [("k1", [2, 1, 2], 0, 3)]
