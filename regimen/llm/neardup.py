@@ -231,6 +231,12 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, part: int, whole: int) ->
     return found
 
 
+def with_bits(mixed: DataFrame, bits: DataFrame) -> DataFrame:
+    """mixed (key, node, component, largest) with the columns of bits (a row per node): these meet a node once, not once in each of its buckets, of which it has one a band at most."""
+    own = mixed.groupBy("node", "component").agg(F.collect_list(F.struct("key", "largest")).alias("_own"))
+    return own.join(bits, "node").select("node", "component", *[c for c in bits.columns if c != "node"], F.inline("_own"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, n_shingles, component_id (least document id reachable over links), kept, for each row of docs.
 
@@ -266,9 +272,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     erase(sets)
     joined = components(links)
 
-    def mixed_buckets() -> DataFrame:
-        """The members of buckets that hold several components, with the largest of these."""
-        placed = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    def mixed_buckets(held: DataFrame) -> DataFrame:
+        """The rows of held (key, node) in buckets that hold several components, with the largest of these. A bucket of one component stays so."""
+        placed = written(held.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
         sizes = placed.groupBy("key", "component").count()
         split = sizes.groupBy("key").agg(F.sum("count").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("parts > 1").drop("parts")
         split = written(split, "split-keys")
@@ -276,13 +282,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         erase(placed, split)
         return out
 
-    mixed = mixed_buckets()
+    mixed = mixed_buckets(members)
     sets = sets_of(mixed.select(F.col("node").alias("_want")))
     bits = sets.select(F.col("_id").alias("node"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"))
     tested = stars
     for turn in range(TURNS):
         stray, order, at = F.col("component") != F.col("largest"), F.xxhash64("node", F.lit(turn)), F.struct("node", "component", F.col("n_a").alias("n_b"), F.col("p_a").alias("p_b"))
-        marked = written(mixed.join(bits, "node"), "marked")
+        marked = written(with_bits(mixed, bits), "marked")
         hubs = marked.groupBy("key").agg(F.count_if(stray).alias("m"), F.array(F.min_by(at, F.when(stray, order)), F.min_by(at, F.when(~stray, order))).alias("hubs"))
         hubs = written(hubs, "hubs")
         met = join_counted(marked.where(stray).select("key", "node", "component", "n_a", "p_a"), hubs, ["key"], "m").select("node", "component", "n_a", "p_a", F.explode("hubs").alias("hub"))
@@ -294,8 +300,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         if new.isEmpty():
             break
         joined, tested = merged(joined, new), tested.union(fresh)
-        erase(new, mixed)
-        mixed = mixed_buckets()
+        before, mixed = mixed, mixed_buckets(mixed.select("key", "node"))
+        erase(new, before)
     strays = mixed.where("component <> largest").select("node").distinct().withColumn("stray", F.lit(True))
     others = written(mixed.select("node", "component").distinct().join(strays, "node", "left"), "others")
     sets = sets.join(others.select(F.col("node").alias("_id")), "_id", "left_semi")

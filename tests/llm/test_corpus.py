@@ -260,6 +260,17 @@ def test_neardup_merged_components(spark):
     assert found(neardup.merged(neardup.components(frame(first[:0])), frame(more))) == found(neardup.components(frame(more)))
 
 
+def test_neardup_bits_meet_a_node_once(spark):
+    """The join that brings a node its parity bits makes a row per node, though the node stands in many buckets."""
+    mixed = spark.createDataFrame([(k, n, n % 3, 0) for n in range(40) for k in range(32)], "key bigint, node bigint, component bigint, largest bigint")
+    bits = spark.createDataFrame([(n, 5, [n]) for n in range(40)], "node bigint, n_a bigint, p_a array<bigint>")
+    found = neardup.with_bits(mixed, bits)
+    plain = mixed.join(bits, "node").select(found.columns)
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty() and found.count() == 1280
+    steps = found._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.index("Generate inline") < steps.index("Join Inner") < steps.index("Aggregate")
+
+
 def test_neardup_odd(spark, odd):
     found = neardup.near_duplicates(odd, 5, (80, 100)).collect()
     assert len(found) == odd.count()
