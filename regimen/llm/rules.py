@@ -6,8 +6,8 @@ A text is rejected if its least Jensen-Shannon distance to a reference is over a
 least length pass. A text is compared with the references of the languages in COMMON and of its own language, one without a language
 with all; words only count where its language, or else the nearest for characters, is in COMMON.
 
-Three-word windows that repeat in a text are found by sorting them within the row, by hash and then by their words, so that the count
-is exact and one long text costs n log n and no shuffle.
+Three-word windows that repeat in a text are found by sorting numbers within the row, of 33 bits of hash and the place; only windows whose
+bits are met twice are sorted by their words, so that the count is exact and one long text costs n log n and no shuffle.
 
 Defined results: null text counts as one without words; repeated rows are judged alike; a language without documents that pass the
 base rules has no reference, and its documents aren't rejected beyond the base rules; extra columns stay.
@@ -15,6 +15,8 @@ base rules has no reference, and its documents aren't rejected beyond the base r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,17 @@ COMMON = {
     "de": ["der", "die", "und", "in", "den", "das", "von", "zu", "mit", "ist"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "por"],
 }
+#: Bits of a place in a text.
+PLACE_BITS = 31
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 CLASSES = ["lower", "upper", "digits", "spaces", "symbols", "beyond_ascii", "rest"]
 
 
+def window_number(words: list[Column], place: Column) -> Column:
+    """Bits of the hash of a window's words before its place (an int): an array of such numbers sorts as primitive values."""
+    return F.shiftleft(F.shiftright(F.xxhash64(*words), PLACE_BITS), PLACE_BITS).bitwiseOR(place.cast("bigint"))
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _words, _word_chars, _symbols, _dup_lines, _repeat_words (bigint), _chars, _classes and _common (array<bigint>: counts by CLASSES, and by WORDS)."""
     gap, none = "[ \t\n\x0b\f\r]+", F.array().cast("array<string>")
@@ -44,8 +53,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     own = own.withColumn("_w", F.when(F.col("_trimmed") != "", F.split("_trimmed", gap)).otherwise(none)).drop("_trimmed")
     own = own.withColumn("_words", F.size("_w").cast("bigint"))
     three = lambda i: [F.get("_w", i + j) for j in range(3)]
-    window = lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), *[w.alias(x) for w, x in zip(three(i), "abc")], i.alias("i"))
-    windows = F.when(F.col("_words") > 2, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)).otherwise(F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,i:int>>"))
+    windows = F.when(F.col("_words") > 2, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: window_number(three(i), i))).otherwise(F.array().cast("array<bigint>"))
     only = lambda kept: F.length(F.regexp_replace("_t", kept, ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     own = own.withColumns({
@@ -57,9 +65,15 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "_lower": only("[^a-z]+"), "_upper": only("[^A-Z]+"), "_digits": only("[^0-9]+"), "_beyond": only(r"[\x00-\x7F]+"),
         "_known": F.filter("_w", lambda w: w.isin(WORDS)),
     })
-    words = lambda x: F.struct(x["h"], x["a"], x["b"], x["c"])
-    equal = lambda x, k: F.coalesce(words(F.get("_sorted", k)) == words(x), F.lit(False))
-    twice = F.filter("_sorted", lambda x, k: equal(x, k + 1) | ((k > 0) & equal(x, F.greatest(k - 1, F.lit(0)))))
+
+    def met(column: str, key: Callable[[Column], Column]) -> Column:
+        """The elements of a sorted array that have a neighbour of the same key."""
+        equal = lambda x, k: F.coalesce(key(F.get(column, k)) == key(x), F.lit(False))
+        return F.filter(column, lambda x, k: equal(x, k + 1) | ((k > 0) & equal(x, F.greatest(k - 1, F.lit(0)))))
+
+    own = own.withColumn("_near", F.transform(met("_sorted", lambda x: F.shiftright(x, PLACE_BITS)), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")))
+    own = own.withColumn("_near", F.sort_array(F.transform("_near", lambda i: F.struct(*[w.alias(x) for w, x in zip(three(i), "abc")], i.alias("i")))))
+    twice = met("_near", lambda x: F.struct(x["a"], x["b"], x["c"]))
     own = own.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"].cast("bigint"))))
     spaces = F.col("_chars") - F.col("_word_chars")
     counted = [F.col("_lower").cast("bigint"), F.col("_upper").cast("bigint"), F.col("_digits").cast("bigint"), spaces, F.col("_symbols"), F.col("_beyond").cast("bigint")]
@@ -69,7 +83,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "_repeat_words": F.aggregate(F.transform("_twice", lambda x, k: F.coalesce(F.least(F.get("_twice", k + 1) - x, F.lit(3)), F.lit(3)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x),
         "_classes": F.array(*counted, F.greatest(rest, F.lit(0))),
         "_common": F.transform(F.array(*map(F.lit, WORDS)), lambda word: F.size(F.filter("_known", lambda w: w == word)).cast("bigint")),
-    }).drop("_t", "_w", "_sorted", "_lines", "_lower", "_upper", "_digits", "_beyond", "_known", "_twice")
+    }).drop("_t", "_w", "_sorted", "_near", "_lines", "_lower", "_upper", "_digits", "_beyond", "_known", "_twice")
 
 
 def base_failed() -> Column:

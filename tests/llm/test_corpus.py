@@ -293,6 +293,26 @@ def test_rules_odd(spark, odd):
     assert rules.judge(odd.limit(0)).collect() == []
 
 
+def test_rules_windows_sort_as_numbers_and_stay_exact(spark, monkeypatch):
+    """Windows sort as numbers; those whose bits meet are told apart by their words, also where all bits are the same."""
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(7)
+    texts = [" ".join(random.choice(["a", "b", "c", "d"], n)) for n in (0, 1, 2, 3, 4, 9, 40, 70)] + [" ".join(map(str, range(60))), "x y z x y z q x y"]
+
+    def repeats(text: str) -> int:
+        w = text.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return len({i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)})
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    number = rules.window_number
+    for one in (number, lambda words, place: number([F.lit("")], place)):
+        monkeypatch.setattr(rules, "window_number", one)
+        found = rules.features(df)
+        assert {r.doc_id: r._repeat_words for r in found.collect()} == {i: repeats(t) for i, t in enumerate(texts)}
+
+
 def test_rules_keep_clean_documents(spark):
     d = "/root/testdata/sf0.01"
     rows = registry.QUERIES["op4_rules"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
