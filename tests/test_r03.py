@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regimen.operators import attention, coverage, khop, models, walks
+from regimen.operators import attention, coverage, khop, models, split, walks
 from regimen.plans import testbed as V
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +55,13 @@ def test_walks_that_rarely_accept_read_the_index_a_few_times(spark, monkeypatch)
     ring = spark.range(200).selectExpr("concat('N', id) as src", "concat('N', (id + 1) % 200) as dst")
     found = walks.random_walks(ring, num_walks=1, length=3, p=20.0, q=20.0).collect()
     assert len(found) == 200 and names.count("taken") <= 8
+
+
+def test_a_split_of_pairs_carries_no_other_lists(spark):
+    """Every example counts in the split, but only those of two drugs carry their lists through its sort; features and parts are the same."""
+    df = spark.createDataFrame([(f"k{i}", ["D:1", "D:2", "D:1"][: i % 4], "C:1", i % 2) for i in range(60)], "example_key string, drug_set array<string>, condition_id_norm string, label int")
+    vectors = spark.createDataFrame([("D:1", [1.0, 2.0]), ("D:2", [4.0, 8.0]), ("C:1", [0.5, 0.25])], "id string, vector array<float>")
+    small = split.exact_split(models.only_pairs(df), 13)
+    assert small.count() == 60 and small.where("drug_set is not null or condition_id_norm is not null").count() == 15
+    found, want = (sorted(map(repr, models.pair_features(x, vectors, vectors).collect())) for x in (small, split.exact_split(df, 13)))
+    assert found == want and len(found) == 15
