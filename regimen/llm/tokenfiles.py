@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +38,21 @@ from regimen.llm.base import erase, written
 BLOCK_IDS, MARK = 1 << 16, 1 << 9
 #: Longest code; longer only where more ids occur than codes of this length exist.
 LONGEST = 16
-#: Words, and parts of words, remembered by a Python worker in each of two generations; longer words aren't.
-CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 400_000, 450_000, 48
+#: Parts of words, or whole ones, remembered by a Python worker in each of two generations; longer ones aren't.
+CACHE_PARTS, CACHE_CHARS = 450_000, 48
+#: Parts of words that a call of the library encodes, a multiple of 64.
+CALL_PARTS = 1 << 13
 # The pre-token pattern by which letters and marks of a word are encoded on their own; marks but for the apostrophe; letters
 # of Latin-1 that have two cases, which no normalization touches.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 #: Ids up to which a code has a table by id.
 DENSE = 1 << 22
 #: Blocks decoded at a time.
 TOGETHER = 48
 #: Bytes of text encoded at a time; a longer text comes alone.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 
 class LibraryCoder:
@@ -66,7 +68,7 @@ class LibraryCoder:
         self.library.no_padding()
         self.width, self.kind = width, f"<u{width}"
         self.end = b"" if end is None else int(end).to_bytes(width, "little")
-        self.by_word, self.words, self.parts = drops_spaces(data), Remembered(CACHE_WORDS), Remembered(CACHE_PARTS)
+        self.by_word, self.parts = drops_spaces(data), Remembered(CACHE_PARTS)
         # marks that no added token holds; the apostrophe begins parts of its own
         added = [t["content"] for t in data.get("added_tokens", [])]
         self.marks = "".join(set(MARKS) - set("".join(added)))
@@ -75,38 +77,57 @@ class LibraryCoder:
         self.ends = np.array([t.endswith(suffix) for t, _ in sorted(data["model"]["vocab"].items(), key=lambda x: x[1])]) if whole else None
 
     def pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def pack_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words that aren't remembered."""
-        if self.ends is None:
-            return self.pack(words)
-        split, odd = [], []
-        for w in words:
-            core = w.strip(self.marks)
-            if LETTERS(core):
-                at = w.index(core)
-                split.append((w[:at], core.lower(), w[at + len(core) :]))
-            else:
-                split.append(None)
-                odd.append(w)
-        found = {"": b""}
-        new = []
-        parts = list({p for s in split if s for p in s if p})
-        for part, ids in zip(parts, self.parts.all(parts)):
-            if ids is None:
-                new.append(part)
-            else:
-                found[part] = ids
-        # many parts in one text: each ends with the one token that has the suffix
-        coded = self.library.encode_batch([" ".join(new[i : i + 64]) for i in range(0, len(new), 64)], add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, self.kind), *(np.array(e.ids, self.kind) for e in coded)])
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pack_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of letters or marks, each of which ends with the one token that has the suffix: many in one text, some of these at a time."""
+        coded = [np.zeros(0, self.kind)]
+        for first in range(0, len(parts), CALL_PARTS):
+            texts = [" ".join(parts[i : i + 64]) for i in range(first, min(len(parts), first + CALL_PARTS), 64)]
+            coded += [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(coded)
         cuts = (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         raw = ids.tobytes()
-        for part, a, b in zip(new, [0, *cuts][: len(cuts)], cuts, strict=True):
-            found[part] = self.parts[part] = raw[a:b]
-        others = iter(self.pack(odd))
-        return [next(others) if s is None else found[s[0]] + found[s[1]] + found[s[2]] for s in split]
+        return [raw[a:b] for _, a, b in zip(parts, [0, *cuts][: len(cuts)], cuts, strict=True)]
+
+    def known(self, keys: list[str], pack: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of different words or parts of words; pack is asked for those that aren't remembered."""
+        found = self.parts.all(keys)
+        new = [k for k, ids in zip(keys, found) if ids is None]
+        fresh = pack(new)
+        for k, ids in zip(new, fresh):
+            if len(k) <= CACHE_CHARS:
+                self.parts[k] = ids
+        others = iter(fresh)
+        return [next(others) if ids is None else ids for ids in found]
+
+    def pieces(self, words: pa.StringArray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of distinct pieces, of which the first has none, and for each of these different words the pieces that it is made of, three of them: marks, letters and marks, or the whole word alone."""
+        n = len(words)
+        of = np.zeros((n, 3), np.int64)
+        if self.ends is None or not n:
+            of[:, 1] = np.arange(1, n + 1)
+            return [b"", *self.known(words.to_pylist(), self.pack)], of
+        rest = pc.utf8_ltrim(words, self.marks)
+        core = pc.utf8_rtrim(rest, self.marks)
+        letters = pc.match_substring_regex(core, LETTERS)
+        plain = np.asarray(letters)
+        size, left, inner = (np.asarray(pc.binary_length(x), np.int64) for x in (words, rest, core))
+        start, raw = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][:n], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        # the marks before and after the letters, each side a stretch of the words' bytes
+        marks = []
+        for at, lengths in ((start, size - left), (start + size - (left - inner), left - inner)):
+            has = np.flatnonzero(plain & (lengths > 0))
+            marks.append((has, pa.Array.from_buffers(pa.string(), len(has), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths[has])]).astype(np.int32)), pa.py_buffer(stretches(raw, at[has], lengths[has]))])))
+        parts = pa.concat_arrays([pc.utf8_lower(core.filter(letters)), *(m for _, m in marks)]).dictionary_encode()
+        which = np.asarray(parts.indices, np.int64) + 1
+        rows = np.flatnonzero(plain)
+        of[rows, 1] = which[: len(rows)]
+        cut = len(rows) + len(marks[0][0])
+        of[marks[0][0], 0], of[marks[1][0], 2] = which[len(rows) : cut], which[cut:]
+        odd = np.flatnonzero(~plain)
+        of[odd, 1] = 1 + len(parts.dictionary) + np.arange(len(odd))
+        return [b"", *self.known(parts.dictionary.to_pylist(), self.pack_parts), *self.known(words.take(pa.array(odd)).to_pylist(), self.pack)], of
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         """Ids of each text and the end id, as little-endian unsigned integers of width bytes."""
@@ -114,27 +135,28 @@ class LibraryCoder:
             return pa.array([ids + self.end for ids in self.pack(texts.to_pylist())], pa.binary())
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = self.words.all(words)
-        new = [w for w, ids in zip(words, found) if ids is None]
-        fresh = self.pack_words(new)
-        for w, ids in zip(new, fresh):
-            if len(w) <= CACHE_CHARS:
-                self.words[w] = ids
-        fresh = iter(fresh)
-        found = [next(fresh) if ids is None else ids for ids in found] + [self.end]
-        # the ids of all distinct words in one array, of which each word of a text takes its stretch
-        lengths = np.fromiter(map(len, found), np.int32, len(found)) // self.width
-        starts, flat = np.cumsum(lengths, dtype=np.int32) - lengths, np.frombuffer(b"".join(found), self.kind)
+        found, of = self.pieces(coded.dictionary)
+        # the ids of all pieces in one array, then those of all distinct words, of which each word of a text takes its stretch; the last is the end id
+        of = np.append(of, [[0, len(found), 0]], axis=0)
+        found.append(self.end)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        flat = stretches(np.frombuffer(b"".join(found), self.kind), (np.cumsum(lengths) - lengths)[of].ravel(), lengths[of].ravel())
+        lengths = lengths[of].sum(axis=1).astype(np.int32)
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         cuts = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
-        word = np.insert(np.asarray(coded.indices), cuts[1:], len(found) - 1)
-        size = lengths[word]
-        ends = np.cumsum(size, dtype=np.int32)  # a slice of texts has fewer ids than 2 ** 31, as a binary array has bytes
-        ids = flat[np.repeat(starts[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        at = np.concatenate([[0], ends])[cuts + np.arange(len(cuts))]
+        word = np.insert(np.asarray(coded.indices), cuts[1:], len(lengths) - 1)
+        size = lengths[word]  # a slice of texts has fewer ids than 2 ** 31, as a binary array has bytes
+        ids = stretches(flat, starts[word], size)
+        at = np.concatenate([[0], np.cumsum(size, dtype=np.int32)])[cuts + np.arange(len(cuts))]
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((self.width * at).astype(np.int32)), pa.py_buffer(ids)])
 
 
+def stretches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of an array, one after the other."""
+    ends = np.cumsum(sizes, dtype=sizes.dtype)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=sizes.dtype)]
+
+
 class Remembered:
     """A memory of two generations of most entries each: a full one becomes the old one, whose entries come back when they are asked for."""
 
