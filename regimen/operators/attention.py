@@ -15,7 +15,7 @@ example is left out if none is left; null labels aren't learned from; without ro
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from regimen.operators import lookup
 from regimen.sources.tables import written
 
-#: Examples in one pass of a task, and gradients that are added at one place of the tree.
-BATCH, FAN = 256, 16
+#: Examples in one pass of a task, gradients that are added at one place of the tree, and numbers a matrix has in a pass over packed examples.
+BATCH, FAN, CELLS = 256, 16, 1 << 17
 
 
 def sequence_features(df: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str = "example_key", drug_set: str = "drug_set", condition: str = "condition_id_norm") -> DataFrame:
@@ -136,37 +136,138 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def summed_gradient(rows: DataFrame, p: dict[str, np.ndarray], ordered: bool, fan: int | None = None) -> tuple[float, int, dict[str, np.ndarray]]:
-    """Loss, number of examples and gradient over rows (drug_vectors, disease_vector, label): one gradient a partition, added in a tree of fan branches."""
-    fan = fan or FAN
-    shared = rows.sparkSession.sparkContext.broadcast(p)
-    width, kind = sum(v.size for v in p.values()), "total binary"
+def _tree_sum(rows: DataFrame, width: int, own: Callable[[pa.RecordBatch], Iterator[np.ndarray]], fan: int | None = None) -> np.ndarray:
+    """The sum of what own gives for the batches of rows: one sum a partition, added in a tree of fan branches."""
+    fan, kind = fan or FAN, "total binary"
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 2)
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
         for batch in batches:
-            label = np.asarray(batch.column("label"), np.float64)
-            for x, mask, disease, at, n in _batches(batch):
-                loss, g = gradient(shared.value, x, mask, disease, label[at : at + n], ordered)
-                total += np.concatenate([[loss, n], _flat(g)])
+            for part in own(batch):
+                total += part
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 2)
+        total = np.zeros(width)
         for batch in batches:
             for packed in batch.column(0):
                 total += np.frombuffer(packed.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     parts = rows.rdd.getNumPartitions()
-    sums = rows.mapInArrow(own, kind)
+    sums = rows.mapInArrow(start, kind)
     while parts > fan:
         parts = -(-parts // fan)
         sums = sums.repartition(parts).mapInArrow(add, kind)
-    total = sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(width + 2))  # fan rows at most
+    return sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(width))  # fan rows at most
+
+
+def summed_gradient(rows: DataFrame, p: dict[str, np.ndarray], ordered: bool, fan: int | None = None) -> tuple[float, int, dict[str, np.ndarray]]:
+    """Loss, number of examples and gradient over rows (drug_vectors, disease_vector, label)."""
+    shared = rows.sparkSession.sparkContext.broadcast(p)
+
+    def own(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        label = np.asarray(batch.column("label"), np.float64)
+        for x, mask, disease, at, n in _batches(batch):
+            loss, g = gradient(shared.value, x, mask, disease, label[at : at + n], ordered)
+            yield np.concatenate([[loss, n], _flat(g)])
+
+    total = _tree_sum(rows, sum(v.size for v in p.values()) + 2, own, fan)
+    shared.unpersist()
+    return float(total[0]), int(total[1]), _unflat(total[2:], p)
+
+
+def packed_gradient(packs: DataFrame, p: dict[str, np.ndarray], ordered: bool, fan: int | None = None) -> tuple[float, int, dict[str, np.ndarray]]:
+    """summed_gradient over the rows of lookup.packed: a vector meets the first layer once a part and not once for each example that names it."""
+    shared = packs.sparkSession.sparkContext.broadcast(p)
+
+    def own(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for pack in lookup.packs(batch):
+            for loss, n, g in _pack_gradients(shared.value, pack, ordered):
+                yield np.concatenate([[loss, n], _flat(g)])
+
+    total = _tree_sum(packs, sum(v.size for v in p.values()) + 2, own, fan)
+    shared.unpersist()
     return float(total[0]), int(total[1]), _unflat(total[2:], p)
 
 
+def _by_size(sizes: np.ndarray, hidden: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one size and where their codes are (rows, places), some at a time."""
+    firsts, order = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else ():
+        m = int(sizes[rows[0]])
+        step = max(1, CELLS // (m * (m + hidden)))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            yield some, firsts[some][:, None] + np.arange(m)[None, :]
+
+
+def _projected(p: dict[str, np.ndarray], pack: lookup.Pack, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of the first steps that depend on one drug, one place or one disease."""
+    hidden, top = len(p["b_in"]), int(pack.sizes.max(initial=0))
+    places = place_codes(top, pack.drugs.shape[1]) if ordered else np.zeros((top, pack.drugs.shape[1]))
+    return pack.drugs @ p["w_in"] + p["b_in"], places @ p["w_in"], pack.diseases @ p["w_pool"] + p["u_pool"], pack.diseases @ p["w_out"][hidden:] + p["b_out"]
+
+
+def _softmaxed(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _attended(p: dict[str, np.ndarray], h: np.ndarray, want: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Logits of examples of one size, from their hidden rows on."""
+    b, m, hidden = h.shape
+    q, k, v = np.moveaxis((h.reshape(-1, hidden) @ np.concatenate([p["w_q"], p["w_k"], p["w_v"]], axis=1)).reshape(b, m, 3, hidden), 2, 0)
+    a = _softmaxed(q @ k.transpose(0, 2, 1) / math.sqrt(hidden))
+    y = h + a @ v
+    share = _softmaxed((y @ want[:, :, None])[:, :, 0])
+    r = (share[:, None, :] @ y)[:, 0]
+    o = np.maximum(r @ p["w_out"][:hidden] + beside, 0)
+    return o @ p["w_last"] + p["b_last"][0], {"q": q, "k": k, "v": v, "a": a, "y": y, "share": share, "r": r, "o": o}
+
+
+def _pack_logits(p: dict[str, np.ndarray], pack: lookup.Pack, ordered: bool) -> np.ndarray:
+    drugs, places, want, beside = _projected(p, pack, ordered)
+    out = np.zeros(len(pack.sizes))
+    for rows, at in _by_size(pack.sizes, drugs.shape[1]):
+        own = pack.own[rows]
+        out[rows] = _attended(p, np.tanh(drugs[pack.codes[at]] + places[: at.shape[1]]), want[own], beside[own])[0]
+    return out
+
+
+def _pack_gradients(p: dict[str, np.ndarray], pack: lookup.Pack, ordered: bool) -> Iterator[tuple[float, int, dict[str, np.ndarray]]]:
+    """gradient, of some of the pack's examples at a time."""
+    drugs, places, want, beside = _projected(p, pack, ordered)
+    hidden, dim = drugs.shape[1], pack.drugs.shape[1]
+    for rows, at in _by_size(pack.sizes, hidden):
+        codes, own, label, m = pack.codes[at], pack.own[rows], pack.label[rows], at.shape[1]
+        h = np.tanh(drugs[codes] + places[:m])
+        logit, s = _attended(p, h, want[own], beside[own])
+        g: dict[str, np.ndarray] = {}
+        d_logit = 1 / (1 + np.exp(-logit)) - label
+        g["b_last"], g["w_last"] = np.array([d_logit.sum()]), s["o"].T @ d_logit
+        d_o = d_logit[:, None] * p["w_last"] * (s["o"] > 0)
+        disease = pack.diseases[own].astype(np.float64)
+        g["w_out"], g["b_out"] = np.concatenate([s["r"].T @ d_o, disease.T @ d_o]), d_o.sum(axis=0)
+        d_r = d_o @ p["w_out"].T[:, :hidden]
+        d_share = (s["y"] @ d_r[:, :, None])[:, :, 0]
+        d_score = s["share"] * (d_share - (s["share"] * d_share).sum(axis=1, keepdims=True))
+        d_want = (d_score[:, None, :] @ s["y"])[:, 0]
+        g["w_pool"], g["u_pool"] = disease.T @ d_want, d_want.sum(axis=0)
+        d_y = s["share"][:, :, None] * d_r[:, None, :] + d_score[:, :, None] * want[own][:, None, :]
+        d_a, d_v = d_y @ s["v"].transpose(0, 2, 1), s["a"].transpose(0, 2, 1) @ d_y
+        d_e = s["a"] * (d_a - (s["a"] * d_a).sum(axis=2, keepdims=True)) / math.sqrt(hidden)
+        d_qkv = np.concatenate([d_e @ s["k"], d_e.transpose(0, 2, 1) @ s["q"], d_v], axis=2).reshape(-1, 3 * hidden)
+        g["w_q"], g["w_k"], g["w_v"] = np.split(h.reshape(-1, hidden).T @ d_qkv, 3, axis=1)
+        d_h = d_y + (d_qkv @ np.concatenate([p["w_q"], p["w_k"], p["w_v"]], axis=1).T).reshape(h.shape)
+        d_in = d_h * (1 - h**2)
+        g["b_in"] = d_in.sum(axis=(0, 1))
+        g["w_in"] = pack.drugs[codes.ravel()].astype(np.float64).T @ d_in.reshape(-1, hidden)
+        if ordered:
+            g["w_in"] = g["w_in"] + place_codes(m, dim).T @ d_in.sum(axis=0)
+        yield float((np.logaddexp(0, logit) - label * logit).sum()), len(rows), g
+
+
 @dataclass
 class AttentionModel:
     parameters: dict[str, np.ndarray]
@@ -189,6 +290,20 @@ class AttentionModel:
         ready = df.where("size(drug_vectors) > 0 and disease_vector is not null")
         return ready.mapInArrow(run, schema).withColumn("length", F.size(drug_set))
 
+    def score_examples(self, df: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str = "example_key", drug_set: str = "drug_set", condition: str = "condition_id_norm") -> DataFrame:
+        """score of sequence_features(df, drugs, diseases), without a vector made for every drug of an example."""
+        shared, ordered, nothing = df.sparkSession.sparkContext.broadcast(self.parameters), self.ordered, np.zeros(0)
+
+        def make(rows: pa.RecordBatch, codes: np.ndarray, sizes: np.ndarray, drug: np.ndarray, disease: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep, codes, sizes = lookup.known(codes, sizes, disease)
+            if keep.any():
+                left = rows.filter(pa.array(keep))
+                logit = _pack_logits(shared.value, lookup.Pack(drug, own, codes, sizes, disease[keep], nothing), ordered)
+                yield pa.RecordBatch.from_arrays([*left.columns, pa.array(1 / (1 + np.exp(-logit)))], [*left.schema.names, "prob"])
+
+        schema = T.StructType([*df.schema.fields, T.StructField("prob", T.DoubleType())])
+        return lookup.with_vectors(df, drugs, diseases, make, schema, "float", key, drug_set, condition).withColumn("length", F.size(drug_set))
+
 
 def fit(train: DataFrame, hidden: int = 32, steps: int = 150, rate: float = 0.02, decay: float = 1e-4, ordered: bool = True, seed: int = 13, label: str = "label") -> AttentionModel:
     """Learns from the rows of sequence_features by Adam on the whole gradient. ordered: whether the places of the drugs count."""
@@ -197,10 +312,22 @@ def fit(train: DataFrame, hidden: int = 32, steps: int = 150, rate: float = 0.02
     first = rows.select(F.size(F.col("drug_vectors")[0]).alias("dim"), F.size("disease_vector").alias("disease_dim")).first()
     if first is None:
         return AttentionModel(start_parameters(1, 1, hidden, seed), ordered)
-    p = start_parameters(first["dim"], first["disease_dim"], hidden, seed)
+    return _fitted(lambda p: summed_gradient(rows, p, ordered), start_parameters(first["dim"], first["disease_dim"], hidden, seed), steps, rate, decay, ordered)
+
+
+def fit_examples(train: DataFrame, drugs: DataFrame, diseases: DataFrame, hidden: int = 32, steps: int = 150, rate: float = 0.02, decay: float = 1e-4, ordered: bool = True, seed: int = 13, label: str = "label") -> AttentionModel:
+    """fit over sequence_features(train, drugs, diseases), from examples that are stored by the codes of their names (lookup.packed)."""
+    packs = lookup.packed(train, drugs, diseases, label)
+    first = packs.select("dim", "disease_dim").first()
+    if first is None:
+        return AttentionModel(start_parameters(1, 1, hidden, seed), ordered)
+    return _fitted(lambda p: packed_gradient(packs, p, ordered), start_parameters(first["dim"], first["disease_dim"], hidden, seed), steps, rate, decay, ordered)
+
+
+def _fitted(summed: Callable[[dict[str, np.ndarray]], tuple[float, int, dict[str, np.ndarray]]], p: dict[str, np.ndarray], steps: int, rate: float, decay: float, ordered: bool) -> AttentionModel:
     mean, square, losses = np.zeros_like(_flat(p)), np.zeros_like(_flat(p)), []
     for step in range(1, steps + 1):
-        loss, n, g = summed_gradient(rows, p, ordered)
+        loss, n, g = summed(p)
         losses.append(loss / n)
         flat = _flat(p)
         by = _flat(g) / n + decay * flat

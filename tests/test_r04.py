@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from regimen.operators import walks
+import numpy as np
+import pyarrow as pa
+
+from regimen.operators import attention, lookup, walks
 
 
 def executed(spark, df) -> list[str]:
@@ -41,3 +44,28 @@ def test_walks_of_loops_nulls_and_links_before(spark):
     for q in (0.05, 20.0):
         third = [r.path[2] for r in walks.random_walks(near, 300, 3, seed=5, p=50.0, q=q).collect() if r.path[:2] == ["x", "m"]]
         assert len(third) > 60 and (third.count("y") > 8 * third.count("far") if q > 1 else third.count("far") > 8 * third.count("y"))
+
+
+NAMES = [("A", [1.0, 0.0]), ("B", [-1.0, 0.5]), ("C", [0.0, 1.0]), ("M", [0.3, 0.2]), ("N", [0.1, -0.4])]
+ODD = [("a", ["A", "B"], "M", 1), ("b", ["C", "unknown", "B", "A"], "N", 0), ("c", ["unknown"], "M", 1), ("d", [], "M", 1), ("e", ["A"], "none", 1), ("f", ["A"], "M", None), ("g", ["A", "A", "C"], "M", 0), ("h", None, "M", 1)]
+
+
+def odd_examples(spark):
+    df = spark.createDataFrame(ODD, "example_key string, drug_set array<string>, condition_id_norm string, label int")
+    return df, spark.createDataFrame(NAMES, "id string, vector array<float>")
+
+
+def test_attention_learns_from_numbers_of_names(spark):
+    """No row of the stored table holds a vector for each name of an example; gradients and scores are those of the vectors."""
+    df, vectors = odd_examples(spark)
+    packs = lookup.packed(df, vectors, vectors, "label")
+    [pack] = [p for r in packs.collect() for p in lookup.packs(pa.RecordBatch.from_pylist([r.asDict()]))]
+    assert len(pack.drugs) == 3 and len(pack.diseases) == 2 and sorted(pack.sizes) == [2, 3, 3]
+    p, features = attention.start_parameters(2, 2, 3, 1), attention.sequence_features(df, vectors, vectors)
+    for ordered in (True, False):
+        plain, found = attention.summed_gradient(features.where("label is not null"), p, ordered), attention.packed_gradient(packs, p, ordered)
+        assert plain[1] == found[1] == 3 and np.isclose(plain[0], found[0]) and all(np.allclose(plain[2][k], found[2][k]) for k in p)
+    fitted = attention.fit_examples(df, vectors, vectors, hidden=3, steps=2)
+    want = {r.example_key: (round(r.prob, 9), r.length) for r in fitted.score(features).collect()}
+    assert want == {r.example_key: (round(r.prob, 9), r.length) for r in fitted.score_examples(df, vectors, vectors).collect()} and len(want) == 4
+    assert attention.fit_examples(df.where("false"), vectors, vectors, hidden=3, steps=2).losses == []
