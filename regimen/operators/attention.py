@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from regimen.operators import lookup
 from regimen.sources.tables import written
 
-#: Examples in one pass of a task, gradients that are added at one place of the tree, and numbers a matrix has in a pass over packed examples.
-BATCH, FAN, CELLS = 256, 16, 1 << 17
+#: Examples in one pass of a task, and numbers a matrix has in a pass over packed examples.
+BATCH, CELLS = 256, 1 << 17
 
 
 def sequence_features(df: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str = "example_key", drug_set: str = "drug_set", condition: str = "condition_id_norm") -> DataFrame:
@@ -136,32 +136,6 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def _tree_sum(rows: DataFrame, width: int, own: Callable[[pa.RecordBatch], Iterator[np.ndarray]], fan: int | None = None) -> np.ndarray:
-    """The sum of what own gives for the batches of rows: one sum a partition, added in a tree of fan branches."""
-    fan, kind = fan or FAN, "total binary"
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for part in own(batch):
-                total += part
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for packed in batch.column(0):
-                total += np.frombuffer(packed.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    parts = rows.rdd.getNumPartitions()
-    sums = rows.mapInArrow(start, kind)
-    while parts > fan:
-        parts = -(-parts // fan)
-        sums = sums.repartition(parts).mapInArrow(add, kind)
-    return sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(width))  # fan rows at most
-
-
 def summed_gradient(rows: DataFrame, p: dict[str, np.ndarray], ordered: bool, fan: int | None = None) -> tuple[float, int, dict[str, np.ndarray]]:
     """Loss, number of examples and gradient over rows (drug_vectors, disease_vector, label)."""
     shared = rows.sparkSession.sparkContext.broadcast(p)
@@ -172,7 +146,7 @@ def summed_gradient(rows: DataFrame, p: dict[str, np.ndarray], ordered: bool, fa
             loss, g = gradient(shared.value, x, mask, disease, label[at : at + n], ordered)
             yield np.concatenate([[loss, n], _flat(g)])
 
-    total = _tree_sum(rows, sum(v.size for v in p.values()) + 2, own, fan)
+    total = lookup.tree_sum(rows, sum(v.size for v in p.values()) + 2, own, fan)
     shared.unpersist()
     return float(total[0]), int(total[1]), _unflat(total[2:], p)
 
@@ -186,7 +160,7 @@ def packed_gradient(packs: DataFrame, p: dict[str, np.ndarray], ordered: bool, f
             for loss, n, g in _pack_gradients(shared.value, pack, ordered):
                 yield np.concatenate([[loss, n], _flat(g)])
 
-    total = _tree_sum(packs, sum(v.size for v in p.values()) + 2, own, fan)
+    total = lookup.tree_sum(packs, sum(v.size for v in p.values()) + 2, own, fan)
     shared.unpersist()
     return float(total[0]), int(total[1]), _unflat(total[2:], p)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from regimen.operators import attention, lookup, walks
+from regimen.operators import attention, lookup, models, walks
 
 
 def executed(spark, df) -> list[str]:
@@ -69,3 +69,36 @@ def test_attention_learns_from_numbers_of_names(spark):
     want = {r.example_key: (round(r.prob, 9), r.length) for r in fitted.score(features).collect()}
     assert want == {r.example_key: (round(r.prob, 9), r.length) for r in fitted.score_examples(df, vectors, vectors).collect()} and len(want) == 4
     assert attention.fit_examples(df.where("false"), vectors, vectors, hidden=3, steps=2).losses == []
+
+
+def test_combo_learns_from_numbers_of_names(spark):
+    """Gradients are those of the features, by differences; scores are those of Spark's perceptron with the same weights, and odd rows go as in combo_features."""
+    rng = np.random.default_rng(1)
+    layers, x, label = (4, 3, 2), rng.normal(size=(6, 4)), np.array([0, 1, 1, 0, 1, 0])
+    w = rng.normal(size=4 * 3 + 3 + 3 * 2 + 2)
+    _, g = models.perceptron_gradient(w, layers, x, label)
+    for i in range(len(w)):
+        up, down = (models.perceptron_gradient(w + by * (np.arange(len(w)) == i), layers, x, label)[0] for by in (1e-5, -1e-5))
+        assert abs((up - down) / 2e-5 - g[i]) < 1e-7
+    df, vectors = odd_examples(spark)
+    features = {r.example_key: np.array(r.features) for r in models.combo_features(df, vectors, vectors).collect()}
+    model = models.fit_combo_examples(df, vectors, vectors, hidden=(3,), steps=40, seed=1)
+    found = {r.example_key: (r.prob, r.length) for r in model.score_examples(df, vectors, vectors).collect()}
+    assert found.keys() == features.keys() and [found[k][0] > 0.5 for k in "abg"] == [True, False, False]
+    for k, f in features.items():
+        (w1, b1), (w2, b2) = models._unpacked(model.weights, model.layers)
+        z = (1 / (1 + np.exp(-(f @ w1 + b1)))) @ w2 + b2
+        assert np.isclose(found[k][0], 1 / (1 + np.exp(z[0] - z[1])))
+
+
+def test_combo_learns_as_sparks_perceptron_does(spark):
+    rng = np.random.default_rng(3)
+    names = [(f"D{i}", rng.normal(size=4).tolist()) for i in range(30)] + [("M", [0.5] * 4)]
+    sets = [[names[i][0] for i in rng.integers(0, 30, 3)] for _ in range(300)]
+    at = dict(names)
+    rows = [(f"k{i}", s, "M", int(sum(at[d][0] for d in s) > 0)) for i, s in enumerate(sets)]
+    df, vectors = spark.createDataFrame(rows, "example_key string, drug_set array<string>, condition_id_norm string, label int"), spark.createDataFrame(names, "id string, vector array<float>")
+    made = models.combo_features(df, vectors, vectors)
+    loss = lambda scored: -float(np.mean([np.log(r.prob if r.label else 1 - r.prob) for r in scored.collect()]))
+    own = loss(models.fit_combo_examples(df, vectors, vectors, hidden=(4,), steps=20).score_examples(df, vectors, vectors))
+    assert own < 0.2 and own < 1.5 * loss(models.score(made, models.fit_combo(made, hidden=(4,), steps=20))) + 0.02
