@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from regimen.operators import attention, lookup, models, walks
+from regimen.operators import attention, khop, lookup, models, walks
 
 
 def executed(spark, df) -> list[str]:
@@ -102,3 +102,21 @@ def test_combo_learns_as_sparks_perceptron_does(spark):
     loss = lambda scored: -float(np.mean([np.log(r.prob if r.label else 1 - r.prob) for r in scored.collect()]))
     own = loss(models.fit_combo_examples(df, vectors, vectors, hidden=(4,), steps=20).score_examples(df, vectors, vectors))
     assert own < 0.2 and own < 1.5 * loss(models.score(made, models.fit_combo(made, hidden=(4,), steps=20))) + 0.02
+
+
+def test_pairs_of_empty_blocks_are_asked(spark):
+    """Neighbours that share a block leave others without a row; every pair is there nonetheless, as are those of nodes without edges."""
+    edges = spark.createDataFrame([(f"P{i}", f"S{j}") for i in range(30) for j in range(12) if (i * j + i) % 5 == 1], "src string, dst string")
+    numbers = khop.number_nodes(edges.union(spark.createDataFrame([("P99", "S99")], edges.schema)))
+    of = {r.id: r.number for r in numbers.collect()}
+    left, right = (spark.createDataFrame([(n, of[n], int(n[1:]) % 2) for n in of if n[0] == side], f"{name} string, {key} bigint, r int") for side, name, key in (("P", "p", "a"), ("S", "s", "b")))
+    blocks = khop.adjacency_blocks(edges, numbers, length=1)
+    assert blocks.count() < blocks.select("node", "n_blocks").distinct().groupBy().sum("n_blocks").first()[0]
+    found, have = khop.linked_pairs(left, right, blocks, "r").collect(), {(r.src, r.dst) for r in edges.collect()}
+    assert len(found) == len({(r.p, r.s) for r in found}) == left.join(right, "r").count() and all(r.known == ((r.p, r.s) in have) for r in found)
+
+
+def test_only_edges_that_can_link_asked_pairs_are_kept(spark):
+    edges = spark.createDataFrame([("P1", "S1"), ("P1", "S2"), ("P2", "S2"), ("S2", "P2"), ("P3", "S1")], "src string, dst string")
+    left, right = spark.createDataFrame([("P1", 1), ("P2", 0)], "id string, r int"), spark.createDataFrame([("S1", 1), ("S2", 0)], "id string, r int")
+    assert sorted(map(tuple, khop.edges_within(edges, left, right, "r").collect())) == [("P1", "S1"), ("P2", "S2")]
