@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from regimen.operators import attention, khop, lookup, models, walks
+from regimen.operators import attention, khop, lookup, models, skipgram, walks
 
 
 def executed(spark, df) -> list[str]:
@@ -120,3 +120,29 @@ def test_only_edges_that_can_link_asked_pairs_are_kept(spark):
     edges = spark.createDataFrame([("P1", "S1"), ("P1", "S2"), ("P2", "S2"), ("S2", "P2"), ("P3", "S1")], "src string, dst string")
     left, right = spark.createDataFrame([("P1", 1), ("P2", 0)], "id string, r int"), spark.createDataFrame([("S1", 1), ("S2", 0)], "id string, r int")
     assert sorted(map(tuple, khop.edges_within(edges, left, right, "r").collect())) == [("P1", "S1"), ("P2", "S2")]
+
+
+def test_blocks_are_no_more_than_memory_or_tasks_ask_for(spark, monkeypatch):
+    """All blocks pass a shuffle in each round, and there are as many rounds as blocks: their number may not grow with the nodes while they are small."""
+    edges, ran, real = spark.range(300).selectExpr("concat('N', id % 90) as src", "concat('N', (id * 7 + 1) % 90) as dst"), [], skipgram._round
+    monkeypatch.setattr(skipgram, "_round", lambda *a, **k: (ran.append(a[4]), real(*a, **k))[1])
+    monkeypatch.setattr(skipgram, "BLOCK_NODES", 10)
+    paths = walks.random_walks(edges, num_walks=1, length=4, seed=3)
+    assert len(walks.node2vec(paths, dim=4, window=2, steps=2, seed=3).collect()) == 90 and ran == [skipgram.WORKERS] * 2 * skipgram.WORKERS
+    ran.clear()
+    monkeypatch.setattr(skipgram, "BLOCK_BYTES", 90 * 4 * 5 // 6)
+    assert len(walks.node2vec(paths, dim=4, window=2, steps=1, seed=3).collect()) == 90 and ran == [6] * 6
+
+
+def test_packed_pairs_are_all_pairs_of_the_windows(spark, monkeypatch):
+    """By numbers of nodes, in packs of a few; repeated paths count each time, and nodes without a place keep their distance."""
+    paths = spark.createDataFrame([(["a", "b", "c", None, "d", "a"],), (["a", "b"],), (["a", "b"],), (["a"],), (None,)], "path array<string>")
+    placed = spark.createDataFrame([(n, 9, i % 2, i) for i, n in enumerate("abd")], "id string, uses bigint, block int, at int")
+    number = {n: (i % 2, i) for i, n in enumerate("abd")}
+    want = sorted((*number[r.centre], *number[r.context], r.n) for r in skipgram.window_pairs(paths, 4, 7).collect() if r.centre in number and r.context in number)
+    found = skipgram.numbered_pairs(paths, placed, 4, 7)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 5
+    monkeypatch.setattr(skipgram, "PACK", 3)
+    keyed = pa.RecordBatch.from_pylist([{"turn": i // 7, "cb": 0, "piece": 0, "c": i, "x": 2, "n": 1} for i in range(12)], pa.schema([(c, pa.int32()) for c in ("turn", "cb", "piece", "c", "x", "n")]))
+    out = [b.to_pylist()[0] for b in skipgram._pack(iter([keyed.slice(0, 4), keyed.slice(4)]))]
+    assert [(r["turn"], r["part"], np.frombuffer(r["data"], "<i4").reshape(-1, 3)[:, 0].tolist()) for r in out] == [(0, 0, [0, 1, 2]), (0, 1, [3, 4, 5]), (0, 2, [6]), (1, 0, [7, 8, 9]), (1, 1, [10, 11])]
