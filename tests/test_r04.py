@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from regimen.llm import phrases
 from regimen.operators import attention, khop, lookup, models, skipgram, walks
 
 
@@ -146,3 +147,17 @@ def test_packed_pairs_are_all_pairs_of_the_windows(spark, monkeypatch):
     keyed = pa.RecordBatch.from_pylist([{"turn": i // 7, "cb": 0, "piece": 0, "c": i, "x": 2, "n": 1} for i in range(12)], pa.schema([(c, pa.int32()) for c in ("turn", "cb", "piece", "c", "x", "n")]))
     out = [b.to_pylist()[0] for b in skipgram._pack(iter([keyed.slice(0, 4), keyed.slice(4)]))]
     assert [(r["turn"], r["part"], np.frombuffer(r["data"], "<i4").reshape(-1, 3)[:, 0].tolist()) for r in out] == [(0, 0, [0, 1, 2]), (0, 1, [3, 4, 5]), (0, 2, [6]), (1, 0, [7, 8, 9]), (1, 1, [10, 11])]
+
+
+def test_a_pass_of_phrases_reads_the_languages_of_its_tries(spark, monkeypatch):
+    """Each text is read for the tries of its language and for no others; languages of few candidates share theirs; counts are exact."""
+    many = lambda mark: [" ".join(f"{mark}{i} {mark}{i + 1} {mark}{i + 2}" for i in range(k, k + 8)) for k in (0, 3) for _ in range(3)]
+    rows = [(lang, t) for lang in ("aa", "bb") for t in many(lang)] + [("cc", "x y z")] * 4 + [(None, "x y z")] * 3 + [("dd", "once only")]
+    docs, read, real = spark.createDataFrame(rows, "lang string, text string"), [], phrases.trie_counts
+    monkeypatch.setattr(phrases, "trie_counts", lambda s, texts, *a: (read.append(sorted({r.lang for r in texts.collect()})), real(s, texts, *a))[1])
+    small = {"bits": 16, "word_bits": 16}
+    found = sorted(map(tuple, phrases.phrase_counts(docs, least=3, longest=3, trie_phrases=40, **small)[1].collect()))
+    assert sum("aa" in r for r in read) <= 2 and not any({"aa", "bb", "cc"} <= set(r) for r in read) and sum("cc" in r for r in read) == 1 and len(read) > 1
+    read.clear()
+    assert sorted(map(tuple, phrases.phrase_counts(docs, least=3, longest=3, **small)[1].collect())) == found and read == [["aa", "bb", "cc", "dd", "und"]]
+    assert ("und", "x y z", 3) in found and ("cc", "y z", 4) in found and len(found) > 40
